@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from strandline.llm.audio import op9_audio
+from strandline.llm.katz import op7_katz
+from strandline.llm.mixing import mixing_sql, op5_mixing
 from strandline.llm.packing import op3_packing
+from strandline.llm.secrets import op10_secrets
+from strandline.llm.simhash import op2_simhash
 from strandline.llm.tokenfile import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op3_packing, op8_token_files)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op5_mixing, op7_katz, op8_token_files, op9_audio, op10_secrets)}
+SQL: dict[str, str] = {"op5_mixing": mixing_sql()}
