@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def chunks_of(docs: DataFrame, size: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in places), np.uint64, len(places))
             words = np.concatenate([words, np.array([END], np.uint64)])
-            row = [part << 24 | number, ids, np.array([not held_out(i) for i in ids], np.uint8).tobytes(), np.concatenate(lengths).tobytes(), words.tobytes(), np.concatenate(tokens).tobytes(), total]
+            row = [part << 24 | number, ids, np.array([not held_out(i) for i in ids], np.uint8).tobytes(), _small(np.concatenate(lengths)), words.tobytes(), _small(np.concatenate(tokens) + 1), total]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
         for doc_ids, texts in rows_of(batches):
@@ -96,9 +97,9 @@ class Chunk:
     def __init__(self, row):
         self.ids = list(row.doc_ids)
         self.train = np.frombuffer(row.train, np.uint8).astype(bool)
-        self.lengths = np.frombuffer(row.lengths, np.int64)
+        self.lengths = _read(row.lengths)
         self.words = np.frombuffer(row.words, np.uint64)
-        self.tokens = np.where((t := np.frombuffer(row.tokens, np.int32)) < 0, len(self.words) - 1, t).astype(np.int64)
+        self.tokens = np.where((t := _read(row.tokens) - 1) < 0, len(self.words) - 1, t)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.trains = np.repeat(self.train, self.lengths)
 
@@ -132,13 +133,16 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs, the width first."""
+    """Counts or places in few bytes: the width that the largest needs, then their bytes by significance, compressed."""
     kind = np.min_scalar_type(int(values.max(initial=0)))
-    return kind.char.encode() + values.astype(kind).tobytes()
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+    return kind.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _read(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1).astype(np.int64)
+    kind = np.dtype(data[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel().astype(np.int64)
 
 
 def _tally(counts: np.ndarray) -> list[int]:
