@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,8 +57,10 @@ def drop_table(df: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished phases: Spark removes those that its driver's JVM has collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second time for what only the first let go of
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def text_or_empty(df: DataFrame) -> DataFrame:
