@@ -70,9 +70,12 @@ def rake(cells: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, floa
     return out
 
 
-def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: str = "mix", rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: str = "mix", rounds: int = ROUNDS, scale: float | None = None) -> DataFrame:
     """One row per row of ``docs``: row (struct), the marginals, n_tokens, probability and kept.
 
+    Without ``scale`` the cell that is shortest of its target is kept whole and the others in proportion, so that the marginals
+    are met. With ``scale`` 1 every cell above its target is sampled down to it and those below are kept whole.
+
     Texts without words (null ones included) carry no weight and are always kept, with probability 1. Null ids
     share one draw. Repeated rows count each and share their draw. Further columns travel in ``row``; no rows give
     no rows. Cells are as many as combinations of levels, and only they are raked.
@@ -80,8 +83,12 @@ def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]
     rows = described(docs)
     cells = scratch_table(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, alpha, targets, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    most = raked.agg(F.max("ratio")).first()[0]
-    chances = raked.select(*MARGINS, (F.col("ratio") / F.lit(most)).alias("p"))
+    if scale is None:
+        most = raked.agg(F.max("ratio")).first()[0]
+        p = F.col("ratio") / F.lit(most)
+    else:
+        p = F.least(F.col("ratio") * scale, F.lit(1.0))
+    chances = raked.select(*MARGINS, p.alias("p"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     joined = rows.join(chances, list(MARGINS), "left")
     p = F.when(F.col("n_tokens") > 0, F.col("p")).otherwise(F.lit(1.0))
@@ -96,7 +103,7 @@ def op5_mixing(spark, sf_dir):
 
 def sampled(spark, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the draw keeps."""
-    return mix(docs).filter("kept").select("row.*")
+    return mix(docs, scale=1.0).filter("kept").select("row.*")
 
 
 def mixing_sql(alpha: float = 0.5, seed: str = "mix", rounds: int = ROUNDS) -> str:

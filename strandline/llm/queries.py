@@ -7,10 +7,11 @@ from strandline.llm.audio import op9_audio
 from strandline.llm.katz import op7_katz
 from strandline.llm.mixing import mixing_sql, op5_mixing
 from strandline.llm.packing import op3_packing
+from strandline.llm.pii import op4_pii
 from strandline.llm.quality import op6_quality
 from strandline.llm.secrets import op10_secrets
 from strandline.llm.simhash import op2_simhash
 from strandline.llm.tokenfile import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_simhash, op3_packing, op5_mixing, op6_quality, op7_katz, op8_token_files, op9_audio, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_simhash, op3_packing, op4_pii, op5_mixing, op6_quality, op7_katz, op8_token_files, op9_audio, op10_secrets)}
 SQL: dict[str, str] = {"op5_mixing": mixing_sql()}
