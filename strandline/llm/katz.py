@@ -32,7 +32,7 @@ LAST = 5
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, START = np.uint64(1), np.uint64(2)
 #: Tokens of a chunk and of a bucket, and training tokens of a history beyond which its pairs are spread.
-CHUNK, BUCKET, SPREAD = 2_000_000, 4_000_000, 2_000_000
+CHUNK, BUCKET, SPREAD = 2_000_000, 2_000_000, 1_000_000
 #: Most histories that are spread; their sums go to every chunk.
 MOST_SPREAD = 1 << 16
 
@@ -243,10 +243,14 @@ def ask_pairs(chunks: DataFrame, words: DataFrame, unigrams: Unigrams, buckets:
         sizes = [len(w) for w in word]
         with np.errstate(over="ignore"):
             key = history[pair_history] * np.uint64(0x9E3779B97F4A7C15) ^ np.concatenate(word) * np.uint64(0xC2B2AE3D27D4EB4F)
+        del word
+        word_count = np.concatenate(word_count)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        del key
         r = np.bincount(inverse, np.concatenate([_read(x) for x in group.times])).astype(np.int64)
         mine, seen = pair_history[first], r > 0
-        p = unigrams.p(np.concatenate(word_count)[first])
+        p = unigrams.p(word_count[first])
+        del pair_history, word_count
         sums = np.zeros((len(history), LAST + 2))  # training tokens, pairs seen 1, ... LAST times, P of all words seen after
         sums[:, 0] = np.bincount(mine, r, len(history))
         for k in range(1, LAST + 1):
