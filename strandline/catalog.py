@@ -2,5 +2,345 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import seq as S
+from strandline.operators import align, coverage, index, libraries, matching, overlap
+from strandline.plans.sql import G, steps
+from strandline.sources import reads as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, needs: str = "", sql: str | None = None):
+    """Register a query and the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, d: _long(f(spark, d))
+        if sql is not None:
+            SQL[name] = steps(needs, sql) if needs else sql
+        return f
+
+    return register
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Whole numbers as longs, as in the SQL."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _frags(spark: SparkSession, d: str) -> DataFrame:
+    return R.fragments(_docs(spark, d))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query"), R.bases(F.col("text")).alias("q"))
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.classes(_frags(spark, d).select(F.col("frag_id").alias("read_id"), "seq"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return matching.exact(_targets(spark, d), R.reads(spark, d))
+
+
+# Cleaning -----------------------------------------------------------------------------------------------------------
+
+#: Letters that stand for unknown bases in the queries on cleaning.
+UNKNOWN = "kwxyz"
+_KNOWN = "regexp_replace(" + G.replace("text", f"regexp_replace(text, '[{UNKNOWN}]', '?', 'g')", 1).replace("[^A-Za-z]", "[^A-Za-z?]") + r", '\?', 'N', 'g')"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with unknown bases in them."""
+    kept = F.regexp_replace(F.regexp_replace("text", f"[{UNKNOWN}]", "?"), "[^A-Za-z?]", "")
+    return R.fragments(_docs(spark, d), F.translate(kept, R.LETTERS + "?", R.BASES + "N"))
+
+
+_RAW_F = f"WITH g AS (SELECT doc_id, g FROM (SELECT doc_id, {_KNOWN} AS g FROM documents) WHERE length(g) >= 45), f AS (SELECT doc_id * 1048576 + k AS frag_id, substr(g, k * 50 + 1, 100) AS seq FROM (SELECT doc_id, g, unnest(range(0, (length(g) - 45) // 50 + 1)) AS k FROM g))"
+_TRIM = ", t AS (SELECT frag_id, list_reduce(list_prepend('', string_split(seq, 'N')), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS best FROM f)"
+
+
+@query("longest_n_free", sql=_RAW_F + _TRIM + " SELECT frag_id, best, length(best) >= 45 AS keep FROM t")
+def longest_n_free(spark, d):
+    best = S.longest_known(F.col("seq"))
+    return _raw(spark, d).select("frag_id", best.alias("best"), (F.length(best) >= R.LEAST).alias("keep"))
+
+
+@query("pair_demote", sql=_RAW_F + _TRIM + ", k AS (SELECT * FROM t WHERE length(best) >= 45) SELECT coalesce(a.frag_id // 2, b.frag_id // 2) AS n, coalesce(a.best, b.best) AS seq, CASE WHEN a.best IS NOT NULL THEN b.best END AS mate FROM (SELECT * FROM k WHERE frag_id % 2 = 0) a FULL JOIN (SELECT * FROM k WHERE frag_id % 2 = 1) b ON a.frag_id // 2 = b.frag_id // 2")
+def pair_demote(spark, d):
+    rows = _raw(spark, d).select("frag_id", R.cleaned(F.col("seq")).alias("seq")).filter("seq is not null")
+    each = [rows.filter(F.col("frag_id") % 2 == i).select(F.floor(F.col("frag_id") / 2).alias("n"), "seq") for i in (0, 1)]
+    return R.pair_up(*each)
+
+
+@query("quality_mask", sql=f"SELECT doc_id, array_to_string(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN ascii(substr(l, i, 1)) < 97 THEN 'N' ELSE substr(g, i, 1) END), '') AS masked FROM (SELECT doc_id, {G} AS g, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l FROM documents)")
+def quality_mask(spark, d):
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    return _docs(spark, d).select("doc_id", S.mask_low_quality(R.bases(F.col("text")), letters, 97).alias("masked"))
+
+
+@query("reads_revcomp", "reads", "SELECT read_id, frag_id, strand, seq FROM reads")
+def reads_revcomp(spark, d):
+    return R.reads(spark, d)
+
+
+@query("len_histogram", "reads", "SELECT length(seq) AS len, count(*) AS cnt FROM reads GROUP BY ALL")
+def len_histogram(spark, d):
+    return R.reads(spark, d).groupBy(F.length("seq").alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("base_position_counts", "reads", "SELECT prev, base, pos, count(*) AS cnt FROM (SELECT substr(seq, pos, 1) AS prev, substr(seq, pos + 1, 1) AS base, pos FROM (SELECT seq, unnest(range(1, length(seq))) AS pos FROM reads)) GROUP BY ALL")
+def base_position_counts(spark, d):
+    each = R.reads(spark, d).select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 1)).alias("pos"))
+    return each.groupBy(F.expr("substring(seq, pos, 1)").alias("prev"), F.expr("substring(seq, pos + 1, 1)").alias("base"), "pos").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("last_two_counts", "reads", "SELECT right(seq, 2) AS tail, count(*) AS cnt FROM reads GROUP BY ALL")
+def last_two_counts(spark, d):
+    return R.reads(spark, d).groupBy(F.right("seq", F.lit(2)).alias("tail")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# Index --------------------------------------------------------------------------------------------------------------
+
+
+@query("suffix_bwt", "bwt", "SELECT rk // 1024 AS block, string_agg(sym, '' ORDER BY rk) AS symbols FROM bwt GROUP BY ALL")
+def suffix_bwt(spark, d):
+    return index.blocks(index.bwt(R.reads(spark, d)))
+
+
+@query("bwt_runs", "bwt", "SELECT sym, run_len, count(*) AS cnt FROM (SELECT sym, count(*) AS run_len FROM (SELECT sym, rk - row_number() OVER (PARTITION BY sym ORDER BY rk) AS island FROM bwt) GROUP BY sym, island) GROUP BY ALL")
+def bwt_runs(spark, d):
+    return index.runs(index.bwt(R.reads(spark, d))).groupBy("sym", "run_len").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("occ_checkpoints", "bwt", "SELECT block, " + ", ".join(f"CAST(coalesce(sum({n}) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ_{n}" for n in ("end_", "a", "c", "g", "t")).replace("occ_end_", "occ_end") + " FROM (SELECT rk // 1024 AS block, " + ", ".join(f"count(*) FILTER (sym = '{s}') AS {n}" for s, n in zip("$ACGT", ("end_", "a", "c", "g", "t"))) + " FROM bwt GROUP BY ALL)")
+def occ_checkpoints(spark, d):
+    return index.checkpoints(index.bwt(R.reads(spark, d)))
+
+
+@query("sorted_read_ids", "reads", "SELECT row_number() OVER (ORDER BY seq || '$', reverse(seq), read_id) - 1 AS ids_rank, read_id FROM reads")
+def sorted_read_ids(spark, d):
+    return index.sorted_reads(R.reads(spark, d))
+
+
+@query("symbol_totals", "sfx", "SELECT sym, count(*) AS cnt FROM sfx GROUP BY ALL")
+def symbol_totals(spark, d):
+    return index.symbol_totals(R.reads(spark, d))
+
+
+@query("c_array", "sfx", "SELECT sym, CAST(sum(cnt) OVER (ORDER BY sym) - cnt AS BIGINT) AS start_rk FROM (SELECT sym, count(*) AS cnt FROM sfx GROUP BY ALL)")
+def c_array(spark, d):
+    return index.c_array(R.reads(spark, d))
+
+
+def _kmer_sql(k: int) -> str:
+    return f"SELECT substr(seq, p, {k}) AS kmer, count(*) AS cnt, CAST(sum(CASE WHEN p = length(seq) - {k - 1} THEN 1 ELSE 0 END) AS BIGINT) AS edge FROM (SELECT seq, unnest(range(1, length(seq) - {k - 2})) AS p FROM reads) GROUP BY ALL"
+
+
+@query("dinucleotides", "reads", _kmer_sql(2))
+def dinucleotides(spark, d):
+    return index.kmers(R.reads(spark, d), 2)
+
+
+@query("kmer_counts", "reads", _kmer_sql(8))
+def kmer_counts(spark, d):
+    return index.kmers(R.reads(spark, d), 8)
+
+
+@query("interval_counts", "sfx", "SELECT pattern, lo, width, n_start FROM (SELECT pattern, CAST(sum(width) OVER (ORDER BY pattern) - width AS BIGINT) AS lo, width, CAST(n_start AS BIGINT) AS n_start FROM (SELECT substr(suffix, 1, 6) AS pattern, count(*) AS width, count(*) FILTER (sym = '$') AS n_start FROM sfx GROUP BY ALL)) WHERE NOT contains(pattern, '$')")
+def interval_counts(spark, d):
+    return index.intervals(R.reads(spark, d), 6)
+
+
+@query("read_self_lookup", "reads", "SELECT count(*) AS asked, count(*) FILTER (n > 0) AS found, CAST(sum(n) AS BIGINT) AS places FROM (SELECT a.read_id, count(b.read_id) AS n FROM reads a LEFT JOIN reads b ON a.seq = b.seq GROUP BY ALL)")
+def read_self_lookup(spark, d):
+    rows = R.reads(spark, d)
+    held = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(held, "seq", "left").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("n") > 0).alias("found"), F.sum("n").alias("places"))
+
+
+# Matching -----------------------------------------------------------------------------------------------------------
+
+
+@query("exact_match", "hits", "SELECT query, read_id, q_start, q_end FROM hits")
+def exact_match(spark, d):
+    return _hits(spark, d)
+
+
+@query("hamming_match", "near", "SELECT query, read_id, q_start, q_end, mismatches FROM near")
+def hamming_match(spark, d):
+    return matching.within(_targets(spark, d), R.reads(spark, d))
+
+
+@query("interval_union", "hits", "SELECT query, min(q_start) AS s, max(q_end) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY query ORDER BY q_start, q_end) AS island FROM (SELECT *, CASE WHEN max(q_end) OVER (PARTITION BY query ORDER BY q_start, q_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= q_start THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT query, q_start, q_end FROM hits))) GROUP BY query, island")
+def interval_union(spark, d):
+    return matching.union_of_intervals(_hits(spark, d))
+
+
+@query("match_classify", "cls", "SELECT query, read_id, len, class FROM cls")
+def match_classify(spark, d):
+    return matching.classified(_targets(spark, d), R.reads(spark, d))
+
+
+@query("match_compete", "cls", "SELECT query, read_id, len, class FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, len, class FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' OR len = best")
+def match_compete(spark, d):
+    return matching.compete(matching.classified(_targets(spark, d), R.reads(spark, d)))
+
+
+@query("fasta_render", "hits", "SELECT query, 0 AS line_no, q AS line FROM q UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY q_start, read_id) AS line_no, repeat('-', q_start) || seq || repeat('-', length(q) - q_end) AS line FROM hits JOIN reads USING (read_id) JOIN q USING (query)")
+def fasta_render(spark, d):
+    return matching.rendered(_targets(spark, d), R.reads(spark, d), _hits(spark, d))
+
+
+# Overlap ------------------------------------------------------------------------------------------------------------
+
+
+@query("overlap_join", "ol", "SELECT left_id, right_id, ol, copies FROM ol")
+def overlap_join(spark, d):
+    return overlap.overlaps(_classes(spark, d))
+
+
+@query("overlap_counts", "ol", "SELECT left_id, CAST(sum(copies) AS BIGINT) AS n_reads, CAST(sum(ol * copies) AS BIGINT) AS n_bases FROM ol GROUP BY ALL")
+def overlap_counts(spark, d):
+    return overlap.overlap_counts(overlap.overlaps(_classes(spark, d)))
+
+
+@query("containment_join", "pairs", "SELECT r AS inner_id, l AS outer_id, p - 1 AS start FROM pairs WHERE length(rs) < length(ls) AND substr(ls, p, length(rs)) = rs")
+def containment_join(spark, d):
+    return overlap.contained(_classes(spark, d))
+
+
+@query("flay_divergence", "br", "SELECT id, coord, base, cnt FROM br")
+def flay_divergence(spark, d):
+    return overlap.divergence(_classes(spark, d))
+
+
+@query("best_branch", "br", "SELECT id, coord, count(*) AS n_branches, CASE WHEN count(*) FILTER (cnt = m) = 1 THEN max(CASE WHEN cnt = m THEN base END) END AS best FROM (SELECT *, max(cnt) OVER (PARTITION BY id, coord) AS m FROM br) GROUP BY id, coord")
+def best_branch(spark, d):
+    return overlap.best_branch(overlap.divergence(_classes(spark, d)))
+
+
+@query("branch_cull", "br", "SELECT id, coord, base, CASE WHEN cnt < least(20, 1 + (m > 19)::INT + m // 40) THEN 0 ELSE cnt END AS cnt FROM (SELECT *, max(cnt) OVER (PARTITION BY id, coord) AS m FROM br)")
+def branch_cull(spark, d):
+    from pyspark.sql import Window
+
+    most = F.max("cnt").over(Window.partitionBy("id", "coord"))
+    rows = overlap.divergence(_classes(spark, d)).withColumn("m", most)
+    return rows.select("id", "coord", "base", S.branch_cull(F.col("cnt"), F.col("m")).cast("long").alias("cnt"))
+
+
+# Libraries ----------------------------------------------------------------------------------------------------------
+
+
+@query("mate_lookup", "reads", "SELECT a.read_id, b.read_id AS mate FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 3)")
+def mate_lookup(spark, d):
+    return libraries.mates(R.reads(spark, d))
+
+
+def _libs(spark: SparkSession, d: str) -> DataFrame:
+    """One library for each language, of as many documents; the size is the mean length of its texts."""
+    sizes = _docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("n_chars")).alias("size"))
+    return libraries.libraries(sizes.select(F.col("lang").alias("lib_id"), "size", "n"))
+
+
+_LIB_SQL = "WITH s AS (SELECT lang AS lib_id, count(*) AS n, CAST(floor(avg(n_chars)) AS BIGINT) AS size FROM documents GROUP BY lang), l AS (SELECT lib_id, size, CAST(sum(n) OVER (ORDER BY lib_id) AS BIGINT) AS end_count, CAST(greatest(size // 5 - 100, 1) AS BIGINT) AS min_dist, CAST(floor(size * 1.2::DOUBLE + 200) AS BIGINT) AS max_dist, CAST(sum(n) OVER (ORDER BY lib_id) - n AS BIGINT) AS beg FROM s)"
+
+
+@query("lib_stats", sql=_LIB_SQL + " SELECT lib_id, size, end_count, min_dist, max_dist FROM l")
+def lib_stats(spark, d):
+    return _libs(spark, d)
+
+
+@query("lib_range_join", sql=_LIB_SQL + " SELECT doc_id AS id, lib_id FROM documents LEFT JOIN l ON doc_id >= beg AND doc_id < end_count")
+def lib_range_join(spark, d):
+    return libraries.library_of(_docs(spark, d).select(F.col("doc_id").alias("id")), _libs(spark, d))
+
+
+# Scalars ------------------------------------------------------------------------------------------------------------
+
+
+@query("homopolymer_len", "reads", "SELECT read_id, CAST(length(seq) - length(rtrim(seq, right(seq, 1))) AS BIGINT) AS run FROM reads")
+def homopolymer_len(spark, d):
+    return R.reads(spark, d).select("read_id", S.end_run(F.col("seq")).alias("run"))
+
+
+@query("homopolymer_score", "reads", "SELECT read_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(seq, 'AAA+|CCC+|GGG+|TTT+'), lambda x: length(x) - 2)), 0) AS BIGINT) AS score FROM reads")
+def homopolymer_score(spark, d):
+    return R.reads(spark, d).select("read_id", S.run_score(F.col("seq")).alias("score"))
+
+
+@query("end_trim", "reads", "SELECT read_id, CAST(coalesce(list_max(list_filter(range(1, 14), lambda k: right(seq, k) = left('AGATCGGAAGAGC', k))), 0) AS BIGINT) AS cut FROM reads")
+def end_trim(spark, d):
+    """Overlap of a read's end with the start of an adapter."""
+    return R.reads(spark, d).select("read_id", S.overlap_length(F.col("seq"), F.lit("AGATCGGAAGAGC"), 1).cast("int").alias("cut"))
+
+
+@query("symbol_codes", "reads", "SELECT read_id, CAST(strpos('ACGT', left(seq, 1)) - 1 AS BIGINT) AS first_code, CAST(strpos('ACGT', right(seq, 1)) - 1 AS BIGINT) AS last_code FROM reads")
+def symbol_codes(spark, d):
+    return R.reads(spark, d).select("read_id", S.symbol_code(F.left("seq", F.lit(1))).alias("first_code"), S.symbol_code(F.right("seq", F.lit(1))).alias("last_code"))
+
+
+# Coverage and graphs ------------------------------------------------------------------------------------------------
+
+
+@query("depth_per_base", "perbase", "SELECT query, pos, depth FROM perbase")
+def depth_per_base(spark, d):
+    return coverage.depth(_hits(spark, d))
+
+
+@query("median_coverage", "perbase", "SELECT query, count(*) AS covered, round(median(depth), 6) AS coverage FROM perbase GROUP BY ALL")
+def median_coverage(spark, d):
+    return coverage.median_depth(coverage.depth(_hits(spark, d)))
+
+
+@query("top_loci", "perbase", "SELECT row_number() OVER (ORDER BY covered DESC, query) AS place, query, covered, coverage FROM (SELECT query, count(*) AS covered, round(median(depth), 6) AS coverage FROM perbase GROUP BY ALL) ORDER BY covered DESC, query LIMIT 10")
+def top_loci(spark, d):
+    return coverage.longest_first(coverage.median_depth(coverage.depth(_hits(spark, d))), 10)
+
+
+@query("mem_align")
+def mem_align(spark, d):
+    """Reads placed with mismatches, aligned with the stretch of the query that they stand on."""
+    targets, rows = _targets(spark, d), R.reads(spark, d)
+    near = matching.within(targets, rows).filter("mismatches > 0").join(targets, "query").join(rows.select("read_id", "seq"), "read_id")
+    pairs = near.select(F.col("query").alias("a_id"), F.expr("substring(q, q_start + 1, q_end - q_start)").alias("a"), F.col("read_id").alias("b_id"), F.col("seq").alias("b"))
+    return align.aligned(pairs)
+
+
+def _overhangs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _classes(spark, d)
+    found = overlap.overlaps(rows).join(rows.select(F.col("id").alias("right_id"), "seq"), "right_id")
+    return found.select(F.col("left_id").alias("key"), F.expr("substring(seq, ol + 1)").alias("ext"))
+
+
+@query("extension_trie")
+def extension_trie(spark, d):
+    """Overhangs of the reads that overlap each read's end, merged."""
+    return align.tries(_overhangs(spark, d))
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    near = matching.within(_targets(spark, d), R.reads(spark, d))
+    return near.join(R.reads(spark, d).select("read_id", "seq"), "read_id").select(F.col("query").alias("locus"), "seq", F.col("q_start").alias("start"))
+
+
+@query("graph_paths")
+def graph_paths(spark, d):
+    """The two heaviest paths through the reads placed on each query."""
+    return align.paths(_placed(spark, d))
+
+
+@query("coverage_loci")
+def coverage_loci(spark, d):
+    """Queries whose two paths pass the gates on length and similarity, with their coverage."""
+    return align.diploid(align.paths(_placed(spark, d)), coverage.median_depth(coverage.depth(_hits(spark, d))))
