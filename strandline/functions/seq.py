@@ -27,7 +27,7 @@ def is_sequence(seq: Column) -> Column:
 def mask_low_quality(seq: Column, quality: Column, least: int) -> Column:
     """Bases whose quality character is below ``least`` (as a code point) become N."""
     pairs = F.zip_with(F.split(seq, ""), F.split(quality, ""), lambda s, q: F.when(F.ascii(q) < least, F.lit("N")).otherwise(s))
-    return F.array_join(pairs, "")
+    return F.when(seq == "", seq).otherwise(F.array_join(pairs, ""))
 
 
 def longest_known(seq: Column) -> Column:
