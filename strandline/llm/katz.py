@@ -315,7 +315,7 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK, bucket_tokens: int = BUCKE
             r[pairs_here] = _read(mine.counts[b])
             history = np.unique(c.history[pairs_here])
             sums[:, history] = np.frombuffer(mine.sums[b]).reshape(LAST + 2, len(history))
-        for place in np.flatnonzero(c.shares > 1):
+        for place in np.flatnonzero(c.shares[:-2] > 1).tolist() + [len(c.shares) - 1] * int(c.shares[-1] > 1):  # an end is no history
             sums[:, place] = hot[int(c.hashes[place])]
         seen = sums[0].copy()
         discounted = seen - sum((1 - d[k]) * k * sums[k] for k in range(1, LAST + 1))
