@@ -155,15 +155,3 @@ def op2_simhash(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
-
-def keep_one(spark, docs: DataFrame, threshold: int = 2, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that of its least doc_id.
-
-    Rows with a null doc_id all stay; of repeated rows with one doc_id, one stays (the least by text).
-    """
-    groups = near_duplicates(docs, threshold, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.filter("doc_id is not null").join(groups, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return kept.unionByName(docs.filter("doc_id is null"))

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from strandline.llm.graph import components
-from strandline.llm.simhash import fingerprint, homes, keep_one, links, near_duplicates, reached
+from strandline.llm.simhash import fingerprint, homes, links, near_duplicates, reached
 
 
 def brute(text, shingle=3):
@@ -77,9 +77,3 @@ def test_groups_by_brute_force(spark, odd, none):
             least[group[f]] = min(d, least.get(group[f], d))
     assert sorted(map(str, ((d, f"{f:016x}", least.get(group[f])) for d, f in docs))) == sorted(str(tuple(r)) for r in rows)
 
-
-def test_one_of_each_group_stays(spark, odd, none):
-    assert keep_one(spark, none).count() == 0
-    rows = keep_one(spark, odd)
-    assert rows.columns == odd.columns
-    assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted([-8, 1, 2, 5, 6, 7, None], key=str)
