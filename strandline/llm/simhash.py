@@ -131,7 +131,8 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     at_home = distinct.select("fp").mapInArrow(home, "anchor long, a long")
     everywhere = distinct.select("fp").mapInArrow(replicate, "anchor long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return at_home.join(everywhere, "anchor").filter(near).select("a", "b")
+    # sizes are known of the fingerprints, not of their replicas: neither side may be broadcast on such an estimate
+    return at_home.hint("merge").join(everywhere, "anchor").filter(near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
