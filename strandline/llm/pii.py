@@ -176,7 +176,10 @@ def find(docs: DataFrame) -> DataFrame:
         names = F.array(*[F.lit(k) for k in KINDS])
         return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", names[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def of_kind(k):
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return joined.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", more)).alias("spans"), listed(more).alias("found"))
 
 
