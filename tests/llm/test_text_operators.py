@@ -75,7 +75,7 @@ def test_personal_data_in_odd_rows(spark, odd, none):
     assert sorted((str(r.doc_id), r.base_sha256) for r in rows) == want
     counts = sorted((str(r.doc_id), *(sum(k == i for _, k, _ in base(r.text or "")) for i in range(4))) for r in odd.collect())
     assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows) == counts
-    kinds = spark.createDataFrame([(1, "a@b.c d@e.f 1.2.3.4 4111111111111111 +1 555 010 2000 x@y.z")], "doc_id long, text string")
+    kinds = spark.createDataFrame([(1, "a@b.c d@e.f 1.2.3.4, 4111111111111111 +1 555 010 2000 x@y.z")], "doc_id long, text string")
     assert tuple(pii.find(kinds).first())[1:5] == (3, 1, 1, 1)
 
 
