@@ -28,8 +28,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Shapes that the base patterns leave: an address with its signs spelt out, and a number in groups.
-SPELT = re.compile(r"[A-Za-z0-9._-]+(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
+#: Shapes that the base patterns leave: an address with its signs spelt out, and a number in groups. Each run of letters
+#: is tried from its start only, so that long runs cost no more than their length.
+SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
 NUMBER = re.compile(r"(?<![A-Za-z0-9+.])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![A-Za-z0-9]|[.-][0-9])")
 BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}\s*(?:([^\W\d_]+)[^\w]{0,3})?\s*$")
 

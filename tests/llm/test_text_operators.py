@@ -68,6 +68,14 @@ def test_context_finds_more(spark):
     assert all(rows[200 + i].spans == "" for i in range(30))
 
 
+def test_long_runs_cost_their_length():
+    import time
+
+    begin = time.time()
+    assert pii.candidates("x at y " + "a" * 2_000_000 + " me at mail dot example dot org", []) == [(2_000_008, 0, 2_000_038)]
+    assert time.time() - begin < 20
+
+
 def test_personal_data_in_odd_rows(spark, odd, none):
     assert pii.find(none).count() == 0
     rows = pii.find(odd).collect()
