@@ -169,6 +169,18 @@ def read_self_lookup(spark, d):
     return rows.join(held, "seq", "left").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("n") > 0).alias("found"), F.sum("n").alias("places"))
 
 
+@query("interval_symbols", "sfx", "SELECT pattern, sym, n, CAST(n_edge AS BIGINT) AS n_edge FROM (SELECT substr(suffix, 1, 6) AS pattern, sym, count(*) AS n, count(*) FILTER (length(suffix) = 7) AS n_edge FROM sfx GROUP BY ALL) WHERE NOT contains(pattern, '$')")
+def interval_symbols(spark, d):
+    return index.interval_symbols(R.reads(spark, d), 6)
+
+
+@query("rank_lookup", "bwt", "SELECT rk, " + ", ".join(f"occ_{n}" for n in ("end", "a", "c", "g", "t")) + " FROM (SELECT rk, sym, " + ", ".join(f"CAST(coalesce(sum((sym = '{s}')::INT) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ_{n}" for s, n in zip("$ACGT", ("end", "a", "c", "g", "t"))) + " FROM bwt) WHERE sym = '$'")
+def rank_lookup(spark, d):
+    """Symbols before the rank of every whole read."""
+    transform = index.bwt(R.reads(spark, d))
+    return index.rank_before(transform, index.checkpoints(transform), transform.filter("sym = '$'").select("rk"))
+
+
 # Matching -----------------------------------------------------------------------------------------------------------
 
 
@@ -192,7 +204,19 @@ def match_classify(spark, d):
     return matching.classified(_targets(spark, d), R.reads(spark, d))
 
 
-@query("match_compete", "cls", "SELECT query, read_id, len, class FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, len, class FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' OR len = best")
+def _cut_sql(side: int) -> str:
+    q, seq = ("q", "seq") if side else ("reverse(q)", "reverse(seq)")
+    start = "p - 1" if side else "length(q) - p + 1 - k"
+    found = f"SELECT query, read_id, q, seq, p, coalesce(list_min(list_filter(range(1, least(length(q) - p + 1, length(seq)) + 1), lambda i: substr(q, p + i - 1, 1) <> substr(seq, i, 1))) - 1, least(length(q) - p + 1, length(seq))) AS k FROM (SELECT query, q, p, substr(q, p, 24) AS seed FROM (SELECT query, q, unnest(range(1, length(q) - 22)) AS p FROM (SELECT query, {q} AS q FROM q) WHERE length(q) >= 24)) JOIN (SELECT read_id, {seq} AS seq, left({seq}, 24) AS seed FROM reads) USING (seed)"
+    return f"SELECT query, read_id, {side} AS side, {start} AS q_start, {start} + k AS q_end FROM ({found}) WHERE p - 1 + k < length(q) AND k < length(seq) AND starts_with('{S.AFTER if side else S.BEFORE}', substr(seq, k + 1, 3))"
+
+
+@query("adapter_cut", "q reads", f"SELECT query, read_id, side, q_start, q_end FROM (SELECT *, row_number() OVER (PARTITION BY query, read_id, side ORDER BY q_end - q_start DESC, q_start) AS n FROM ({_cut_sql(1)} UNION ALL {_cut_sql(0)})) WHERE n = 1")
+def adapter_cut(spark, d):
+    return matching.without_adapters(_targets(spark, d), R.reads(spark, d))
+
+
+@query("match_compete", "cls", "SELECT query, read_id, len, class FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, len, class FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' AND best IS NULL OR class = 'inexact' AND len = best")
 def match_compete(spark, d):
     return matching.compete(matching.classified(_targets(spark, d), R.reads(spark, d)))
 
@@ -220,6 +244,19 @@ def containment_join(spark, d):
     return overlap.contained(_classes(spark, d))
 
 
+@query("end_in_target", "c", "SELECT id, target, max(k) AS k FROM (SELECT a.id AS id, t.id AS target, list_max(list_filter(range(45, least(e, length(a.seq)) + 1), lambda k: substr(t.seq, e - k + 1, k) = right(a.seq, k))) AS k FROM (SELECT id, seq, e, substr(seq, e - 44, 45) AS seed FROM (SELECT id, seq, unnest(range(45, length(seq) + 1)) AS e FROM c)) t JOIN (SELECT id, seq, right(seq, 45) AS seed FROM c) a USING (seed) WHERE a.id <> t.id) GROUP BY ALL")
+def end_in_target(spark, d):
+    return overlap.ends_inside(_classes(spark, d))
+
+
+@query("offset_congruence", "f", "SELECT a.frag_id AS frag_id, substr(a.seq, 51, least(length(a.seq) - 50, length(b.seq))) = left(b.seq, least(length(a.seq) - 50, length(b.seq))) AS agrees FROM f a JOIN f b ON b.frag_id = a.frag_id + 1")
+def offset_congruence(spark, d):
+    """Each fragment against the next of its document."""
+    rows = _frags(spark, d)
+    after = rows.select((F.col("frag_id") - 1).alias("frag_id"), F.col("seq").alias("b"))
+    return rows.join(after, "frag_id").select("frag_id", S.congruent(F.col("seq"), F.col("b"), 50).alias("agrees"))
+
+
 @query("flay_divergence", "br", "SELECT id, coord, base, cnt FROM br")
 def flay_divergence(spark, d):
     return overlap.divergence(_classes(spark, d))
@@ -266,6 +303,13 @@ def lib_range_join(spark, d):
     return libraries.library_of(_docs(spark, d).select(F.col("doc_id").alias("id")), _libs(spark, d))
 
 
+@query("mate_direction", "reads", "SELECT read_id, CASE o WHEN 0 THEN 2 WHEN 3 THEN 1 - strand ELSE strand END AS side, CASE o WHEN 0 THEN true WHEN 2 THEN strand = 1 WHEN 3 THEN strand <> 1 ELSE false END AS marks FROM (SELECT read_id, strand, length(seq) % 4 AS o FROM reads)")
+def mate_direction(spark, d):
+    """Sides of mates, for libraries of every orientation (here by a read's length)."""
+    o = F.length("seq") % 4
+    return R.reads(spark, d).select("read_id", libraries.direction(F.col("read_id"), o).alias("side"), libraries.marks_mate(F.col("strand"), F.lit(1), o).alias("marks"))
+
+
 # Scalars ------------------------------------------------------------------------------------------------------------
 
 
@@ -303,6 +347,13 @@ def median_coverage(spark, d):
     return coverage.median_depth(coverage.depth(_hits(spark, d)))
 
 
+@query("coverage_summary", "q perbase", "SELECT count(*) AS asked, count(*) FILTER (coverage IS NULL) AS unmatched, round(median(coverage), 6) AS coverage FROM q LEFT JOIN (SELECT query, round(median(depth), 6) AS coverage FROM perbase GROUP BY ALL) USING (query)")
+def coverage_summary(spark, d):
+    """Queries asked, those that no read stands on, and the median of the others' coverage."""
+    medians = coverage.median_depth(coverage.depth(_hits(spark, d)))
+    return coverage.summary(_targets(spark, d), medians)
+
+
 @query("top_loci", "perbase", "SELECT row_number() OVER (ORDER BY covered DESC, query) AS place, query, covered, coverage FROM (SELECT query, count(*) AS covered, round(median(depth), 6) AS coverage FROM perbase GROUP BY ALL) ORDER BY covered DESC, query LIMIT 10")
 def top_loci(spark, d):
     return coverage.longest_first(coverage.median_depth(coverage.depth(_hits(spark, d))), 10)

@@ -69,3 +69,27 @@ def branch_cull(count: Column, largest: Column) -> Column:
 def mate_id(read_id: Column, forward: Column) -> Column:
     """The mate's oriented id: 0-3 and 1-2 in a group of four for facing mates, 0-2 and 1-3 for mates of one direction."""
     return read_id.bitwiseXOR(F.when(forward, F.lit(2)).otherwise(F.lit(3)).cast("long"))
+
+
+def common_prefix(left: Column, right: Column) -> Column:
+    """Bases that two sequences share from their start."""
+    most = F.least(F.length(left), F.length(right))
+    places = F.sequence(F.lit(1), F.greatest(most, F.lit(1)))
+    first = F.array_min(F.filter(places, lambda i: F.substring(left, i, F.lit(1)) != F.substring(right, i, F.lit(1))))
+    return F.coalesce(first - 1, most)
+
+
+def congruent(left: Column, right: Column, offset: int) -> Column:
+    """Whether ``right``, laid ``offset`` bases along ``left``, agrees with it in all places of both; without such places it does not."""
+    size = F.least(F.length(left) - offset, F.length(right))
+    return (size > 0) & (F.substring(left, F.lit(offset + 1), size) == F.left(right, size))
+
+
+#: The first bases of an adapter after a read's insert, and what stands before the insert, read backwards.
+AFTER, BEFORE = "CTG", "GAC"
+
+
+def starts_adapter(rest: Column, adapter: str = AFTER) -> Column:
+    """Whether what is left of a read begins like the adapter, as far as either goes; nothing left is no adapter."""
+    size = F.least(F.length(rest), F.lit(len(adapter)))
+    return (size > 0) & (F.left(rest, size) == F.left(F.lit(adapter), size))

@@ -102,10 +102,17 @@ def intervals(reads: DataFrame, k: int) -> DataFrame:
     return placed.filter(~F.contains("pattern", F.lit(END))).select("pattern", "lo", "width", "n_start")
 
 
+def interval_symbols(reads: DataFrame, k: int) -> DataFrame:
+    """pattern, sym, n, n_edge: symbols before the places of each word of k bases, and how many of these places end a read."""
+    heads = suffixes(reads).select(F.substring("suffix", 1, k).alias("pattern"), "sym", (F.length("suffix") == k + 1).cast("int").alias("e"))
+    counts = heads.filter(~F.contains("pattern", F.lit(END))).groupBy("pattern", "sym")
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("n_edge"))
+
+
 def rank_before(transform: DataFrame, table: DataFrame, positions: DataFrame, step: int = STEP) -> DataFrame:
-    """positions (rk) with the symbols before each: the checkpoint of its block and the block's rows up to it."""
-    keyed = positions.withColumn("block", F.floor(F.col("rk") / step))
-    rows = transform.select(F.floor(F.col("rk") / step).alias("block"), F.col("rk").alias("at"), "sym")
-    inside = keyed.join(rows, "block", "left").groupBy("rk", "block").agg(*[F.count_if((F.col("sym") == s) & (F.col("at") < F.col("rk"))).alias(f"in_{i}") for i, s in enumerate(SYMBOLS)])
+    """positions (rk) with the symbols before each: the checkpoint of its block and a running sum inside the block."""
+    rows = transform.select("rk", "sym", F.lit(1).alias("held")).unionByName(positions.select("rk", F.lit(None).cast("string").alias("sym"), F.lit(0).alias("held")))
+    before = Window.partitionBy("block").orderBy("rk", "held").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("block", F.floor(F.col("rk") / step)).withColumns({f"in_{i}": F.coalesce(F.sum((F.col("sym") == s).cast("int")).over(before), F.lit(0)) for i, s in enumerate(SYMBOLS)})
     names = ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")
-    return inside.join(table, "block").select("rk", *[(F.col(n) + F.col(f"in_{i}")).alias(n) for i, n in enumerate(names)])
+    return inside.filter("held = 0").join(table, "block").select("rk", *[(F.col(n) + F.col(f"in_{i}")).alias(n) for i, n in enumerate(names)])

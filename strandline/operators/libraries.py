@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.seq import mate_id
@@ -28,3 +28,18 @@ def library_of(ids: DataFrame, libs: DataFrame) -> DataFrame:
     """id, lib_id by range join; ids beyond the last library have none."""
     ranges = libs.select("lib_id", "end_count", F.lag("end_count", 1, 0).over(Window.orderBy("lib_id")).alias("begin")).limit(MOST)
     return ids.join(F.broadcast(ranges), (F.col("id") >= F.col("begin")) & (F.col("id") < F.col("end_count")), "left").select("id", "lib_id")
+
+
+#: How the mates of a library face.
+UNKNOWN, SAME, FACING, APART = range(4)
+
+
+def direction(read_id: Column, orientation: Column) -> Column:
+    """Side on which a read's mate lies: 0 or 1 by strand, turned round for mates that face apart; 2 if unknown."""
+    strand = read_id.bitwiseAND(F.lit(1).cast("long"))
+    return F.when(orientation == UNKNOWN, 2).when(orientation == APART, 1 - strand).otherwise(strand)
+
+
+def marks_mate(reverse: Column, side: Column, orientation: Column) -> Column:
+    """Whether a read (its strand) gives a mark for its mate on a side: always if unknown, never for mates of one direction."""
+    return F.when(orientation == UNKNOWN, True).when(orientation == FACING, reverse == side).when(orientation == APART, reverse != side).otherwise(False)

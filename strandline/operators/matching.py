@@ -5,10 +5,10 @@ Candidates come from equi-joins on seeds, and are then verified; no pair is form
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.seq import hamming
+from strandline.functions.seq import AFTER, BEFORE, common_prefix, hamming, starts_adapter
 
 #: Bases of an exact seed. Reads are at least 45 long.
 SEED = 24
@@ -64,12 +64,33 @@ def classified(queries: DataFrame, reads: DataFrame, mismatches: int = 2) -> Dat
     return seeded(queries, reads).join(best, ["query", "read_id"], "left").select("query", "read_id", "len", kind.alias("class"))
 
 
+def without_adapters(queries: DataFrame, reads: DataFrame) -> DataFrame:
+    """query, read_id, side, q_start, q_end: reads that leave a query in its midst with an adapter; the stretch before is exact.
+
+    Side 1 is a read whose beginning stands in the query and whose rest begins like the adapter, side 0 its mirror image: an
+    end that stands in the query with the adapter before it. Of several places of a read the longest counts, the first of those.
+    """
+
+    def placed(side: int, q: Column, seq: Column, adapter: str) -> DataFrame:
+        turned = queries.select("query", q.alias("q")).filter(F.length("q") >= SEED)
+        seeds = turned.select("query", "q", F.explode(F.sequence(F.lit(1), F.length("q") - SEED + 1)).alias("p")).withColumn("seed", F.expr(f"substring(q, p, {SEED})"))
+        keyed = reads.select("read_id", seq.alias("seq")).withColumn("seed", F.substring("seq", 1, SEED))
+        found = seeds.join(keyed, "seed").withColumn("k", common_prefix(F.expr("substring(q, p)"), F.col("seq")))
+        cut = found.filter("p - 1 + k < length(q)").filter(starts_adapter(F.expr("substring(seq, k + 1)"), adapter))
+        start = F.col("p") - 1 if side else F.length("q") - F.col("p") + 1 - F.col("k")
+        return cut.select("query", "read_id", F.lit(side).alias("side"), start.alias("q_start"), (start + F.col("k")).alias("q_end"))
+
+    both = placed(1, F.col("q"), F.col("seq"), AFTER).unionByName(placed(0, F.reverse("q"), F.reverse("seq"), BEFORE))
+    best = F.max_by(F.struct("q_start", "q_end"), F.struct(F.col("q_end") - F.col("q_start"), -F.col("q_start")))
+    return both.groupBy("query", "read_id", "side").agg(best.alias("x")).select("query", "read_id", "side", "x.q_start", "x.q_end")
+
+
 def compete(classes: DataFrame) -> DataFrame:
-    """Classified reads, without the inexact and unmatched ones that are exact elsewhere; of inexact ones the longest per read."""
+    """Classified reads, without those that are exact elsewhere or unmatched here and inexact elsewhere; of inexact ones the longest per read."""
     elsewhere = classes.filter("class = 'exact'").select("read_id").distinct()
     rest = classes.filter("class <> 'exact'").join(elsewhere, "read_id", "left_anti")
     longest = F.max(F.when(F.col("class") == "inexact", F.col("len"))).over(Window.partitionBy("read_id"))
-    kept = rest.withColumn("best", longest).filter("class = 'unmatched' or len = best").drop("best")
+    kept = rest.withColumn("best", longest).filter("class = 'unmatched' and best is null or class = 'inexact' and len = best").drop("best")
     return classes.filter("class = 'exact'").unionByName(kept)
 
 

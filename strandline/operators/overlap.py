@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.seq import common_prefix
+
 #: Least overlap.
 LEAST = 45
 
@@ -44,6 +46,15 @@ def contained(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return held.select(F.col("r").alias("inner_id"), F.col("l").alias("outer_id"), (F.col("p") - 1).alias("start"))
 
 
+def ends_inside(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """id, target, k: longest end of a read, ``least`` bases or more, that stands anywhere in another read.
+
+    Reversed, ends are beginnings, so the seed join serves here too.
+    """
+    found = _seeded(rows.withColumn("seq", F.reverse("seq")), least).withColumn("k", common_prefix(F.expr("substring(ls, p)"), F.col("rs")))
+    return found.groupBy(F.col("r").alias("id"), F.col("l").alias("target")).agg(F.max("k").alias("k"))
+
+
 def divergence(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """id, coord, base, cnt: where other reads agree with a read for ``least`` bases or more and then go on with another base."""
     pairs = _seeded(rows, least).withColumn("rest", F.expr("substring(ls, p)"))

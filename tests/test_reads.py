@@ -135,3 +135,31 @@ def test_tries_and_paths(spark):
     reads = [(0, genome[s : s + 20], s) for s in (0, 5, 10, 15, 20)]
     got = align.paths(spark.createDataFrame(reads, "locus long, seq string, start int"), least=10).filter("rank = 1").first()
     assert (got.seq, got.n_reads) == (genome[:40], 5)
+
+
+def test_query_files_and_sinks(spark, tmp_path):
+    from strandline.sources import queries as Q
+
+    (tmp_path / "a.fa").write_text(">one\nACGT\n>two\nACNT\n>bad\nACXT\n>late\nACGT\n")
+    (tmp_path / "b.fq").write_text("@r\nACGTA\n+\nIIIII\n")
+    (tmp_path / "c.txt").write_text("ACGT\nGGTT\n\nCCCC\n")
+    got = Q.query_files(spark, [str(tmp_path / n) for n in ("a.fa", "b.fq", "c.txt")]).collect()
+    assert sorted((r.path[-4:], r.n, r.query, r.q) for r in got if r.query) == [("a.fa", 0, "one", "ACGT"), ("a.fa", 1, "two", "ACNT"), ("b.fq", 0, "r", "ACGTA")]
+    assert sorted((r.n, r.q) for r in got if not r.query) == [(0, "ACGT"), (1, "GGTT")]
+    (tmp_path / "d.txt").write_text("A" * 300 + "\n" + "C" * 299 + "\n")
+    assert [(r.n, len(r.q)) for r in Q.coverage_queries(spark, str(tmp_path / "d.txt")).collect()] == [(0, 300)]
+    assert tuple(Q.literal(spark, {"x": "ACG"}).first()) == ("x", "ACG")
+    lines = spark.createDataFrame([("b", 0, "GG"), ("a", 1, "-C"), ("a", 0, "AC")], "query string, line_no int, line string")
+    Q.write_fasta(lines, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).coalesce(1).collect()] in (["AC", "-C", "GG"], ["GG", "AC", "-C"])
+    Q.write_coverage(spark.createDataFrame([("a", 2.005), ("b", 3.0)], "query string, coverage double"), str(tmp_path / "cov"))
+    assert sorted(float(r.value) for r in spark.read.text(str(tmp_path / "cov")).collect()) in ([2.0, 3.0], [2.01, 3.0])
+
+
+def test_adapters_and_ends(spark):
+    stretch = "ACGGTCATTGCAGGCTTAACCGTATCGA"
+    q = spark.createDataFrame([(1, "TT" + stretch + "AATT")], "query long, q string")
+    rows = spark.createDataFrame([(1, stretch + "CTGAAA"), (2, "TTCAG" + stretch), (3, stretch + "GTG"), (4, stretch + "CT"), (5, stretch)], "read_id long, seq string")
+    got = sorted(tuple(r) for r in matching.without_adapters(q, rows).collect())
+    assert got == [(1, 1, 1, 2, 30), (1, 2, 0, 2, 30), (1, 4, 1, 2, 30)]
+    assert [tuple(r) for r in spark.createDataFrame([("ACGT", "GTTT"), ("ACGT", ""), ("AC", "GT")], "a string, b string").select(S.congruent(F.col("a"), F.col("b"), 2), S.common_prefix(F.col("a"), F.col("b"))).collect()] == [(True, 0), (False, 0), (False, 0)]
