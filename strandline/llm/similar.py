@@ -1,10 +1,10 @@
-"""Near-duplicate documents at a given similarity of word shingles, from SimHash fingerprints of their parts.
+"""Near-duplicate documents at a given similarity of word shingles: every pair that reaches it is found and checked exactly.
 
-One fingerprint of a whole text tells texts apart that differ in more than a few shingles in a hundred. So the shingles of a
-text are dealt by their hash to parts of some four to eight; texts that share four fifths of their shingles agree in whole
-parts. Each part has a SimHash fingerprint. Parts of one home anchor and fingerprint propose pairs: every member with the
-group's centre and with the centre of its own subgroup, so a group of any size proposes two pairs a member. Proposed
-pairs are checked on their shingles: exactly up to ``SKETCH`` distinct shingles, on the ``SKETCH`` least hashes beyond.
+Two texts of that similarity share a shingle among the first few of either (about a fifth at 0.8) in any one order of all
+shingles. Texts that share such a shingle, and whose sizes, places and bit signatures allow the similarity, are compared on
+their whole shingles. Frequent shingles, estimated from a sample of texts, come last in the order; the order changes the work and never
+the result. A first round compares each class with one likely centre only, so that a large group is mostly one component
+before all remaining pairs of distinct components are compared.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import rows_of, scratch_table, text_or_empty
+from strandline.llm.common import rows_of, scratch_table, settle, text_or_empty
 from strandline.llm.graph import components
-from strandline.llm.simhash import homes
 
-#: Least shingles of a part, most parts of a text that are compared, hashes of a sketch, and subgroups of a group.
-PART, PARTS, SKETCH, SUBGROUPS = 4, 24, 256, 16
+#: One text in so many is counted for the order of shingles, from so many of them a shingle is frequent; most that are told apart.
+SAMPLE, FREQUENT, MOST = 12, 5, 200_000
+#: Longs of a bit signature, and most rows that the executors hold each as a list of what to read.
+LANES, FEW = 8, 1_000_000
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -39,93 +40,123 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[-n:].tolist())], np.uint64))
 
 
-def part_fingerprints(hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(place, fingerprint): SimHash of each part that is compared.
+def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of frequent shingles, the most frequent last."""
 
-    Texts are dealt to a power of two of parts by their size; those just below a change of the power are dealt to the next
-    one as well, so that texts whose sizes differ by a fifth have one power in common.
-    """
-    out = []
-    level = max(0, int(np.floor(np.log2(max(len(hashes), 1) / PART))))
-    near = len(hashes) / (PART * 2**level) > 1.6
-    for power in (level, level + 1) if near else (level,):
-        part = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(1 << power)
-        few = part < PARTS
-        order = np.argsort(part[few], kind="stable")
-        own, place = hashes[few][order], part[few][order].astype(np.int64)
-        which, first = np.unique(place, return_index=True)
-        if not len(which):
-            continue
-        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-        sums = np.add.reduceat(bits, first, axis=0)
-        size = np.diff(np.append(first, len(own)))
-        fingerprints = np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-        out += [(power << 8 | int(w), int(f)) for w, f in zip(which, fingerprints)]
-    return out
-
-
-MARKED = "doc_id long, class long, sketch binary, places array<int>, fingerprints array<long>"
-
-
-def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row of ``docs``: the class of its shingles (texts of equal shingles have one), their sketch, and its parts."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in rows_of(batches):
+            found = [shingles(t.encode("utf-8", "surrogatepass"), shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    sample = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counts = text_or_empty(sample).mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST).select("shingle").toArrow()
+    return top.column(0).to_numpy().view(np.uint64)[::-1]
 
-        with np.errstate(over="ignore"):
-            for ids, texts in rows_of(batches):
-                rows = []
-                for doc, text in zip(ids, texts):
-                    h = shingles(text.encode("utf-8", "surrogatepass"), shingle)
-                    parts = part_fingerprints(h)
-                    rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, h[:SKETCH].tobytes(), [p for p, _ in parts], [f for _, f in parts]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in MARKED.split(", ")]
-    return text_or_empty(docs).mapInArrow(mark, MARKED)
+def prefix(hashes: np.ndarray, least: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a text, one of which each text of the similarity has among its own; ``known`` sorted, ``rank`` its places."""
+    if not len(hashes):
+        return hashes
+    count = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    if not len(known):
+        return hashes[:count]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return hashes[np.argsort(np.where(known[at] == hashes, rank[at] + 1, 0), kind="stable")[:count]]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from sorted hashes: exact for whole sets, else an estimate from the least hashes of both."""
-    if len(a) < SKETCH and len(b) < SKETCH:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both / max(1, len(a) + len(b) - both)
-    least = np.union1d(a, b)[:SKETCH]
-    return np.count_nonzero(np.isin(least, a, assume_unique=True) & np.isin(least, b, assume_unique=True)) / len(least)
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each bit: two texts differ in as many shingles at least as their signatures do in bits."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def proposed(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of classes whose parts agree."""
+MARKED = "doc_id long, class long, n int, prefix array<long>, bits array<long>, hashes binary"
 
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("place"), batch.column("fp"), pa.array(homes(fp))], names=["class", "place", "fp", "anchor"])
 
-    parts = classes.select("class", F.explode(F.arrays_zip("places", "fingerprints")).alias("x")).select("class", F.col("x.places").alias("place"), F.col("x.fingerprints").alias("fp"))
-    key = ["place", "anchor", "fp"]
-    held = scratch_table(parts.mapInArrow(anchor, "class long, place int, fp long, anchor long"), "parts")
-    salted = held.withColumn("sub", F.pmod(F.xxhash64("class", "place"), F.lit(SUBGROUPS)))
-    subgroups = salted.groupBy(*key, "sub").agg(F.min_by("class", F.xxhash64("class", "fp")).alias("centre"), F.count(F.lit(1)).alias("n"))
-    whole = subgroups.groupBy(*key).agg(F.min_by("centre", F.xxhash64("centre", "fp")).alias("centre"), F.sum("n").alias("n")).filter("n > 1")
-    near = salted.join(subgroups.filter("n > 1"), [*key, "sub"]).select("class", "centre")
-    far = held.join(whole, key).select("class", "centre")
-    return near.unionByName(far).filter("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+def marked(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Per row of ``docs``: the class of its shingles (texts of equal shingles have one), their number, what it is joined on, and all of them."""
+    order = frequent(docs, shingle)
+    rank = np.argsort(order)
+    known = order[rank]
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def links(classes: DataFrame, least: float) -> DataFrame:
-    """Proposed pairs of classes that are at least so similar."""
+        for ids, texts in rows_of(batches):
+            rows = []
+            for doc, text in zip(ids, texts):
+                h = shingles(text.encode("utf-8", "surrogatepass"), shingle)
+                rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, len(h), prefix(h, least, known, rank).view(np.int64), signature(h), h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = [f.split()[0] for f in MARKED.split(", ")]
+    return text_or_empty(docs).mapInArrow(mark, MARKED).withColumn("uid", F.monotonically_increasing_id())
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of sorted hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def shared(classes: DataFrame) -> DataFrame:
+    """token, class, n, bits, i: the first shingles that more than one class has among its first, and their place in the class."""
+    tokens = classes.select("class", "n", F.posexplode("prefix").alias("i", "token"))
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("token")
+    return tokens.join(several, "token")
+
+
+def starred(members: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b: every class with the one likely centre that it shares most first shingles with."""
+    weight = members.groupBy("class").agg(F.count(F.lit(1)).alias("w"))
+    weighed = members.select("token", "class", "n").join(weight, "class")
+    centres = weighed.groupBy("token").agg(F.max(F.struct("w", "class", "n")).alias("c")).select("token", F.col("c.class").alias("centre"), F.col("c.n").alias("m"))
+    met = members.select("token", "class", "n").join(centres, "token").filter(F.col("class") != F.col("centre")).filter(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    best = met.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("k")).groupBy("class").agg(F.max(F.struct("k", "centre")).alias("x"))
+    return best.select(F.least("class", "x.centre").alias("a"), F.greatest("class", "x.centre").alias("b")).distinct()
+
+
+def remaining(members: DataFrame, signatures: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """Every pair a, b of classes of distinct components whose first shingles, sizes, places and signatures allow the similarity."""
+    named = members.join(joined.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+    held = named.join(open_, "token").join(signatures, "class")
+    held = scratch_table(held.select("token", "class", "n", "i", "component", *[F.col("bits")[k].alias(f"b{k}") for k in range(LANES)]), "open")
+    x, y = held.alias("x"), held.alias("y")
+    size, both = F.col("x.n") + F.col("y.n"), F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    differ = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(LANES)), F.lit(0))
+    near = (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class")))) & (F.col("x.n") >= least * F.col("y.n") - 1e-9)
+        & (both >= least / (1 + least) * size - 1e-6) & (differ <= (1 - least) / (1 + least) * size + 1e-6)
+    )
+    return x.join(y, near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs whose whole shingles have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sketches = classes.select("class", "sketch")
-    pairs = proposed(classes).join(sketches.withColumnsRenamed({"class": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"class": "b", "sketch": "y"}), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    pairs = scratch_table(pairs, "pairs")
+    uids = scratch_table(classes.select("class", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("uid"), "uids")
+    wanted = rows.select("uid", "class", "hashes").join(F.broadcast(uids) if uids.count() <= FEW else uids, "uid").select("class", "hashes")
+    met = pairs.join(wanted.withColumnsRenamed({"class": "a", "hashes": "x"}), "a").join(wanted.withColumnsRenamed({"class": "b", "hashes": "y"}), "b")
+    return scratch_table(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
+
+
+def links(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes of the similarity: all but those whose classes others of them connect."""
+    members = scratch_table(shared(classes), "members")
+    settle(rows.sparkSession)
+    first = checked(rows, classes, starred(members, least), least)
+    joined = scratch_table(components(first), "joined")
+    return first.unionByName(checked(rows, classes, remaining(members, classes.select("class", "bits"), joined, least), least))
 
 
 def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -134,9 +165,10 @@ def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     Texts without words, null ones included, are one group. Null ids keep their rows. Further columns are ignored; no rows
     give no rows.
     """
-    rows = scratch_table(marked(docs, shingle), "shingles")
-    classes = scratch_table(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.any_value("sketch").alias("sketch"), F.any_value("places").alias("places"), F.any_value("fingerprints").alias("fingerprints")), "classes")
-    joined = components(links(classes, least)).withColumnsRenamed({"node": "class"})
+    rows = scratch_table(marked(docs, least, shingle), "shingles")
+    one = F.first(F.struct("uid", "n", "prefix", "bits")).alias("one")
+    classes = scratch_table(rows.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
+    joined = components(links(rows, classes, least)).withColumnsRenamed({"node": "class"})
     grouped = scratch_table(classes.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "grouped")
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(names, "component").select("class", "component_id")

@@ -41,3 +41,36 @@ def test_odd_rows(spark, odd, none):
     rows = similar.keep_one(odd)
     assert rows.columns == odd.columns
     assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted([-8, 1, 2, 5, 6, 7, None], key=str)
+
+
+def exact_groups(docs, least=0.8):
+    """doc_id to the least doc_id of its group, by comparing all pairs."""
+    sets = {d: set(similar.shingles(t.encode(), 5).tolist()) for d, t in docs}
+    top = {d: d for d in sets}
+
+    def find(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both / max(1, len(sets[a]) + len(sets[b]) - both) >= least and find(a) != find(b):
+                top[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in sets}
+
+
+def test_copies_that_only_their_original_joins(spark):
+    rng = random.Random(3)
+    original = [f"w{i}" for i in range(104)]
+    docs = [(500, " ".join(original))]
+    for k in range(300):  # two changed words change ten of a hundred shingles; copies differ among themselves
+        copy = list(original)
+        one = rng.randrange(4, 47)
+        for at in (one, rng.randrange(one + 5, 100)):
+            copy[at] = f"c{k}x{at}"
+        docs.append((k, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and got == exact_groups(docs)
