@@ -3,8 +3,9 @@
 Two texts of that similarity share a shingle among the first few of either (about a fifth at 0.8) in any one order of all
 shingles. Texts that share such a shingle, and whose sizes, places and bit signatures allow the similarity, are compared on
 their whole shingles. Frequent shingles, estimated from a sample of texts, come last in the order; the order changes the work and never
-the result. A first round compares each class with one likely centre only, so that a large group is mostly one component
-before all remaining pairs of distinct components are compared.
+the result. A first round compares each class with one likely centre, and the classes whose SimHash fingerprints meet in the
+covering join of ``simhash``, so that a large group is mostly one component before all remaining pairs of distinct
+components are compared.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm import simhash
 from strandline.llm.common import rows_of, scratch_table, settle, text_or_empty
 from strandline.llm.graph import components
 
@@ -71,7 +73,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-MARKED = "doc_id long, class long, n int, prefix array<long>, bits array<long>, hashes binary"
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the shingles, as a signed long."""
+    lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    counts = np.stack([np.bincount(lanes[:, k], minlength=256) for k in range(8)]) @ simhash.BITS
+    return int(np.packbits(2 * counts.reshape(64) > len(hashes), bitorder="little").view("<i8")[0])
+
+
+MARKED = "doc_id long, class long, n int, fp long, prefix array<long>, bits array<long>, hashes binary"
 
 
 def marked(docs: DataFrame, least: float, shingle: int) -> DataFrame:
@@ -87,10 +96,10 @@ def marked(docs: DataFrame, least: float, shingle: int) -> DataFrame:
             rows = []
             for doc, text in zip(ids, texts):
                 h = shingles(text.encode("utf-8", "surrogatepass"), shingle)
-                rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, len(h), prefix(h, least, known, rank).view(np.int64), signature(h), h.tobytes()))
+                rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, len(h), fingerprint(h), prefix(h, least, known, rank).view(np.int64), signature(h), h.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = [f.split()[0] for f in MARKED.split(", ")]
     return text_or_empty(docs).mapInArrow(mark, MARKED).withColumn("uid", F.monotonically_increasing_id())
 
@@ -118,6 +127,16 @@ def starred(members: DataFrame, least: float) -> DataFrame:
     return best.select(F.least("class", "x.centre").alias("a"), F.greatest("class", "x.centre").alias("b")).distinct()
 
 
+def covered(classes: DataFrame, least: float, threshold: int = 2) -> DataFrame:
+    """Pairs a < b of classes whose fingerprints differ in few bits, each fingerprint by its least class, and of those with equal ones."""
+    held = scratch_table(classes.groupBy("fp").agg(F.min(F.struct("class", "n")).alias("c")).select("fp", F.col("c.class").alias("a"), F.col("c.n").alias("m")), "fingerprints")
+    equal = classes.select("fp", F.col("class").alias("b"), "n").join(held, "fp").filter(F.col("a") != F.col("b"))
+    met = simhash.links(held.select("fp"), threshold).withColumnsRenamed({"a": "one", "b": "two"})
+    near = met.join(held.withColumnsRenamed({"fp": "one"}), "one").join(held.withColumnsRenamed({"fp": "two", "a": "b", "m": "n"}), "two")
+    both = equal.select("a", "b", "m", "n").unionByName(near.select("a", "b", "m", "n")).filter(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def remaining(members: DataFrame, signatures: DataFrame, joined: DataFrame, least: float) -> DataFrame:
     """Every pair a, b of classes of distinct components whose first shingles, sizes, places and signatures allow the similarity."""
     named = members.join(joined.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -154,7 +173,9 @@ def links(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs of classes of the similarity: all but those whose classes others of them connect."""
     members = scratch_table(shared(classes), "members")
     settle(rows.sparkSession)
-    first = checked(rows, classes, starred(members, least), least)
+    met = scratch_table(covered(classes, least), "covered")
+    settle(rows.sparkSession)
+    first = checked(rows, classes, starred(members, least).unionByName(met).distinct(), least)
     joined = scratch_table(components(first), "joined")
     return first.unionByName(checked(rows, classes, remaining(members, classes.select("class", "bits"), joined, least), least))
 
@@ -166,7 +187,7 @@ def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     give no rows.
     """
     rows = scratch_table(marked(docs, least, shingle), "shingles")
-    one = F.first(F.struct("uid", "n", "prefix", "bits")).alias("one")
+    one = F.first(F.struct("uid", "n", "fp", "prefix", "bits")).alias("one")
     classes = scratch_table(rows.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
     joined = components(links(rows, classes, least)).withColumnsRenamed({"node": "class"})
     grouped = scratch_table(classes.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "grouped")

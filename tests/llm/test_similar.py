@@ -74,3 +74,11 @@ def test_copies_that_only_their_original_joins(spark):
         docs.append((k, " ".join(copy)))
     got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0} and got == exact_groups(docs)
+
+
+def test_fingerprints_meet_in_the_covering_join(spark):
+    fps = [0, 1, 3, 7, 1 << 60, (1 << 63) - 1, -1, -4]  # classes of one size
+    rows = [(i, fp, 100) for i, fp in enumerate(fps)] + [(50, 0, 90), (51, 0, 10)]
+    got = {(r.a, r.b) for r in similar.covered(spark.createDataFrame(rows, "class long, fp long, n int"), 0.8).collect()}
+    near = {(i, j) for i in range(8) for j in range(i + 1, 8) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 2}
+    assert got == near | {(0, 50)} and (0, 4) in near and (6, 7) in near
