@@ -76,6 +76,20 @@ def test_copies_that_only_their_original_joins(spark):
     assert set(got.values()) == {0} and got == exact_groups(docs)
 
 
+def changed(words, at, mark):
+    return [f"{mark}x{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_long_texts_near_the_limit(spark):
+    docs = []
+    for k in range(60):  # each changed word in the midst changes five of 600 shingles: 0.786 to 0.818
+        words = [f"d{k}w{i}" for i in range(604)]
+        docs += [(k, " ".join(words)), (1000 + k, " ".join(changed(words, {20 + 40 * j for j in range(12 + k % 3)}, f"c{k}")))]
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_groups(docs)
+    assert sum(got[1000 + k] == k for k in range(60)) == 40
+
+
 def test_fingerprints_meet_in_the_covering_join(spark):
     fps = [0, 1, 3, 7, 1 << 60, (1 << 63) - 1, -1, -4]  # classes of one size
     rows = [(i, fp, 100) for i, fp in enumerate(fps)] + [(50, 0, 90), (51, 0, 10)]
