@@ -90,6 +90,19 @@ def test_long_texts_near_the_limit(spark):
     assert sum(got[1000 + k] == k for k in range(60)) == 40
 
 
+def test_short_texts(spark):
+    docs, k = [], 0
+    for size, more in ((4, 1), (5, 1), (6, 1), (8, 2), (9, 1), (10, 2), (12, 3), (24, 6), (40, 10)):
+        for _ in range(12):
+            words = [f"d{k}w{i}" for i in range(size + 4)]
+            docs += [(k, " ".join(words)), (1000 + k, " ".join(words + [f"m{i}x{k}" for i in range(more)]))]
+            k += 1
+    docs += [(5000 + n, " ".join(f"s{i}" for i in range(n))) for n in range(1, 9)]
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == exact_groups(docs)
+    assert all(got[1000 + i] == i for i in range(k))
+
+
 def test_fingerprints_meet_in_the_covering_join(spark):
     fps = [0, 1, 3, 7, 1 << 60, (1 << 63) - 1, -1, -4]  # classes of one size
     rows = [(i, fp, 100) for i, fp in enumerate(fps)] + [(50, 0, 90), (51, 0, 10)]
