@@ -21,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is made and set for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on a local master, as in tests on one
+    machine, a local folder is made and set for the rest of the session; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -38,21 +40,21 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts lineage: a lost executor costs at most the task it ran, and what follows reads the
-    table as often as it likes without making it again.
+    table as often as it likes without making it again. The frame remembers its folder for ``drop_table``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a scratch table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(spark: SparkSession) -> None:

@@ -1,15 +1,20 @@
 """Personal data: base identifiers by pattern, and more by bootstrapped context.
 
-The base spans are seeds. The words before them are lexical patterns: ("email", "write to"), ("phone", "call me at"). Other
-strings of an identifier's shape that the base patterns leave (spelt-out addresses, numbers without a plus sign) are
-candidates and stand after patterns too. Patterns and instances (shapes of strings, with their kind) form a graph that Spark
-scores in rounds: a pattern is as trustworthy as the share of its places that seeds or trusted instances fill, an
-instance as trustworthy as its patterns together. Candidates after trusted patterns, or of a trusted instance, are found.
+The base spans are seeds. They induce lexical patterns: the words before, the words after, both, the form of the string itself, and
+its form after a word. Strings that look like an identifier but fail its base rules (spelt-out addresses, addresses without
+a dot, four dotted numbers beyond 255, digit runs with a wrong check digit, numbers without a plus sign) are candidates and
+stand in patterns too, as do all other strings with a digit or an at sign, which only count against a pattern. Patterns and
+instances (the strings, by kind) form a graph that Spark scores in rounds: a pattern's confidence is the share of its places
+that seeds and trusted instances fill; an instance's score is 1 - product(1 - confidence) over its trusted patterns. All places of trusted
+instances are found, and they induce patterns in the next round. Chance makes one digit run in ten pass its check, so a form
+that is no identifier's stays far below the confidence that is asked for.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,14 +33,21 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Shapes that the base patterns leave: an address with its signs spelt out, and a number in groups. Each run of letters
-#: is tried from its start only, so that long runs cost no more than their length.
+#: Shapes that the base patterns leave: an address with its signs spelt out, one without a dot, and a number in groups. Each
+#: run of letters is tried from its start only, so that long runs cost no more than their length.
 SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+")
+BARE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![.@])")
 NUMBER = re.compile(r"(?<![A-Za-z0-9+.])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![A-Za-z0-9]|[.-][0-9])")
+#: A string with a digit or an at sign, of whatever kind.
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}\s*(?:([^\W\d_]+)[^\w]{0,3})?\s*$")
+AFTER = re.compile(r"[^\w]{0,3}\s*([^\W\d_]+)")
 
-#: Rounds of scoring, the least number of places of a pattern, and the scores that patterns and instances are trusted from.
-ROUNDS, LEAST_PLACES, LEAST_PATTERN, LEAST_INSTANCE = 3, 5, 0.8, 0.9
+#: Rounds of scoring, the least number of places that known identifiers fill in a pattern, the least confidence of a pattern, and the
+#: score (more likely than not) from which an instance is trusted.
+ROUNDS, LEAST_PLACES, LEAST_PATTERN, LEAST_INSTANCE = 3, 5, 0.4, 0.5
+#: Fewest and most digits of a run that may be a card with a wrong check digit. Strings that are no candidates have the kind OTHER.
+RUN_DIGITS, OTHER = (12, 19), 4
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -62,53 +74,82 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order."""
+    return spans(text)[0]
+
+
+def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and those that only failed their rules: (start, kind, end), each in order."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
+    failed = []
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in (x.lstrip("0")[:4] or "0" for x in m.group().split("."))):
-            out.append((m.start(), 1, m.end()))
+        fits = all(int(p) <= 255 for p in (x.lstrip("0")[:4] or "0" for x in m.group().split(".")))
+        (out if fits else failed).append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14:
+        if m.end() - m.start() >= RUN_DIGITS[0]:
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
+            elif RUN_DIGITS[0] <= len(digits) <= RUN_DIGITS[1]:
+                failed.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                 out.append((m.start(), 3, m.end()))
-    return sorted(out)
+    return sorted(out), sorted(failed)
+
 
+def apart(found: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``found`` that meet none of ``taken``, in order; ``taken`` is in order of starts."""
+    starts, ends = [t[0] for t in taken], list(itertools.accumulate((t[2] for t in taken), max, initial=-1))
+    return [c for c in sorted(found) if ends[bisect.bisect_left(starts, c[2])] <= c[0]]
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifier-shaped strings that meet no base span: (start, kind, end)."""
+
+def candidates(text: str, base: list[tuple[int, int, int]] | None = None, failed: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """Identifier-shaped strings that meet no base span: (start, kind, end). A string is a candidate of one kind."""
+    if base is None or failed is None:
+        base, failed = spans(text)
+    own = apart(failed, base)
     found = [(m.start(), 0, m.end()) for m in SPELT.finditer(text)] if " at " in text or "at)" in text or "at]" in text else []
+    if "@" in text:
+        found += [(m.start(), 0, m.end()) for m in BARE.finditer(text)]
     for m in NUMBER.finditer(text):
         if 7 <= sum("0" <= c <= "9" for c in m.group()) <= 13:
             found.append((m.start(), 3, m.end()))
-    out, i = [], 0
-    for c in sorted(found):
-        while i < len(base) and base[i][2] <= c[0]:
-            i += 1
-        if i == len(base) or base[i][0] >= c[2]:
-            out.append(c)
-    return out
+    return sorted(own + apart(found, sorted(base + own)))
 
 
-def context(text: str, start: int) -> str:
-    """The one or two words before a place, lower case."""
-    m = BEFORE.search(text[max(0, start - 40) : start])
-    return " ".join(x for x in m.groups() if x).lower() if m else ""
+def shape(text: str, kind: int) -> str:
+    """The form of a string: runs of letters as a, digits as 0, with the number of digits in a run for cards and phones."""
+    digits = (lambda m: f"0{len(m.group())}") if kind in (2, 3) else "0"
+    return re.sub("[0-9]+", digits, re.sub("[A-Za-z]+", "a", text[:200]))
 
 
-def shape(text: str) -> str:
-    """A string with its digits as 0 and its letters as a, runs of letters once."""
-    return re.sub("a+", "a", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", text)))
+def patterns_at(text: str, start: int, end: int, kind: int) -> list[str]:
+    """The patterns that a string stands in; those of OTHER strings know no form."""
+    m = BEFORE.search(text[max(0, start - 40) : start])
+    words = [x.lower() for x in m.groups() if x] if m else []
+    n = AFTER.match(text[end : end + 40])
+    after = n.group(1).lower() if n else ""
+    out = []
+    if words:
+        out.append(f"{words[-1]} _")
+        if len(words) > 1:
+            out.append(f"{words[0]} {words[1]} _")
+    if after:
+        out.append(f"_ {after}")
+    if words and after:
+        out.append(f"{words[-1]} _ {after}")
+    if kind != OTHER:
+        form = f"<{KINDS[kind]} {shape(text[start:end], kind)}>"
+        out += [form, *([f"{words[-1]} {form}"] if words else [])]
+    return out
 
 
-MARKS = "doc_id long, row long, base array<struct<s: int, k: int, e: int>>, marks array<struct<s: int, k: int, e: int, seed: boolean, pattern: string, instance: string>>"
+MARKS = "doc_id long, row long, base array<struct<s: int, k: int, e: int>>, marks array<struct<s: int, k: int, e: int, seed: boolean, instance: string, patterns: array<string>>>"
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: base spans, and every seed and candidate with its pattern and instance. The text is left behind."""
+    """Per row of ``docs``: base spans, and every seed, candidate and other string with its patterns. The text is left behind."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,58 +158,64 @@ def marked(docs: DataFrame) -> DataFrame:
         for ids, texts in rows_of(batches):
             rows = []
             for doc, text in zip(ids, texts):
-                base = base_spans(text)
-                marks = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in candidates(text, base)]
-                rows.append({
-                    "doc_id": doc, "row": row, "base": [{"s": s, "k": k, "e": e} for s, k, e in base],
-                    "marks": [{"s": s, "k": k, "e": e, "seed": seed, "pattern": context(text, s), "instance": text[s:e] if seed else shape(text[s:e])} for s, k, e, seed in marks],
-                })
+                base, failed = spans(text)
+                rest = candidates(text, base, failed)
+                others = apart([(m.start(), OTHER, m.end()) for m in TOKEN.finditer(text)], sorted(base + rest))
+                marks = [{"s": s, "k": k, "e": e, "seed": i == 0, "instance": instance(text[s:e]) if k != OTHER else "", "patterns": patterns_at(text, s, e, k)} for i, group in enumerate((base, rest, others)) for s, k, e in group]
+                rows.append({"doc_id": doc, "row": row, "base": [{"s": s, "k": k, "e": e} for s, k, e in base], "marks": marks})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     span = [("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("base", pa.list_(pa.struct(span))), ("marks", pa.list_(pa.struct([*span, ("seed", pa.bool_()), ("pattern", pa.string()), ("instance", pa.string())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("base", pa.list_(pa.struct(span))), ("marks", pa.list_(pa.struct([*span, ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])))])
     return text_or_empty(docs).mapInArrow(mark, MARKS)
 
 
+def instance(text: str) -> str:
+    """What a string is told apart by: itself in lower case, or a digest if it is long."""
+    return text.lower() if len(text) <= 80 else hashlib.sha256(text.lower().encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def trusted(places: DataFrame, rounds: int = ROUNDS, least_places: int = LEAST_PLACES, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) that are trusted, from places (k, pattern, instance, seed, n).
+    """(patterns, instances) that are trusted: k, pattern, confidence and k, instance, score.
 
-    A pattern of kind k scores the share of its places that seeds or trusted instances of k fill, of those all; an instance
-    1 - product(1 - score) over its patterns, each weighted by how many of the instance's places it holds.
+    ``places`` has k, pattern, instance, seed, n. A pattern needs ``least_places`` places filled by known identifiers of its kind, of
+    two different ones at least, so that copies of one text make no pattern. Ties change nothing; no places give no rows.
     """
-    total = places.groupBy("k", "pattern").agg(F.sum("n").alias("total"), F.countDistinct("instance").alias("kinds"))
-    rest = places.filter("not seed").groupBy("k", "pattern", "instance").agg(F.sum("n").alias("n"))
-    seeds = places.filter("seed").groupBy("k", "pattern").agg(F.sum("n").alias("seeds"))
-    instances = rest.select("k", "instance").distinct().withColumn("score", F.lit(0.0))
+    total = places.groupBy("pattern").agg(F.sum("n").alias("total"))
+    rest = places.filter(f"not seed and k <> {OTHER}").select("k", "pattern", "instance", "n")
+    several = [F.sum("filled").alias("filled"), F.min("low").alias("low"), F.max("high").alias("high")]
+    one = [F.min("instance").alias("low"), F.max("instance").alias("high")]
+    seeds = scratch_table(places.filter("seed").groupBy("k", "pattern").agg(F.sum("n").cast("double").alias("filled"), *one), "seeds")
+    instances = rest.select("k", "instance", F.lit(1.0).alias("score")).filter("1 = 0")
     patterns = None
     for _ in range(rounds):
-        held = rest.join(instances, ["k", "instance"]).groupBy("k", "pattern").agg(F.sum(F.col("n") * F.when(F.col("score") >= least_instance, F.col("score")).otherwise(0.0)).alias("held"))
-        scored = total.join(seeds, ["k", "pattern"], "left").join(held, ["k", "pattern"], "left")
-        share = (F.coalesce("seeds", F.lit(0)) + F.coalesce("held", F.lit(0.0))) / F.col("total")
-        enough = (F.col("total") >= least_places) & (F.col("kinds") > 1) & (F.col("pattern") != "")
-        patterns = scratch_table(scored.filter(enough).select("k", "pattern", share.alias("score")), "patterns")
-        own = rest.groupBy("k", "instance").agg(F.sum("n").alias("places"))
-        part = rest.join(patterns, ["k", "pattern"]).join(own, ["k", "instance"])
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score") * F.col("n") / F.col("places"), F.lit(1e-9)))))
-        instances = scratch_table(part.groupBy("k", "instance").agg((1 - doubt).alias("score")), "instances")
-    return patterns.filter(F.col("score") >= least_pattern), instances.filter(F.col("score") >= least_instance)
+        held = rest.join(instances, ["k", "instance"]).groupBy("k", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("filled"), *one)
+        known = seeds.unionByName(held).groupBy("k", "pattern").agg(*several).filter((F.col("filled") >= least_places - 1e-9) & (F.col("low") < F.col("high")))
+        scored = known.join(total, "pattern").select("k", "pattern", F.least(F.col("filled") / F.col("total"), F.lit(1.0)).alias("confidence"))
+        patterns = scratch_table(scored.filter(F.col("confidence") >= least_pattern), "patterns")
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+        found = rest.join(patterns, ["k", "pattern"]).groupBy("k", "instance").agg((1 - doubt).alias("score"))
+        instances = scratch_table(found.filter(F.col("score") >= least_instance), "instances")
+    return patterns, instances
+
+
+def places_of(each: DataFrame) -> DataFrame:
+    """k, pattern, instance, seed, n of marks, counted before they are shuffled."""
+    return each.select("k", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("k", "pattern", "instance", "seed").agg(F.count(F.lit(1)).alias("n"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and found (spans that the method added), per row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (spans that the method added), n_found and n_spans, per row of ``docs``.
 
-    Null and empty texts have no spans. Null ids and repeated rows keep a row each; further columns are ignored; no rows
-    give no rows. Only counts of patterns and instances are shuffled, and the few candidates found.
+    Null and empty texts have no spans; a very long text is one row of marks. Null ids and repeated rows keep a row each; further
+    columns are ignored; no rows give no rows. Only counts of patterns and instances are shuffled, and the few candidates found.
     """
     rows = scratch_table(marked(docs), "marks")
     each = rows.select("row", F.explode("marks").alias("m")).select("row", "m.*")
-    places = scratch_table(each.groupBy("k", "pattern", "instance", "seed").agg(F.count(F.lit(1)).alias("n")), "places")
-    patterns, instances = trusted(places)
-    rest = each.filter("not seed")
-    by_pattern = rest.join(patterns.select("k", "pattern"), ["k", "pattern"], "left_semi")
-    by_instance = rest.join(instances.select("k", "instance"), ["k", "instance"], "left_semi")
-    added = by_pattern.select("row", "s", "k", "e").unionByName(by_instance.select("row", "s", "k", "e")).distinct()
+    _, instances = trusted(scratch_table(places_of(each), "places"))
+    rest = each.filter(f"not seed and k <> {OTHER}").select("row", "s", "k", "e", "instance")
+    added = rest.join(instances.select("k", "instance"), ["k", "instance"], "left_semi")
     added = added.groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("more"))
     joined = rows.select("doc_id", "row", "base").join(added, "row", "left")
     more = F.coalesce("more", F.array().cast("array<struct<s: int, k: int, e: int>>"))
@@ -181,7 +228,8 @@ def find(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
 
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return joined.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", more)).alias("spans"), listed(more).alias("found"))
+    n_found, n_spans = F.size(more).cast("long"), (F.size("base") + F.size(more)).cast("long")
+    return joined.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", more)).alias("spans"), listed(more).alias("found"), n_found.alias("n_found"), n_spans.alias("n_spans"))
 
 
 def op4_pii(spark, sf_dir):

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import re
 
@@ -58,14 +59,57 @@ def test_base_spans_by_the_plain_patterns():
         assert pii.base_spans(t) == base(t), t
 
 
-def test_context_finds_more(spark):
+def bootstrapped(places, rounds=pii.ROUNDS):
+    """Trusted patterns and instances by plain dictionaries, from (k, pattern, instance, seed, n)."""
+    total = collections.Counter()
+    for _, p, _, _, n in places:
+        total[p] += n
+    patterns, instances = {}, {}
+    for _ in range(rounds):
+        filled, of = collections.Counter(), collections.defaultdict(set)
+        for k, p, i, seed, n in places:
+            if seed or (k, i) in instances:
+                filled[k, p] += n * (1 if seed else instances[k, i])
+                of[k, p].add(i)
+        patterns = {x: min(f / total[x[1]], 1) for x, f in filled.items() if f >= pii.LEAST_PLACES - 1e-9 and len(of[x]) > 1 and f / total[x[1]] >= pii.LEAST_PATTERN}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for k, i, p in {(k, i, p) for k, p, i, seed, _ in places if not seed and k != pii.OTHER}:
+            if (k, p) in patterns:
+                doubt[k, i] *= max(1 - patterns[k, p], 1e-9)
+        instances = {x: 1 - d for x, d in doubt.items() if 1 - d >= pii.LEAST_INSTANCE}
+    return patterns, instances
+
+
+def identified():
     docs = [(i, f"intro text {i}, call me at +1 (555) 010-{1000 + i} today") for i in range(40)]
     docs += [(100 + i, f"please call me at 555 010 {2000 + i} today") for i in range(8)]
     docs += [(200 + i, f"the total was 555 010 {3000 + i} units") for i in range(30)]
-    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    docs += [(300 + i, f"pay with {'4111111111111111' if i % 2 else '5500005555555559'} or {4000000000000000 + 7919 * i} now") for i in range(12)]
+    docs += [(400 + i, f"order {70000000000000000 + 104729 * i} shipped, mail joe{i}@host or joe{i}@host.example") for i in range(20)]
+    return docs + [(500, "version 300.1.2.3 in 2021"), (501, None), (502, "")]
+
+
+def test_context_finds_more(spark):
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(identified(), "doc_id long, text string").repartition(3)).collect()}
     assert all(rows[i].n_phone == 1 and rows[i].found == "" for i in range(40))
     assert all(rows[100 + i].found.startswith("phone:18:") and rows[100 + i].n_phone == 0 for i in range(8))
     assert all(rows[200 + i].spans == "" for i in range(30))
+    assert all(rows[300 + i].n_card + rows[300 + i].n_found == rows[300 + i].n_spans == 2 for i in range(12))
+    assert all("card" not in rows[400 + i].found for i in range(20)) and rows[500].spans == ""
+
+
+def test_scores_of_patterns_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = identified() + [(600 + i, f"{rng.choice(['to', 'from', 'the'])} {rng.choice(['4111111111111111', '4222222222222222', '1.2.3.4', '1.2.3.999', '7 of', 'a.b@c.de', 'a.b@cde'])} {rng.choice(['and', 'or'])}") for i in range(200)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    each = pii.marked(table).selectExpr("row", "explode(marks) as m").select("row", "m.*")
+    places = pii.places_of(each)
+    patterns, instances = bootstrapped([tuple(r) for r in places.select("k", "pattern", "instance", "seed", "n").collect()])
+    got = pii.trusted(places)
+    for want, rows in zip((patterns, instances), got):
+        rows = {(r[0], r[1]): r[2] for r in rows.collect()}
+        assert rows.keys() == want.keys() and all(abs(rows[x] - want[x]) < 1e-9 for x in want)
+    assert any(k == 2 for k, _ in instances)
 
 
 def test_long_runs_cost_their_length():
