@@ -193,10 +193,10 @@ def trusted(places: DataFrame, rounds: int = ROUNDS, least_places: int = LEAST_P
         held = rest.join(instances, ["k", "instance"]).groupBy("k", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("filled"), *one)
         known = seeds.unionByName(held).groupBy("k", "pattern").agg(*several).filter((F.col("filled") >= least_places - 1e-9) & (F.col("low") < F.col("high")))
         scored = known.join(total, "pattern").select("k", "pattern", F.least(F.col("filled") / F.col("total"), F.lit(1.0)).alias("confidence"))
-        patterns = scratch_table(scored.filter(F.col("confidence") >= least_pattern), "patterns")
+        patterns = scratch_table(scored.filter(F.col("confidence") >= least_pattern - 1e-9), "patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         found = rest.join(patterns, ["k", "pattern"]).groupBy("k", "instance").agg((1 - doubt).alias("score"))
-        instances = scratch_table(found.filter(F.col("score") >= least_instance), "instances")
+        instances = scratch_table(found.filter(F.col("score") >= least_instance - 1e-9), "instances")
     return patterns, instances
 
 

@@ -1,9 +1,13 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of 16 or more key characters with a digit among them. The forest judges it by its length,
-character classes and their transitions, how much of it common letter pairs and dictionary words cover, whether it is a path, and
-the words before it. It is trained from labelled findings: a table of (token, before, label), by default one made from
-templates of real secret formats and of look-alikes.
+A candidate is a run of 16 or more key characters that has a digit or begins like a known key, or whatever is assigned to an asking word (``password=``,
+``token: "``) and has six characters or more. Every occurrence is judged by itself: by its length, character classes and their
+transitions, how much of it common letter pairs and dictionary words cover, whether it is a path, and the words before it.
+The forest is trained from labelled findings: a table of (token, before, label), by default one made from templates of real
+secret formats and of look-alikes.
+
+A text is cut at its candidates once; what stands between two of them is the context of the second and, on redaction, is
+put back as it was. The work is linear in the text, however many candidates it has.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import scratch_table, table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9])[A-Za-z0-9+/_.\-]{16,}+"
+#: An asking word with its sign of assignment and quote, what may be assigned to it, and runs that stand alone.
+SIGNED = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private)[_-]?key|credentials?)[\"']?\s{0,2}[=:]{1,2}\s{0,2}[\"']?"
+ASSIGNED = r"[^\s\"'<>,;]{6,}+"
+ALONE = r"(?<![A-Za-z0-9+/_.\-])(?=(?:AKIA|ASIA|gh[po]_|github_pat_|xox[abp]-|sk[-_]|AIza|glpat-|ya29\.|eyJ)|[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}+"
+CANDIDATE = f"(?:{SIGNED}{ASSIGNED})|(?:{ALONE})"
 #: Characters before a candidate that its neighbouring words are taken from.
 BEFORE = 40
 #: Cues in neighbouring words, frequent English letter pairs, and words that identifiers are made of.
@@ -24,8 +32,10 @@ ASKS = r"(?i)(pass(word|wd)?|pwd|secret|token|api.?key|access.?key|auth|bearer|c
 DENIES = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|guid|version|revision|build|page|fig|isbn|doi|https?:|href|src|phone|card|order|invoice)"
 PAIRS = r"(?i)(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce)"
 WORDS = r"(?i)(example|sample|test|user|name|file|image|photo|index|page|chapter|section|version|release|report|data|table|figure|introduction|appendix|static|assets|content|upload|download|article|number|document|public|local|home|http|www|mail|com|org|net|html|json|jpg|png|pdf|txt)"
+#: What is assigned to an asking word without being a secret.
+EMPTY = r"(?i)^([*.x_\-]+|required|optional|enabled|disabled|changed|expired|missing|invalid|incorrect|unknown|hidden|removed|redacted|string|number|boolean|default|please|please.*|\$\{?[A-Z_a-z.]+\}?|\{\{.*\}\}|%\w+%|your[_-].*|process\.env.*|os\.environ.*|getenv.*)$"
 PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk[-_](live|test)?|AIza|glpat-|ya29\.|eyJ)"
-FEATURES = ("n", "digits", "uppers", "lowers", "others", "hex", "transitions", "pairs", "words", "distinct", "path", "dashes", "dots", "prefix", "assigned", "asks", "denies")
+FEATURES = ("n", "digits", "uppers", "lowers", "others", "hex", "transitions", "pairs", "words", "distinct", "path", "dashes", "dots", "prefix", "assigned", "asks", "denies", "blank")
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -46,13 +56,14 @@ def features(findings: DataFrame) -> DataFrame:
         "pairs": _share(t, PAIRS),
         "words": 1 - F.length(F.regexp_replace(t, WORDS, "")) / F.length(t),
         "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.least(F.length(t), F.lit(32)),
-        "path": (t.rlike(r"/.*/|\.(html?|js|css|png|jpe?g|gif|pdf|txt|json|xml|zip)$") | b.rlike("[/@]$")).cast("double"),
+        "path": (t.rlike(r"/[^/]*/|\.(html?|js|css|png|jpe?g|gif|pdf|txt|json|xml|zip)$") | b.rlike("[/@]$")).cast("double"),
         "dashes": _share(t, "-"),
         "dots": _share(t, r"\."),
         "prefix": t.rlike(PREFIX).cast("double"),
         "assigned": b.rlike("[=:]\\s*[\"']?$").cast("double"),
         "asks": F.regexp_extract(b, r"([\w\-.]+)[\s=:\"'(]*$", 1).rlike(ASKS).cast("double"),
         "denies": F.regexp_extract(b, r"([\w\-.:]+)[\s=:\"'(]*$", 1).rlike(DENIES).cast("double"),
+        "blank": t.rlike(EMPTY).cast("double"),
     })
 
 
@@ -68,11 +79,15 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         return F.substring(F.translate(F.upper(code), "0189", "ABCD") if upper else code, 1, n)
 
     def one_of(*texts: str) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in texts]), (F.abs(F.xxhash64(i, F.lit(7))) % len(texts) + 1).cast("int"))
+        return F.element_at(F.array(*[F.lit(x) for x in texts]), (F.pmod(F.xxhash64(i, F.lit("|".join(texts))), F.lit(len(texts))) + 1).cast("int"))
 
     plain = one_of("the report says ", "and then to ", "see ", "of which the ", "")
     asked = one_of("password=", "token = \"", "secret: ", "api_key=\"", "Authorization: Bearer ", "passwd: ", "access key ", "auth_token='")
     noted = one_of("commit ", "sha1 ", "md5: ", "checksum ", "sha256=", "digest ", "build ", "uuid: ", "version ")
+    digits = F.translate(hexes(16, "k"), "abcdef", "123456")
+    word = one_of("chapter", "section", "annual", "introduction", "photo", "release", "meeting", "northern")
+    other = one_of("report", "appendix", "summary", "minutes", "results", "overview", "station")
+    sign, animal, animal2 = one_of("!", "&", "#", "$", "%", "@"), one_of("hunter", "dragon", "monkey", "tiger", "falcon"), one_of("winter", "purple", "hunter", "shadow", "silver", "garden")
     secret = [
         (F.concat(F.lit("AKIA"), letters(16, "a", True)), plain),
         (F.concat(F.lit("AKIA"), letters(16, "b", True)), one_of("access key ", "aws_access_key_id = ")),
@@ -80,12 +95,11 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(one_of("sk_live_", "xoxb-", "glpat-"), letters(24, "d")), plain),
         (hexes(18, "e"), asked), (hexes(40, "f"), asked), (hexes(32, "g"), asked),
         (letters(24, "h"), asked), (letters(40, "i"), asked), (letters(64, "j"), asked),
+        (F.concat(letters(5, "u"), sign, F.substring(digits, 1, 2), letters(3, "u2")), asked), (F.concat(word, F.initcap(other), F.substring(digits, 1, 2), sign), asked),
+        (F.concat(animal, animal2, animal), asked), (F.translate(letters(20, "u3"), "0123456789", "ghijklmnop"), asked), (letters(10, "u4"), asked),
     ]
-    digits = F.translate(hexes(16, "k"), "abcdef", "123456")
-    word = one_of("chapter", "section", "annual", "introduction", "photo", "release", "meeting", "northern")
-    other = one_of("report", "appendix", "summary", "minutes", "results", "overview", "station")
     clean = [
-        (hexes(40, "l"), noted), (hexes(64, "m"), noted), (hexes(32, "n"), noted), (hexes(32, "n2"), plain), (hexes(40, "l2"), plain),
+        (hexes(40, "l"), noted), (hexes(64, "m"), noted), (hexes(32, "n"), noted), (hexes(32, "n2"), plain), (hexes(40, "l2"), plain), (F.upper(hexes(40, "l3")), plain), (F.upper(hexes(64, "l4")), noted),
         (F.concat_ws("-", hexes(8, "o"), hexes(4, "p"), hexes(4, "q"), hexes(4, "r"), hexes(12, "s")), one_of("uuid: ", "id ", "guid=", "the ")),
         (digits, one_of("card ", "order ", "the ", "number ", "")),
         (F.concat_ws("-", word, other, F.substring(digits, 1, 4)), plain),
@@ -94,41 +108,60 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(F.lit("www."), word, other, F.substring(digits, 1, 2), F.lit(".com")), one_of("https://", "site ")),
         (F.concat(F.lit("20"), F.substring(digits, 1, 2), F.lit("-01-02T03.04.05.678")), one_of("on ", "date: ")),
         (F.concat(word, other, word, F.substring(digits, 1, 1)), plain),
+        (one_of("required", "********", "expired", "${DB_PASSWORD}", "{{password}}", "optional", "incorrect", "xxxxxxxx", "string", "your_password"), asked),
+        (one_of("missing", "process.env.TOKEN", "disabled", "......", "default", "please", "%TOKEN%", "your-token-here"), asked),
         (F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3), F.substring(digits, 10, 4)), plain),
     ]
     rows = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(y).alias("label")) for y, group in ((1.0, secret), (0.0, clean)) for t, b in group])
-    return spark.range(each).select(F.explode(rows).alias("x")).select("x.*")
+    return spark.range(0, each, 1, 4).select(F.explode(rows).alias("x")).select("x.*")
 
 
 def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
-    """The forest; ``findings`` are labelled rows, as many as the trainer holds over its executors."""
+    """The forest; ``findings`` are labelled rows (token, before, label), trained where they lie."""
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings)).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows.coalesce(1))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with hits (asking words included) and pieces (what stands before each hit, and after the last); rows without hits go."""
+    hits = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    cut = docs.withColumn("hits", hits).filter(F.size("hits") > 0)
+    return cut.withColumn("pieces", F.split("text", CANDIDATE, -1))
+
+
+def _cue(hit: Column) -> Column:
+    """The asking word of a hit with its sign and quote; empty for a run that stands alone."""
+    return F.regexp_extract(hit, f"^{SIGNED}(?={ASSIGNED}$)", 0)
+
+
+def _token(hit: Column) -> Column:
+    return F.substring(hit, F.length(_cue(hit)) + 1, F.length(hit))
+
+
+def _occurrences(cut: DataFrame, *keys: str) -> DataFrame:
+    """One row per hit: the keys, place (its number in the text), token, before."""
+    each = cut.select(*keys, F.explode(F.transform("hits", lambda hit, i: F.struct(i.alias("place"), hit.alias("hit"), F.concat(
+        F.when(i > 0, F.right(F.element_at("hits", F.greatest(i, F.lit(1))), F.lit(BEFORE))).otherwise(F.lit("")), F.right(F.element_at("pieces", i + 1), F.lit(BEFORE))
+    ).alias("left")))).alias("x"))
+    return each.select(*keys, "x.place", _token(F.col("x.hit")).alias("token"), F.right(F.concat("x.left", _cue(F.col("x.hit"))), F.lit(BEFORE)).alias("before"))
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+def _judged(found: DataFrame, model: RandomForestClassificationModel, least: float) -> DataFrame:
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(found))
+    judged = model.transform(rows).withColumn("score", F.round(vector_to_array(F.col("probability"))[1], 6))
+    return judged.withColumn("secret", F.col("score") >= least)
 
 
 def scan(docs: DataFrame, key: str, model: RandomForestClassificationModel | None = None, least: float = 0.5) -> DataFrame:
-    """Findings: ``key``, token, before (what stands before its first place), times, score, secret.
+    """Findings: ``key``, place (from 0 in its text), token, before, score, secret.
 
-    One row per candidate of a row's text; null and empty texts have none, and rows with equal keys are scanned each on its own.
-    Only ``key`` and ``text`` are read, so further columns do no harm; no rows give no rows.
+    One row per occurrence, each with its own context, so that a value is a secret in one place and a checksum in another. Null and
+    empty texts have none, and rows with equal keys are scanned each on its own. Only ``key`` and ``text`` are read, so further
+    columns do no harm; no rows give no rows. Long texts cost their length.
     """
     model = model or train(labelled_findings(docs.sparkSession))
-    found = docs.select(F.col(key).alias("key"), "text").withColumn("tokens", _tokens(F.col("text"))).filter(F.size("tokens") > 0)
-    each = found.select("key", "text", F.explode("tokens").alias("token"))
-    at = F.instr(F.col("text"), F.col("token"))
-    each = each.select(
-        "key", "token",
-        F.substring(F.col("text"), F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE))).alias("before"),
-        ((F.length("text") - F.length(F.replace(F.col("text"), F.col("token"), F.lit("")))) / F.length("token")).cast("long").alias("times"),
-    )
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(each))
-    score = vector_to_array(F.col("probability"))[1]
-    judged = model.transform(rows).withColumn("score", F.round(score, 6))
-    return judged.select(F.col("key").alias(key), "token", "before", "times", "score", (F.col("score") >= least).alias("secret"))
+    found = _occurrences(_cut(docs.select(F.col(key).alias("key"), "text")), "key")
+    return _judged(found, model, least).select(F.col("key").alias(key), "place", "token", "before", "score", "secret")
 
 
 def op10_secrets(spark, sf_dir):
@@ -136,21 +169,27 @@ def op10_secrets(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def redact(spark, docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every confirmed secret replaced by ``mask`` (and n_chars, if there, made to agree).
+def redact(spark, docs: DataFrame, mask: str = "<SECRET>", model: RandomForestClassificationModel | None = None, least: float = 0.5) -> DataFrame:
+    """``docs`` with every occurrence of a confirmed secret replaced by ``mask`` (and n_chars, if there, made to agree).
 
-    Texts are told apart by their digest, so null, repeated and clashing ids do no harm; texts without candidates are
-    passed on as they are.
+    Occurrences are replaced by place, so that no other part of a text changes. A value that is a secret anywhere in a text
+    goes in all of that text's places: a leak is a leak, whatever stands before it. Texts are told apart by their digest, so
+    null, repeated and clashing ids do no harm; texts without candidates are passed on as they are.
     """
+    model = model or train(labelled_findings(spark))
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
-    none = F.coalesce(F.size(_tokens(F.col("text"))), F.lit(0)) <= 0
-    plain = rows.filter(none).select("row.*")
-    marked = rows.filter(~none).withColumn("digest", F.sha2("text", 256))
+    some = F.coalesce(F.regexp_count("text", F.lit(CANDIDATE)) > 0, F.lit(False))
+    plain = rows.filter(~some).select("row.*")
+    marked = rows.filter(some).withColumn("digest", F.sha2("text", 256))
     texts = marked.groupBy("digest").agg(F.first("text").alias("text"))
-    secrets = scan(texts, "digest").filter("secret").groupBy("digest").agg(F.sort_array(F.collect_set("token"), asc=False).alias("tokens"))
+    found = _occurrences(_cut(texts), "digest")
+    secrets = _judged(found, model, least).filter("secret").groupBy("digest").agg(F.collect_set("token").alias("tokens"))
     secrets = scratch_table(secrets, "secrets")
-    clean = F.aggregate(F.coalesce("tokens", F.array().cast("array<string>")), F.col("text"), lambda text, token: F.replace(text, token, F.lit(mask)))
-    done = marked.join(secrets, "digest", "left").select("row", clean.alias("clean"))
+    # a text's own candidates are a row's worth, and so are its secrets
+    joined = _cut(marked).join(secrets, "digest", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    put = lambda hit: F.when(F.array_contains("tokens", _token(hit)), F.concat(_cue(hit), F.lit(mask))).otherwise(hit)
+    clean = F.when(F.size("tokens") == 0, F.col("text")).otherwise(F.array_join(F.zip_with("pieces", F.transform("hits", put), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), ""))
+    done = joined.select("row", clean.alias("clean"))
     out = done.select(*[F.col("clean").alias(c) if c == "text" else F.length("clean").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in columns])
     return plain.unionByName(out)
