@@ -1,7 +1,9 @@
 """Telephony audio: mu-law, A-law and IMA ADPCM in WAV files, to linear PCM at another rate.
 
 Companded samples are expanded by lookup tables of 256 entries that the rules of their standard give. ADPCM blocks do
-not depend on each other, so all blocks of a file are decoded side by side, one sample position at a time.
+not depend on each other, so all blocks of many files are decoded side by side, one sample position at a time. The
+resampled PCM is stored as differences of differences (modulo 2 ** 16, so nothing is lost), which linear interpolation makes
+small, low and high bytes apart, compressed; it is read back for its digest.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from strandline.llm.common import rows_of, scratch_table, table, text_or_empty
@@ -115,9 +118,36 @@ def resample(samples: np.ndarray, rate: int, to: int, piece: int = 1 << 18) -> I
         yield ((held[low] * (to - part) + held[np.minimum(low + 1, len(held) - 1)] * part) // to).astype("<i2")
 
 
-def store(docs: DataFrame, code: int = MU_LAW, rate: int = 8000) -> DataFrame:
+def pack_pcm(parts: Iterator[np.ndarray]) -> bytes:
+    """Pieces of int16 samples, each as its number of samples, its bytes compressed, and those bytes."""
+    out, press = [], zstandard.ZstdCompressor(level=3)
+    for part in parts:
+        twice = np.diff(np.diff(part.view(np.uint16), prepend=np.uint16(0)), prepend=np.uint16(0))
+        body = press.compress(np.ascontiguousarray(twice.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes())
+        out.append(struct.pack("<II", len(part), len(body)) + body)
+    return b"".join(out)
+
+
+def unpack_pcm(data: bytes) -> Iterator[np.ndarray]:
+    """The pieces again."""
+    at, press = 0, zstandard.ZstdDecompressor()
+    while at < len(data):
+        n, size = struct.unpack_from("<II", data, at)
+        planes = np.frombuffer(press.decompress(data[at + 8 : at + 8 + size], 2 * n), np.uint8).reshape(2, n)
+        twice = np.ascontiguousarray(planes.T).view("<u2").ravel().astype(np.uint16)
+        yield np.cumsum(np.cumsum(twice, dtype=np.uint16), dtype=np.uint16).view(np.int16)
+        at += 8 + size
+
+
+#: Bytes of an ADPCM block, and how texts are dealt to formats by the checksum of their bytes: of 16, so many. ADPCM samples hardly
+#: compress (some 7 bytes for one of the text), so fewer texts get it.
+ALIGN, DEALT = 64, (MU_LAW,) * 7 + (A_LAW,) * 7 + (IMA_ADPCM,) * 2
+
+
+def store(docs: DataFrame, codes: tuple[int, ...] = DEALT, rate: int = 8000) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, filled with 0 to a positive multiple of 64, as a WAV file.
 
+    A text's format is one of ``codes``, by the checksum of its bytes, so that equal texts are equal files.
     Null texts are empty, and so one block of 64 zero bytes; null ids stay; repeated rows are stored each; further columns
     are ignored; no rows give no rows. The table is in the shared folder.
     """
@@ -125,46 +155,71 @@ def store(docs: DataFrame, code: int = MU_LAW, rate: int = 8000) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            media = [write_wav(b.ljust(max(64, -(-len(b) // 64) * 64), b"\0"), code, rate) for b in raw]
+            kinds = [codes[zlib.crc32(b) % len(codes)] for b in raw]
+            media = [write_wav(b.ljust(max(64, -(-len(b) // 64) * 64), b"\0"), k, rate, ALIGN if k == IMA_ADPCM else 1) for b, k in zip(raw, kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return scratch_table(text_or_empty(docs).mapInArrow(build, "doc_id long, n_bytes long, media binary"), "audio")
 
 
-MEASURED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+KEPT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+
 
+def transcode(media: DataFrame, to: int = 16000) -> DataFrame:
+    """Stored files read back, decoded and resampled: digests, features of the samples, and the PCM at rate ``to``, as a table in the shared folder."""
 
-def measure(media: DataFrame, to: int = 16000, with_pcm: bool = True) -> DataFrame:
-    """Stored files decoded and resampled: digests, a feature string and, if asked, the PCM at rate ``to``."""
+    def decoded(files: list[tuple]) -> list[np.ndarray]:
+        """Samples of each (code, rate, align, payload); the ADPCM blocks of all together."""
+        out = [decode(code, align, payload) if code != IMA_ADPCM else None for code, _, align, payload in files]
+        for align in {f[2] for f in files if f[0] == IMA_ADPCM}:
+            which = [i for i, f in enumerate(files) if f[0] == IMA_ADPCM and f[2] == align]
+            blocks = [files[i][3][: len(files[i][3]) // align * align] for i in which]
+            samples = decode_adpcm(np.frombuffer(b"".join(blocks), np.uint8), align)
+            ends = np.cumsum([len(b) // align * (2 * align - 7) for b in blocks])
+            for i, part in zip(which, np.split(samples, ends[:-1])):
+                out[i] = part
+        return out
 
-    def of(file: bytes) -> tuple:
-        code, rate, align, payload = read_wav(file)
-        samples = decode(code, align, payload)
+    def of(file: bytes, wav: tuple, samples: np.ndarray) -> tuple:
+        code, rate, _, payload = wav
         wide = samples.astype(np.int64)
         crossings = int(np.count_nonzero(np.diff(samples < 0)))
-        crc, n, kept = 0, 0, []
-        for part in resample(samples, rate, to):
-            raw = part.tobytes()
-            crc, n = zlib.crc32(raw, crc), n + len(part)
-            if with_pcm:
-                kept.append(raw)
-        feature = f"format={code};samples={len(samples)};energy={int(wide @ wide)};crossings={crossings};peak={int(np.abs(wide).max(initial=0))};rate={to};resampled={n};pcm_crc32={crc}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, b"".join(kept) if with_pcm else None
+        feature = f"format={code};samples={len(samples)};energy={int(wide @ wide)};crossings={crossings};peak={int(np.abs(wide).max(initial=0))};rate={to}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, pack_pcm(resample(samples, rate, to))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
-                rows = [of(m.as_py()) for m in part.column("media")]
+                files = [m.as_py() for m in part.column("media")]
+                waves = [read_wav(f) for f in files]
+                rows = [of(*x) for x in zip(files, waves, decoded(waves))]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)
 
-    names = [f.split()[0] for f in MEASURED.split(", ")]
+    names = [f.split()[0] for f in KEPT.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    out = media.select("doc_id", "n_bytes", "media").mapInArrow(read, MEASURED)
-    return out if with_pcm else out.drop("pcm")
+    return scratch_table(media.select("doc_id", "n_bytes", "media").mapInArrow(read, KEPT), "pcm")
+
+
+def measure(kept: DataFrame) -> DataFrame:
+    """The rows of ``transcode`` with their feature strings completed from the PCM as it was stored, and without it."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = []
+            for feature, pcm in zip(batch.column("feature").to_pylist(), batch.column("pcm")):
+                crc, n = 0, 0
+                for part in unpack_pcm(pcm.as_py()):
+                    crc, n = zlib.crc32(part.astype("<i2").tobytes(), crc), n + len(part)
+                features.append(f"{feature};resampled={n};pcm_crc32={crc}")
+            columns = [pa.array(features) if c == "feature" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [f.split()[0] for f in KEPT.split(", ")][:-1]
+    return kept.mapInArrow(read, KEPT.rpartition(", ")[0])
 
 
 def op9_audio(spark, sf_dir):
-    """Every text as mu-law samples, stored, read back, decoded and resampled."""
-    return measure(store(table(spark, sf_dir, "documents")), with_pcm=False)
+    """Every text as telephony audio, stored, read back, decoded, resampled, and stored as PCM."""
+    return measure(transcode(store(table(spark, sf_dir, "documents"))))

@@ -67,9 +67,18 @@ def test_resampling():
     assert np.concatenate(list(audio.resample(x, 16000, 8000))).tolist() == [0, -100]
 
 
-def test_texts(spark, odd, none):
-    assert audio.measure(audio.store(none)).count() == 0
-    rows = audio.measure(audio.store(odd)).collect()
+def test_pcm_round_trip():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (1, 2, 777)] + [np.zeros(0, np.int16), np.array([-32768, 32767] * 5, np.int16)]
+    assert [p.tolist() for p in audio.unpack_pcm(audio.pack_pcm(iter(parts)))] == [p.tolist() for p in parts]
+    assert list(audio.unpack_pcm(b"")) == []
+
+
+@pytest.mark.parametrize("codes", [audio.DEALT, (audio.IMA_ADPCM,), (audio.A_LAW,)])
+def test_texts(spark, odd, none, codes):
+    assert audio.measure(audio.transcode(audio.store(none, codes))).count() == 0
+    kept = audio.transcode(audio.store(odd, codes))
+    rows = audio.measure(kept).collect()
     texts = sorted((str(r.doc_id), (r.text or "").encode()) for r in odd.collect())
     assert len(rows) == len(texts)
     want = []
@@ -77,4 +86,12 @@ def test_texts(spark, odd, none):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         want.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == sorted(want)
-    assert all(len(r.pcm) == 4 * r.payload_bytes and f"pcm_crc32={zlib.crc32(r.pcm)}" in r.feature for r in rows)
+    # the PCM of each text by the plain decoders
+    pcm = {}
+    for doc, raw in texts:
+        code = codes[zlib.crc32(raw) % len(codes)]
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        samples = {audio.MU_LAW: lambda p: [mu(b) for b in p], audio.A_LAW: lambda p: [a_law(b) for b in p], audio.IMA_ADPCM: lambda p: adpcm(p, 64)}[code](payload)
+        wide = [x for i, a in enumerate(samples) for x in (a, (a + samples[min(i + 1, len(samples) - 1)]) // 2)]
+        pcm[hashlib.sha256(payload).hexdigest()] = f"format={code};", f"resampled={len(wide)};pcm_crc32={zlib.crc32(np.array(wide, '<i2').tobytes())}"
+    assert all(r.feature.startswith(pcm[r.payload_sha256][0]) and r.feature.endswith(pcm[r.payload_sha256][1]) for r in rows)
