@@ -2,8 +2,8 @@
 
 Every partition holds a fixed number of open windows. A piece goes to the open window that it fills best; when
 none has room and no more may be opened, the fullest is emitted (its gap first filled with the head of the
-piece, if the gap is worth a cut). What is left open at the end of the partitions is merged in groups of
-partitions, by the same rule, and then laid end to end.
+piece, if the gap is worth a cut). The windows left open at the end of the partitions are dealt evenly to as many groups as
+there are some hundred of them, merged there by the same rule, and then laid end to end.
 """
 
 from __future__ import annotations
@@ -78,19 +78,19 @@ class Windows:
             yield pieces
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open_group int"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 
 
-def _rows(windows: Iterator[list], first: int, with_ids: bool, group: int | None = None) -> Iterator[dict]:
+def _rows(windows: Iterator[list], first: int, with_ids: bool, still_open: bool = False) -> Iterator[dict]:
     for n, pieces in enumerate(windows, first):
         offset = 0
         for doc, start, ids, total in pieces:
             raw = ids.astype("<u4").tobytes()
-            yield {"doc_id": doc, "start": start, "length": len(ids), "ids_crc32": zlib.crc32(raw), "doc_tokens": total, "sequence_id": n, "offset": offset, "ids": raw if with_ids or group is not None else None, "open_group": group}
+            yield {"doc_id": doc, "start": start, "length": len(ids), "ids_crc32": zlib.crc32(raw), "doc_tokens": total, "sequence_id": n, "offset": offset, "ids": raw if with_ids or still_open else None, "open": still_open}
             offset += len(ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, open_windows: int = 32, least_cut: int = 32, merge_partitions: int = 16, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, open_windows: int = 32, least_cut: int = 32, merge_windows: int = 128, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.
 
     A document is its ids, by the library's encoding of the whole text, and ``end_id``; each id lies in exactly
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, op
                 first += len(closed)
         left = [held for _, held in windows.open]
         if left:
-            yield pa.RecordBatch.from_pylist(list(_rows(left, first, True, part // merge_partitions)), schema)
+            yield pa.RecordBatch.from_pylist(list(_rows(left, first, True, True)), schema)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         windows = Windows(size, len(group) + 1, least_cut)
@@ -124,14 +124,16 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, op
             doc = None if pd.isna(r.doc_id) else int(r.doc_id)
             closed += windows.place((doc, int(r.start), np.frombuffer(r.ids, "<u4"), int(r.doc_tokens)))
         closed += windows.flush()
-        first = (1 << 62) | (int(group.open_group.iloc[0]) << LOCAL_BITS)
+        first = (1 << 62) | (int(group.dealt.iloc[0]) << LOCAL_BITS)
         out = pd.DataFrame(list(_rows(closed, first, with_ids)), columns=schema.names)
         return out.astype({"doc_id": "Int64"})
 
-    schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int32() if t == "int" else pa.int64()) for n, t in (f.split() for f in SCHEMA.split(", "))])
+    schema = pa.schema([(n, pa.binary() if t == "binary" else pa.bool_() if t == "boolean" else pa.int64()) for n, t in (f.split() for f in SCHEMA.split(", "))])
     placed = scratch_table(text_or_empty(docs).mapInArrow(place, SCHEMA), "packed")
-    merged = placed.filter("open_group is not null").groupBy("open_group").applyInPandas(merge, SCHEMA)
-    out = placed.filter("open_group is null").unionByName(merged).drop("open_group")
+    left = placed.filter("open")
+    groups = max(1, left.filter("offset = 0").count() // merge_windows)
+    merged = left.withColumn("dealt", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).groupBy("dealt").applyInPandas(merge, SCHEMA)
+    out = placed.filter("not open").unionByName(merged).drop("open")
     return out if with_ids else out.drop("ids")
 
 
