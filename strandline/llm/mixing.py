@@ -2,7 +2,9 @@
 
 Token counts are summed per cell of (source, language, topic). The cells' weights are raked to the three target
 marginals in turn; a document's sampling probability is its cell's weight over its tokens, scaled so that the
-largest is 1. Sampling by a hash of the doc_id then meets the marginals in expectation, and again on every run.
+largest is 1. Sampling by a hash of the doc_id then meets the marginals in expectation, and again on every run. With a
+tolerance, more is kept: the scale is the largest at which every marginal stays that near its target, cells that would need
+more than all their documents being kept whole.
 """
 
 from __future__ import annotations
@@ -70,11 +72,11 @@ def rake(cells: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, floa
     return out
 
 
-def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: str = "mix", rounds: int = ROUNDS, scale: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: str = "mix", rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
     """One row per row of ``docs``: row (struct), the marginals, n_tokens, probability and kept.
 
-    Without ``scale`` the cell that is shortest of its target is kept whole and the others in proportion, so that the marginals
-    are met. With ``scale`` 1 every cell above its target is sampled down to it and those below are kept whole.
+    Without a tolerance the cell that is shortest of its target is kept whole and the others in proportion, so that the marginals
+    are met as raking met them. With one, shares of tokens in each margin may be off by that much, and as much as that allows is kept.
 
     Texts without words (null ones included) carry no weight and are always kept, with probability 1. Null ids
     share one draw. Repeated rows count each and share their draw. Further columns travel in ``row``; no rows give
@@ -83,11 +85,11 @@ def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]
     rows = described(docs)
     cells = scratch_table(rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, alpha, targets, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    if scale is None:
-        most = raked.agg(F.max("ratio")).first()[0]
+    most = raked.agg(F.max("ratio")).first()[0]
+    if not tolerance:
         p = F.col("ratio") / F.lit(most)
     else:
-        p = F.least(F.col("ratio") * scale, F.lit(1.0))
+        p = F.least(F.col("ratio") * widest(raked, tolerance, most), F.lit(1.0))
     chances = raked.select(*MARGINS, p.alias("p"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     joined = rows.join(chances, list(MARGINS), "left")
@@ -95,6 +97,33 @@ def mix(docs: DataFrame, alpha: float = 0.5, targets: dict[str, dict[str, float]
     return joined.select("row", *MARGINS, "n_tokens", p.alias("probability"), (draw < p).alias("kept"))
 
 
+def residuals(raked: DataFrame, scales: list[float]) -> list[tuple[float, float]]:
+    """(scale, largest difference of a margin's share of kept tokens from its target) for each scale; one row per cell and scale."""
+    each = raked.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("kept", F.col("tokens") * F.least(F.col("ratio") * F.col("scale"), F.lit(1.0)))
+    levels = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("level"), F.col(f"aim_{m}").alias("aim")) for m in MARGINS])).alias("x")
+    by_level = each.select("scale", "kept", levels).groupBy("scale", "x.margin", "x.level").agg(F.sum("kept").alias("kept"), F.first("x.aim").alias("aim"))
+    whole = by_level.groupBy("scale", "margin").agg(F.sum("kept").alias("all"))
+    off = by_level.join(whole, ["scale", "margin"]).groupBy("scale").agg(F.max(F.abs(F.col("kept") / F.col("all") - F.col("aim"))).alias("off"))
+    return sorted((r["scale"], r["off"]) for r in off.collect())  # one row per scale
+
+
+def widest(raked: DataFrame, tolerance: float, most: float | None, steps: int = 16) -> float:
+    """The largest scale, by a grid that is refined twice, whose residual is within ``tolerance`` at it and at all smaller ones of the grid."""
+    if not most:
+        return 1.0
+    low, high = 1 / most, 1e4 / most
+    for _ in range(3):
+        grid = [low * (high / low) ** (k / steps) for k in range(steps + 1)]
+        for (scale, off), after in zip(found := residuals(raked, grid), [*found[1:], (None, None)]):
+            if off <= tolerance + 1e-9 or scale == found[0][0]:
+                low, high = scale, after[0] or scale
+            else:
+                break
+        if high <= low:
+            break
+    return low
+
+
 def op5_mixing(spark, sf_dir):
     """Sampling probability and decision for every document."""
     out = mix(table(spark, sf_dir, "documents"))
@@ -102,8 +131,8 @@ def op5_mixing(spark, sf_dir):
 
 
 def sampled(spark, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the draw keeps."""
-    return mix(docs, scale=1.0).filter("kept").select("row.*")
+    """The rows of ``docs`` that the draw keeps, the shares of all margins within 0.05 of their targets."""
+    return mix(docs, tolerance=0.05).filter("kept").select("row.*")
 
 
 def mixing_sql(alpha: float = 0.5, seed: str = "mix", rounds: int = ROUNDS) -> str:
