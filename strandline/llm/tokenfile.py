@@ -6,7 +6,7 @@ that a given share of its differences fits, the differences packed at that width
 read alone. Files are rows of a table in the shared folder: Spark commits them, and a lost task writes its own again.
 
 Layout, little-endian: magic "PFR1", block size, ids, documents, blocks (u4 each); document ids (i8), their
-lengths (u4); per block: minimum (u4), start of its words in the packed area (u4), first exception (u4), width (u1);
+lengths (u4), and whether an id is null (u1); per block: minimum (u4), start of its words in the packed area (u4), first exception (u4), width (u1);
 then the packed area (u4 words) and the exceptions: position in block (u2) and difference (u4).
 """
 
@@ -27,8 +27,6 @@ from strandline.llm.tokens import encoder, vocabulary_path
 MAGIC = b"PFR1"
 #: Ids of a block, and ids that are packed together into ``width`` words.
 BLOCK, RUN = 256, 32
-#: Stored in place of a null document id.
-NO_ID = -(2**63)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,9 +79,10 @@ def write_file(doc_ids: list, ids: list[np.ndarray], percentile: float = 90.0) -
         which = np.flatnonzero(width == w)
         got = _pack(over[which].reshape(-1, RUN), int(w)).reshape(len(which), -1)
         packed[start[which][:, None] + np.arange(got.shape[1])] = got
-    keys = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
+    keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    none = np.array([d is None for d in doc_ids], "u1")
     head = np.array([BLOCK, len(flat), len(ids), blocks], "<u4")
-    return b"".join([MAGIC, head.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes(), low.astype("<u4").tobytes(), start.astype("<u4").tobytes(), first.tobytes(), width.tobytes(), packed.astype("<u4").tobytes(), position.astype("<u2").tobytes(), beyond.astype("<u4").tobytes()])
+    return b"".join([MAGIC, head.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes(), none.tobytes(), low.astype("<u4").tobytes(), start.astype("<u4").tobytes(), first.tobytes(), width.tobytes(), packed.astype("<u4").tobytes(), position.astype("<u2").tobytes(), beyond.astype("<u4").tobytes()])
 
 
 def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -99,7 +98,7 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         return got
 
     block, total, documents, blocks = (int(x) for x in take("<u4", 4))
-    keys, lengths = take("<i8", documents), take("<u4", documents)
+    keys, lengths, none = take("<i8", documents), take("<u4", documents), take("u1", documents)
     low, start, first, width = take("<u4", blocks), take("<u4", blocks).astype(np.int64), take("<u4", blocks), take("u1", blocks)
     packed = take("<u4", int(width.astype(np.int64).sum()) * (block // RUN))
     wide = (len(content) - place) // 6
@@ -113,7 +112,7 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(blocks), np.diff(np.append(first, wide).astype(np.int64)))
         values[owner, position] = beyond
     values += low[:, None]
-    return [None if k == NO_ID else int(k) for k in keys], lengths, values.reshape(-1)[:total]
+    return [None if n else int(k) for k, n in zip(keys, none)], lengths, values.reshape(-1)[:total]
 
 
 FILES = "part int, file int, n_ids long, content binary"

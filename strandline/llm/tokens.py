@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 #: White space of any library, runs of it, and stops that do not stand alone after a word.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 RUNS = rf"{SPACE}[ \n]|[ \n]{SPACE}"
+#: Characters of a chunk that outlives a cleaning of the memo.
+LONG = 64
 STOPS = r"[^\p{L}\p{N}][.,]|^[.,]"
 
 
@@ -31,21 +33,23 @@ class ChunkEncoder:
     """``encode(texts)`` gives one uint32 array per text, equal to the library's ids of the whole text.
 
     ``joined``: the vocabulary takes a blank into the word after it (byte-level); otherwise white space is dropped.
-    At most ``limit`` chunks are held; beyond that those seen only once since the last cleaning go.
+    At most ``limit`` chunks and ``most_chars`` characters are held; beyond that those seen only once since the last cleaning go, and
+    all that are longer than ``LONG`` (texts with runs of white space are one chunk each).
     """
 
-    def __init__(self, path: str, joined: bool, limit: int = 400_000):
+    def __init__(self, path: str, joined: bool, limit: int = 400_000, most_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.joined, self.limit = joined, limit
+        self.joined, self.limit, self.most_chars = joined, limit, most_chars
         self.reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def reset(self, memo: dict[str, int], flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
         self.memo, self.flat, self.first, self.size = memo, flat, first, size
         self.used = np.zeros(len(size), np.int64)
+        self.chars = sum(map(len, memo))
 
     def chunks(self, texts: pa.Array) -> pa.Array:
         """A list of chunks for each text."""
@@ -65,7 +69,9 @@ class ChunkEncoder:
             keep = keep[self.used[keep] > np.median(self.used[keep])]
         place = np.full(len(self.size), -1, np.int64)
         place[keep] = np.arange(len(keep))
-        memo = {c: int(p) for c, s in self.memo.items() if (p := place[s]) >= 0}
+        kept = [(c, s) for c, s in self.memo.items() if place[s] >= 0 and len(c) <= LONG]
+        keep = np.array([s for _, s in kept], np.int64)
+        memo = {c: p for p, (c, _) in enumerate(kept)}
         size = self.size[keep]
         ends = np.cumsum(size)
         self.reset(memo, self.gather(keep), ends - size, size)
@@ -86,13 +92,14 @@ class ChunkEncoder:
         self.flat = np.concatenate([self.flat, flat])
         self.used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
         self.memo.update(zip(new, range(at, at + len(new))))
+        self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         marked = [i for i, t in enumerate(texts) if "\x00" in t]  # these hold the mark that chunks are cut at
         lists = self.chunks(pa.array(["" if "\x00" in t else t for t in texts] if marked else texts, pa.large_string()))
         codes = lists.values.dictionary_encode()
         distinct = codes.dictionary.to_pylist()
-        if len(self.memo) > self.limit:
+        if len(self.memo) > self.limit or self.chars > self.most_chars:
             self.forget()
         if new := [c for c in distinct if c not in self.memo]:
             self.learn(new)

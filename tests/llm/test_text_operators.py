@@ -22,6 +22,19 @@ def test_mixing_meets_the_marginals(spark):
     assert rows.probability.max() == pytest.approx(1)
 
 
+def test_mixing_within_a_tolerance(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "en" if i % 10 else "de", "hot" if i % 30 else f"s{i % 4}") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    exact, near = (mixing.mix(docs, tolerance=t).toPandas() for t in (0.0, 0.05))
+    shares = {}
+    for name, rows in (("exact", exact), ("near", near)):
+        mass = rows.probability * rows.n_tokens
+        shares[name] = {m: (mass.groupby(rows[m]).sum() / mass.sum()).to_dict() for m in ("source", "lang")}
+    assert near.probability.sum() > 1.1 * exact.probability.sum()
+    off = max(abs(shares["near"][m][k] - v) for m in shares["exact"] for k, v in shares["exact"][m].items())
+    assert 0.01 < off <= 0.055
+    assert mixing.mix(docs.limit(0), tolerance=0.05).count() == 0
+
+
 def test_mixing_odd_rows_and_sql(spark, odd, none, tmp_path):
     assert mixing.mix(none).count() == 0
     rows = mixing.mix(odd)
@@ -156,6 +169,42 @@ def test_grades_of_held_out_texts(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id >= 600} == {r.doc_id for r in rows if r["keep"]}
 
 
+def test_features_and_scores_by_brute_force():
+    """Every word and stem once, each style in its level, by plain Python; then the score and the tails of the model."""
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    parts = ["Word", "words!!", "a", "xx", "x1y", "ÉTÉ", "plain", "plainer", "...", "(q)"]
+    texts = ["", " "] + [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    place = lambda f: zlib.crc32(f.encode()) % quality.PLACES
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def plain(text):
+        words = text.split()
+        cores = [w.strip(marks + "«»“”‘’…") for w in words]
+        out = set()
+        for c in (c.lower() for c in cores if c):
+            out |= {place(c), *(place(c[:k] + "\0") for k in quality.STEMS if len(c) > k)}
+        n = max(len(words), 1)
+        style = [
+            sum(sum(map(str.isupper, c)) for c in cores) / max(sum(map(len, cores)), 1), sum(not c for c in cores) / n, sum(len(w) - len(w.rstrip(marks)) >= 2 for w in words) / n,
+            sum(any(x in "0123456789" for x in c) for c in cores) / n, max((words.count(w) for w in words), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        ]
+        return out | {place(f"\0style {i} {min(int(s * quality.LEVELS), quality.LEVELS - 1)}") for i, s in enumerate(style)}
+
+    owner, places = quality.features(texts)
+    for i, t in enumerate(texts):
+        assert sorted(places[owner == i].tolist()) == sorted(plain(t)), t
+    weights = np.random.default_rng(1).normal(size=quality.PLACES).astype(np.float32)
+    model = quality.Ordinal(3, weights, np.array([-1.0, 2.0]))
+    expected, tail = quality._judge(model, texts)
+    for i, t in enumerate(texts):
+        s = sum(float(weights[p]) for p in plain(t))
+        p = [1 / (1 + np.exp(c - s)) for c in (-1.0, 2.0)]
+        assert abs(expected[i] - sum(p)) < 1e-5 and abs(tail[i] - p[1]) < 1e-5
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels, quality.grade(), 3)

@@ -34,16 +34,25 @@ def test_chunks_give_the_ids_of_whole_texts(name, texts):
 @settings(max_examples=60, deadline=None)
 def test_file_round_trip(lists):
     ids = [np.array(x, np.uint32) for x in lists]
-    keys, lengths, flat = read_file(write_file([None, *range(len(ids))][: len(ids)], ids))
-    assert keys == [None, *range(len(ids))][: len(ids)] and lengths.tolist() == [len(x) for x in lists]
+    keys, lengths, flat = read_file(write_file([None, -(2**63), *range(len(ids))][: len(ids)], ids))
+    assert keys == [None, -(2**63), *range(len(ids))][: len(ids)] and lengths.tolist() == [len(x) for x in lists]
     assert flat.tolist() == [v for x in lists for v in x]
 
 
+def test_the_memo_is_bounded_in_characters():
+    theirs = library(WORD)
+    ours = ChunkEncoder(vocabulary_path(WORD), False, most_chars=500)
+    for i in range(40):  # texts with runs of blanks are one chunk each
+        text = f"some  words {i} " * 20
+        assert ours.encode([text, "plain words"])[0].tolist() == theirs(text)
+        assert ours.chars < 2000 and len(ours.flat) < 2000
+
+
 def test_pieces_hold_every_id_once(spark, odd, none):
     assert pack(none, vocabulary_path(WORD)).count() == 0
     encode = library(WORD)
     want = sorted(tuple([*encode(r.text or ""), 1]) for r in odd.collect())
-    rows = pack(odd, vocabulary_path(WORD), size=64, open_windows=2, merge_partitions=2).toPandas()
+    rows = pack(odd, vocabulary_path(WORD), size=64, open_windows=2, merge_windows=2).toPandas()
     raw = rows.ids.map(lambda b: np.frombuffer(b, "<u4"))
     assert (raw.map(len) == rows.length).all() and [zlib.crc32(b) for b in rows.ids] == rows.ids_crc32.tolist()
     order = rows.sort_values(["sequence_id", "offset"])
