@@ -2,8 +2,9 @@
 
 Companded samples are expanded by lookup tables of 256 entries that the rules of their standard give. ADPCM blocks do
 not depend on each other, so all blocks of many files are decoded side by side, one sample position at a time. The
-resampled PCM is stored as differences of differences (modulo 2 ** 16, so nothing is lost), which linear interpolation makes
-small, low and high bytes apart, compressed; it is read back for its digest.
+resampled PCM is stored without loss: every second sample as its place among the values that occur (if they are 256 or fewer, as
+in companded audio), the others as what they differ by from the mean of their neighbours; Parquet compresses the bytes of many
+texts together. It is read back for its digest.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from strandline.llm.common import rows_of, scratch_table, table, text_or_empty
@@ -118,30 +118,59 @@ def resample(samples: np.ndarray, rate: int, to: int, piece: int = 1 << 18) -> I
         yield ((held[low] * (to - part) + held[np.minimum(low + 1, len(held) - 1)] * part) // to).astype("<i2")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Low bytes, then high bytes."""
+    return np.ascontiguousarray(values.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """Means of neighbours, for the ``n`` samples between them."""
+    after = np.append(even[1:], even[-1:]).astype(np.int32)
+    return ((even.astype(np.int32) + after) // 2).astype(np.int16)[:n].view(np.uint16)
+
+
 def pack_pcm(parts: Iterator[np.ndarray]) -> bytes:
-    """Pieces of int16 samples, each as its number of samples, its bytes compressed, and those bytes."""
-    out, press = [], zstandard.ZstdCompressor(level=3)
+    """Pieces of int16 samples: number of samples, of distinct values (0: more than 256), and whether the rest differs from the means; then those."""
+    out = []
     for part in parts:
-        twice = np.diff(np.diff(part.view(np.uint16), prepend=np.uint16(0)), prepend=np.uint16(0))
-        body = press.compress(np.ascontiguousarray(twice.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes())
-        out.append(struct.pack("<II", len(part), len(body)) + body)
+        even, odd = np.ascontiguousarray(part[::2]), np.ascontiguousarray(part[1::2])
+        values, place = np.unique(even, return_inverse=True)
+        few = 0 < len(values) <= 256
+        rest = odd.view(np.uint16) - _between(even, len(odd)) if len(odd) else odd.view(np.uint16)
+        out.append(struct.pack("<IHB", len(part), len(values) if few else 0, bool(rest.any())))
+        out.append(values.astype("<i2").tobytes() + place.astype(np.uint8).tobytes() if few else _planes(even.view(np.uint16)))
+        out.append(_planes(rest) if rest.any() else b"")
     return b"".join(out)
 
 
 def unpack_pcm(data: bytes) -> Iterator[np.ndarray]:
     """The pieces again."""
-    at, press = 0, zstandard.ZstdDecompressor()
-    while at < len(data):
-        n, size = struct.unpack_from("<II", data, at)
-        planes = np.frombuffer(press.decompress(data[at + 8 : at + 8 + size], 2 * n), np.uint8).reshape(2, n)
-        twice = np.ascontiguousarray(planes.T).view("<u2").ravel().astype(np.uint16)
-        yield np.cumsum(np.cumsum(twice, dtype=np.uint16), dtype=np.uint16).view(np.int16)
-        at += 8 + size
+    at = 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        got = np.frombuffer(data, kind, n, at)
+        at += got.nbytes
+        return got
 
+    def wide(n: int) -> np.ndarray:
+        return np.ascontiguousarray(take("u1", 2 * n).reshape(2, n).T).view("<u2").ravel().astype(np.uint16)
 
-#: Bytes of an ADPCM block, and how texts are dealt to formats by the checksum of their bytes: of 16, so many. ADPCM samples hardly
-#: compress (some 7 bytes for one of the text), so fewer texts get it.
-ALIGN, DEALT = 64, (MU_LAW,) * 7 + (A_LAW,) * 7 + (IMA_ADPCM,) * 2
+    while at < len(data):
+        n, distinct, differs = struct.unpack_from("<IHB", data, at)
+        at += 7
+        first, second = n - n // 2, n // 2
+        even = take("<i2", distinct).astype(np.int16)[take("u1", first)] if distinct else wide(first).view(np.int16)
+        out = np.empty(n, np.int16)
+        out[::2] = even
+        if second:
+            out[1::2] = (_between(even, second) + (wide(second) if differs else np.uint16(0))).view(np.int16)
+        yield out
+
+
+#: Bytes of an ADPCM block, and how texts are dealt to formats by the checksum of their bytes: of 16, so many. ADPCM samples take more than
+#: twice the room of others, so fewer texts get it.
+ALIGN, DEALT = 64, (MU_LAW,) * 8 + (A_LAW,) * 7 + (IMA_ADPCM,)
 
 
 def store(docs: DataFrame, codes: tuple[int, ...] = DEALT, rate: int = 8000) -> DataFrame:
