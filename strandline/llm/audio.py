@@ -173,6 +173,10 @@ def unpack_pcm(data: bytes) -> Iterator[np.ndarray]:
 ALIGN, DEALT = 64, (MU_LAW,) * 8 + (A_LAW,) * 7 + (IMA_ADPCM,)
 
 
+#: Files and samples of many texts are compressed together, in large pages.
+DENSE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
+
+
 def store(docs: DataFrame, codes: tuple[int, ...] = DEALT, rate: int = 8000) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, filled with 0 to a positive multiple of 64, as a WAV file.
 
@@ -188,7 +192,7 @@ def store(docs: DataFrame, codes: tuple[int, ...] = DEALT, rate: int = 8000) ->
             media = [write_wav(b.ljust(max(64, -(-len(b) // 64) * 64), b"\0"), k, rate, ALIGN if k == IMA_ADPCM else 1) for b, k in zip(raw, kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return scratch_table(text_or_empty(docs).mapInArrow(build, "doc_id long, n_bytes long, media binary"), "audio")
+    return scratch_table(text_or_empty(docs).mapInArrow(build, "doc_id long, n_bytes long, media binary"), "audio", **DENSE)
 
 
 KEPT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
@@ -228,7 +232,7 @@ def transcode(media: DataFrame, to: int = 16000) -> DataFrame:
 
     names = [f.split()[0] for f in KEPT.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    return scratch_table(media.select("doc_id", "n_bytes", "media").mapInArrow(read, KEPT), "pcm")
+    return scratch_table(media.select("doc_id", "n_bytes", "media").mapInArrow(read, KEPT), "pcm", **DENSE)
 
 
 def measure(kept: DataFrame) -> DataFrame:

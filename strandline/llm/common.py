@@ -36,15 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts lineage: a lost executor costs at most the task it ran, and what follows reads the
-    table as often as it likes without making it again. The frame remembers its folder for ``drop_table``.
+    table as often as it likes without making it again. The frame remembers its folder for ``drop_table``;
+    ``options`` are the Parquet writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
