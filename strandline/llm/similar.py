@@ -10,6 +10,8 @@ components are compared.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import simhash
-from strandline.llm.common import rows_of, scratch_table, settle, text_or_empty
+from strandline.llm.common import drop_table, rows_of, scratch_table, settle, text_or_empty
 from strandline.llm.graph import components
 
 #: One text in so many is counted for the order of shingles, from so many of them a shingle is frequent; most that are told apart.
 SAMPLE, FREQUENT, MOST = 12, 5, 200_000
-#: Longs of a bit signature, and most rows that the executors hold each as a list of what to read.
+#: Longs of a bit signature, and most digests (16 bytes) that the executors hold each as a list of what to read.
 LANES, FEW = 8, 1_000_000
 
 
@@ -80,11 +82,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts.reshape(64) > len(hashes), bitorder="little").view("<i8")[0])
 
 
-MARKED = "doc_id long, class long, n int, fp long, prefix array<long>, bits array<long>, hashes binary"
+MARKED = "doc_id long, class long, n int, fp long, prefix array<long>, bits array<long>, text_key binary"
 
 
 def marked(docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Per row of ``docs``: the class of its shingles (texts of equal shingles have one), their number, what it is joined on, and all of them."""
+    """Per row of ``docs``: the class of its shingles (texts of equal shingles have one), their number, what it is joined on, and the digest of the text, by which it is found again."""
     order = frequent(docs, shingle)
     rank = np.argsort(order)
     known = order[rank]
@@ -95,13 +97,14 @@ def marked(docs: DataFrame, least: float, shingle: int) -> DataFrame:
         for ids, texts in rows_of(batches):
             rows = []
             for doc, text in zip(ids, texts):
-                h = shingles(text.encode("utf-8", "surrogatepass"), shingle)
-                rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, len(h), fingerprint(h), prefix(h, least, known, rank).view(np.int64), signature(h), h.tobytes()))
+                raw = text.encode("utf-8", "surrogatepass")
+                h = shingles(raw, shingle)
+                rows.append((doc, xxhash.xxh64_intdigest(h.tobytes(), 42) - 2**63, len(h), fingerprint(h), prefix(h, least, known, rank).view(np.int64), signature(h), hashlib.md5(raw).digest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = [f.split()[0] for f in MARKED.split(", ")]
-    return text_or_empty(docs).mapInArrow(mark, MARKED).withColumn("uid", F.monotonically_increasing_id())
+    return text_or_empty(docs).mapInArrow(mark, MARKED)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -154,42 +157,49 @@ def remaining(members: DataFrame, signatures: DataFrame, joined: DataFrame, leas
     return x.join(y, near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
-def checked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs whose whole shingles have the similarity."""
+def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Those of the pairs whose whole shingles have the similarity. Only texts that stand in a pair are moved, each once a pair."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = functools.lru_cache(256)(lambda text: shingles(text.encode("utf-8", "surrogatepass"), shingle))
         for batch in batches:
-            keep = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(batch.column("x"), batch.column("y"))]
+            keep = [similarity(of(x.as_py()), of(y.as_py())) >= least for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = scratch_table(pairs, "pairs")
-    uids = scratch_table(classes.select("class", "uid").join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("uid"), "uids")
-    wanted = rows.select("uid", "class", "hashes").join(F.broadcast(uids) if uids.count() <= FEW else uids, "uid").select("class", "hashes")
-    met = pairs.join(wanted.withColumnsRenamed({"class": "a", "hashes": "x"}), "a").join(wanted.withColumnsRenamed({"class": "b", "hashes": "y"}), "b")
-    return scratch_table(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = scratch_table(classes.select("class", "text_key").join(met, "class"), "wanted")
+    keys = wanted.select("text_key").distinct()
+    texts = text_or_empty(docs).select(F.unhex(F.md5("text")).alias("text_key"), "text")
+    texts = texts.join(F.broadcast(keys) if wanted.count() <= FEW else keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    held = scratch_table(texts.join(wanted, "text_key").select("class", "text"), "texts")
+    both = pairs.join(held.withColumnsRenamed({"class": "a", "text": "x"}), "a").join(held.withColumnsRenamed({"class": "b", "text": "y"}), "b")
+    return scratch_table(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
 
 
-def links(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, least: float, shingle: int) -> DataFrame:
     """Pairs of classes of the similarity: all but those whose classes others of them connect."""
     members = scratch_table(shared(classes), "members")
-    settle(rows.sparkSession)
+    settle(docs.sparkSession)
     met = scratch_table(covered(classes, least), "covered")
-    settle(rows.sparkSession)
-    first = checked(rows, classes, starred(members, least).unionByName(met).distinct(), least)
+    settle(docs.sparkSession)
+    first = checked(docs, classes, starred(members, least).unionByName(met).distinct(), least, shingle)
     joined = scratch_table(components(first), "joined")
-    return first.unionByName(checked(rows, classes, remaining(members, classes.select("class", "bits"), joined, least), least))
+    return first.unionByName(checked(docs, classes, remaining(members, classes.select("class", "bits"), joined, least), least, shingle))
 
 
 def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, component_id (least doc_id of its near-duplicate group), one row per row of ``docs``.
 
-    Texts without words, null ones included, are one group. Null ids keep their rows. Further columns are ignored; no rows
-    give no rows.
+    Texts without words, null ones included, are one group. Null ids keep their rows. A text of any length is compared on all its
+    shingles. Further columns are ignored; no rows give no rows. ``docs`` is read a second time for the texts of the pairs.
     """
-    rows = scratch_table(marked(docs, least, shingle), "shingles")
-    one = F.first(F.struct("uid", "n", "fp", "prefix", "bits")).alias("one")
-    classes = scratch_table(rows.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
-    joined = components(links(rows, classes, least)).withColumnsRenamed({"node": "class"})
+    marks = scratch_table(marked(docs, least, shingle), "shingles")
+    one = F.first(F.struct("text_key", "n", "fp", "prefix", "bits")).alias("one")
+    classes = scratch_table(marks.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
+    rows = scratch_table(marks.select("doc_id", "class"), "rows")
+    drop_table(marks)
+    joined = components(links(docs, classes, least, shingle)).withColumnsRenamed({"node": "class"})
     grouped = scratch_table(classes.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "grouped")
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(names, "component").select("class", "component_id")
