@@ -18,7 +18,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     links = links.filter("a is not null and b is not null and a <> b")
     current = scratch_table(links.selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "links")
-    previous = None
+    mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    previous = mark(current)
     for _ in range(most_rounds):
         both = current.unionByName(current.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -26,10 +27,10 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").selectExpr("case when b = m then a else b end as a", "m as b").distinct()
         after = scratch_table(small, "links")
-        mark = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (current, after)]
+        now = mark(after)
         drop_table(current)
-        current, previous = after, mark
-        if mark[0] == mark[1]:
+        current, settled, previous = after, now == previous, now
+        if settled:
             break
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds: {previous}")

@@ -9,6 +9,8 @@ more than all their documents being kept whole.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,21 +109,13 @@ def residuals(raked: DataFrame, scales: list[float]) -> list[tuple[float, float]
     return sorted((r["scale"], r["off"]) for r in off.collect())  # one row per scale
 
 
-def widest(raked: DataFrame, tolerance: float, most: float | None, steps: int = 16) -> float:
-    """The largest scale, by a grid that is refined twice, whose residual is within ``tolerance`` at it and at all smaller ones of the grid."""
+def widest(raked: DataFrame, tolerance: float, most: float | None, steps: int = 96) -> float:
+    """The largest scale of a grid (a tenth apart) whose residual, and that of all smaller ones, is within ``tolerance``; at least the exact one."""
     if not most:
         return 1.0
-    low, high = 1 / most, 1e4 / most
-    for _ in range(3):
-        grid = [low * (high / low) ** (k / steps) for k in range(steps + 1)]
-        for (scale, off), after in zip(found := residuals(raked, grid), [*found[1:], (None, None)]):
-            if off <= tolerance + 1e-9 or scale == found[0][0]:
-                low, high = scale, after[0] or scale
-            else:
-                break
-        if high <= low:
-            break
-    return low
+    found = residuals(raked, [1.1**k / most for k in range(steps)])
+    within = list(itertools.takewhile(lambda x: x[1] <= tolerance + 1e-9, found))
+    return (within or found)[-1 if within else 0][0]
 
 
 def op5_mixing(spark, sf_dir):

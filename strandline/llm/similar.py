@@ -168,10 +168,10 @@ def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float,
 
     pairs = scratch_table(pairs, "pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = scratch_table(classes.select("class", "text_key").join(met, "class"), "wanted")
+    wanted = classes.select("class", "text_key").join(met, "class")
     keys = wanted.select("text_key").distinct()
     texts = text_or_empty(docs).select(F.unhex(F.md5("text")).alias("text_key"), "text")
-    texts = texts.join(F.broadcast(keys) if wanted.count() <= FEW else keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = texts.join(F.broadcast(keys) if 2 * pairs.count() <= FEW else keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     held = scratch_table(texts.join(wanted, "text_key").select("class", "text"), "texts")
     both = pairs.join(held.withColumnsRenamed({"class": "a", "text": "x"}), "a").join(held.withColumnsRenamed({"class": "b", "text": "y"}), "b")
     return scratch_table(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
