@@ -49,6 +49,10 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     return overlap.classes(_frags(spark, d).select(F.col("frag_id").alias("read_id"), "seq"))
 
 
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    return R.noisy(R.reads(spark, d))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return matching.exact(_targets(spark, d), R.reads(spark, d))
 
@@ -118,9 +122,11 @@ def suffix_bwt(spark, d):
     return index.blocks(index.bwt(R.reads(spark, d)))
 
 
-@query("bwt_runs", "bwt", "SELECT sym, run_len, count(*) AS cnt FROM (SELECT sym, count(*) AS run_len FROM (SELECT sym, rk - row_number() OVER (PARTITION BY sym ORDER BY rk) AS island FROM bwt) GROUP BY sym, island) GROUP BY ALL")
+@query("bwt_runs", "bwt", "SELECT sym, start_rk // 4096 AS stretch, count(*) AS n, CAST(sum(start_rk) AS BIGINT) AS starts, CAST(sum(run_len) AS BIGINT) AS symbols, CAST(sum(start_rk % 1009 * run_len) AS BIGINT) AS mixed FROM (SELECT sym, min(rk) AS start_rk, count(*) AS run_len FROM (SELECT sym, rk, rk - row_number() OVER (PARTITION BY sym ORDER BY rk) AS island FROM bwt) GROUP BY sym, island) GROUP BY ALL")
 def bwt_runs(spark, d):
-    return index.runs(index.bwt(R.reads(spark, d))).groupBy("sym", "run_len").agg(F.count(F.lit(1)).alias("cnt"))
+    """Runs summed up by stretches of ranks, so that each run's start and length counts."""
+    rows = index.runs(index.bwt(R.reads(spark, d)))
+    return rows.groupBy("sym", F.expr("start_rk div 4096").alias("stretch")).agg(F.count(F.lit(1)).alias("n"), F.sum("start_rk").alias("starts"), F.sum("run_len").alias("symbols"), F.sum(F.col("start_rk") % 1009 * F.col("run_len")).alias("mixed"))
 
 
 @query("occ_checkpoints", "bwt", "SELECT block, " + ", ".join(f"CAST(coalesce(sum({n}) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ_{n}" for n in ("end_", "a", "c", "g", "t")).replace("occ_end_", "occ_end") + " FROM (SELECT rk // 1024 AS block, " + ", ".join(f"count(*) FILTER (sym = '{s}') AS {n}" for s, n in zip("$ACGT", ("end_", "a", "c", "g", "t"))) + " FROM bwt GROUP BY ALL)")
@@ -174,6 +180,13 @@ def interval_symbols(spark, d):
     return index.interval_symbols(R.reads(spark, d), 6)
 
 
+@query("interval_reads", "q reads", "SELECT pattern, ids_rank, read_id FROM (SELECT read_id, seq, row_number() OVER (ORDER BY seq || '$', reverse(seq), read_id) - 1 AS ids_rank FROM reads) JOIN (SELECT DISTINCT left(q, 12) AS pattern FROM q WHERE length(q) >= 12) ON left(seq, 12) = pattern")
+def interval_reads(spark, d):
+    """Reads that begin as a query does, from their places in read order."""
+    patterns = _targets(spark, d).filter(F.length("q") >= 12).select(F.left("q", F.lit(12)).alias("pattern")).distinct()
+    return index.interval_reads(R.reads(spark, d), patterns)
+
+
 @query("rank_lookup", "bwt", "SELECT rk, " + ", ".join(f"occ_{n}" for n in ("end", "a", "c", "g", "t")) + " FROM (SELECT rk, sym, " + ", ".join(f"CAST(coalesce(sum((sym = '{s}')::INT) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ_{n}" for s, n in zip("$ACGT", ("end", "a", "c", "g", "t"))) + " FROM bwt) WHERE sym = '$'")
 def rank_lookup(spark, d):
     """Symbols before the rank of every whole read."""
@@ -191,7 +204,7 @@ def exact_match(spark, d):
 
 @query("hamming_match", "near", "SELECT query, read_id, q_start, q_end, mismatches FROM near")
 def hamming_match(spark, d):
-    return matching.within(_targets(spark, d), R.reads(spark, d))
+    return matching.within(_targets(spark, d), _noisy(spark, d))
 
 
 @query("interval_union", "hits", "SELECT query, min(q_start) AS s, max(q_end) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY query ORDER BY q_start, q_end) AS island FROM (SELECT *, CASE WHEN max(q_end) OVER (PARTITION BY query ORDER BY q_start, q_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= q_start THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT query, q_start, q_end FROM hits))) GROUP BY query, island")
@@ -201,24 +214,24 @@ def interval_union(spark, d):
 
 @query("match_classify", "cls", "SELECT query, read_id, len, class FROM cls")
 def match_classify(spark, d):
-    return matching.classified(_targets(spark, d), R.reads(spark, d))
+    return matching.classified(_targets(spark, d), _noisy(spark, d))
 
 
 def _cut_sql(side: int) -> str:
     q, seq = ("q", "seq") if side else ("reverse(q)", "reverse(seq)")
     start = "p - 1" if side else "length(q) - p + 1 - k"
-    found = f"SELECT query, read_id, q, seq, p, coalesce(list_min(list_filter(range(1, least(length(q) - p + 1, length(seq)) + 1), lambda i: substr(q, p + i - 1, 1) <> substr(seq, i, 1))) - 1, least(length(q) - p + 1, length(seq))) AS k FROM (SELECT query, q, p, substr(q, p, 24) AS seed FROM (SELECT query, q, unnest(range(1, length(q) - 22)) AS p FROM (SELECT query, {q} AS q FROM q) WHERE length(q) >= 24)) JOIN (SELECT read_id, {seq} AS seq, left({seq}, 24) AS seed FROM reads) USING (seed)"
+    found = f"SELECT query, read_id, q, seq, p, coalesce(list_min(list_filter(range(1, least(length(q) - p + 1, length(seq)) + 1), lambda i: substr(q, p + i - 1, 1) <> substr(seq, i, 1))) - 1, least(length(q) - p + 1, length(seq))) AS k FROM (SELECT query, q, p, substr(q, p, 24) AS seed FROM (SELECT query, q, unnest(range(1, length(q) - 22)) AS p FROM (SELECT query, {q} AS q FROM q) WHERE length(q) >= 24)) JOIN (SELECT read_id, {seq} AS seq, left({seq}, 24) AS seed FROM noisy) USING (seed)"
     return f"SELECT query, read_id, {side} AS side, {start} AS q_start, {start} + k AS q_end FROM ({found}) WHERE p - 1 + k < length(q) AND k < length(seq) AND starts_with('{S.AFTER if side else S.BEFORE}', substr(seq, k + 1, 3))"
 
 
-@query("adapter_cut", "q reads", f"SELECT query, read_id, side, q_start, q_end FROM (SELECT *, row_number() OVER (PARTITION BY query, read_id, side ORDER BY q_end - q_start DESC, q_start) AS n FROM ({_cut_sql(1)} UNION ALL {_cut_sql(0)})) WHERE n = 1")
+@query("adapter_cut", "q noisy", f"SELECT query, read_id, side, q_start, q_end FROM (SELECT *, row_number() OVER (PARTITION BY query, read_id, side ORDER BY q_end - q_start DESC, q_start) AS n FROM ({_cut_sql(1)} UNION ALL {_cut_sql(0)})) WHERE n = 1")
 def adapter_cut(spark, d):
-    return matching.without_adapters(_targets(spark, d), R.reads(spark, d))
+    return matching.without_adapters(_targets(spark, d), _noisy(spark, d))
 
 
 @query("match_compete", "cls", "SELECT query, read_id, len, class FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, len, class FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' AND best IS NULL OR class = 'inexact' AND len = best")
 def match_compete(spark, d):
-    return matching.compete(matching.classified(_targets(spark, d), R.reads(spark, d)))
+    return matching.compete(matching.classified(_targets(spark, d), _noisy(spark, d)))
 
 
 @query("fasta_render", "hits", "SELECT query, 0 AS line_no, q AS line FROM q UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY q_start, read_id) AS line_no, repeat('-', q_start) || seq || repeat('-', length(q) - q_end) AS line FROM hits JOIN reads USING (read_id) JOIN q USING (query)")
@@ -279,7 +292,7 @@ def branch_cull(spark, d):
 # Libraries ----------------------------------------------------------------------------------------------------------
 
 
-@query("mate_lookup", "reads", "SELECT a.read_id, b.read_id AS mate FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 3)")
+@query("mate_lookup", "reads", "SELECT read_id, mate FROM (SELECT read_id, xor(read_id, 3) AS mate FROM reads) SEMI JOIN (SELECT read_id AS mate FROM reads) USING (mate)")
 def mate_lookup(spark, d):
     return libraries.mates(R.reads(spark, d))
 
@@ -323,10 +336,11 @@ def homopolymer_score(spark, d):
     return R.reads(spark, d).select("read_id", S.run_score(F.col("seq")).alias("score"))
 
 
-@query("end_trim", "reads", "SELECT read_id, CAST(coalesce(list_max(list_filter(range(1, 14), lambda k: right(seq, k) = left('AGATCGGAAGAGC', k))), 0) AS BIGINT) AS cut FROM reads")
+@query("end_trim", "reads", "SELECT read_id, CAST(coalesce(list_max(list_filter(range(1, 14), lambda k: right(seq, k) = left('AGATCGGAAGAGC', k))), 0) AS BIGINT) AS cut, CAST(coalesce(list_max(list_filter(range(1, 14), lambda k: left(seq, k) = right('AGATCGGAAGAGC', k))), 0) AS BIGINT) AS cut_left FROM reads")
 def end_trim(spark, d):
-    """Overlap of a read's end with the start of an adapter."""
-    return R.reads(spark, d).select("read_id", S.overlap_length(F.col("seq"), F.lit("AGATCGGAAGAGC"), 1).cast("int").alias("cut"))
+    """Overlap of a read's end with the start of an adapter, and of its start with the adapter's end."""
+    adapter = F.lit("AGATCGGAAGAGC")
+    return R.reads(spark, d).select("read_id", S.overlap_length(F.col("seq"), adapter, 1).cast("int").alias("cut"), S.overlap_length(adapter, F.col("seq"), 1).cast("int").alias("cut_left"))
 
 
 @query("symbol_codes", "reads", "SELECT read_id, CAST(strpos('ACGT', left(seq, 1)) - 1 AS BIGINT) AS first_code, CAST(strpos('ACGT', right(seq, 1)) - 1 AS BIGINT) AS last_code FROM reads")
@@ -362,7 +376,7 @@ def top_loci(spark, d):
 @query("mem_align")
 def mem_align(spark, d):
     """Reads placed with mismatches, aligned with the stretch of the query that they stand on."""
-    targets, rows = _targets(spark, d), R.reads(spark, d)
+    targets, rows = _targets(spark, d), _noisy(spark, d)
     near = matching.within(targets, rows).filter("mismatches > 0").join(targets, "query").join(rows.select("read_id", "seq"), "read_id")
     pairs = near.select(F.col("query").alias("a_id"), F.expr("substring(q, q_start + 1, q_end - q_start)").alias("a"), F.col("read_id").alias("b_id"), F.col("seq").alias("b"))
     return align.aligned(pairs)
@@ -374,15 +388,38 @@ def _overhangs(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("left_id").alias("key"), F.expr("substring(seq, ol + 1)").alias("ext"))
 
 
-@query("extension_trie")
+@query("maximal_matches", "q noisy near", """SELECT a_id, b_id, count(*) AS n_mems, max(len) AS longest FROM (SELECT a_id, b_id, i - j AS diagonal, i - n AS island, count(*) AS len FROM (
+        SELECT *, row_number() OVER (PARTITION BY a_id, b_id, i - j ORDER BY i) AS n FROM (SELECT *, unnest(range(1, length(b) + 1)) AS j FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM
+        (SELECT DISTINCT query AS a_id, substr(q, q_start + 1, q_end - q_start) AS a, read_id AS b_id, seq AS b FROM near JOIN q USING (query) JOIN noisy USING (read_id) WHERE mismatches > 0)))
+        WHERE substr(a, i, 1) = substr(b, j, 1)) GROUP BY ALL) WHERE len >= 15 GROUP BY ALL""")
+def maximal_matches(spark, d):
+    """Maximal exact matches of reads placed with mismatches and their stretch of the query, over all diagonals."""
+    return mem_align(spark, d).filter("n_mems > 0").select("a_id", "b_id", "n_mems", "longest")
+
+
+@query("shared_reads", "hits", "SELECT a.query AS a, b.query AS b, count(*) AS n FROM (SELECT DISTINCT query, read_id FROM hits) a JOIN (SELECT DISTINCT query, read_id FROM hits) b USING (read_id) WHERE a.query < b.query GROUP BY ALL")
+def shared_reads(spark, d):
+    return align.shared_ids(_hits(spark, d))
+
+
+@query("fasta_scan", "f", "SELECT CAST(frag_id AS VARCHAR) AS header, seq FROM f")
+def fasta_scan(spark, d):
+    """Fragments written as FASTA files and scanned again."""
+    path = R.shared_folder(spark)
+    _frags(spark, d).select(F.explode(F.array(F.concat(F.lit(">"), F.col("frag_id").cast("string")), F.col("seq"))).alias("line")).write.text(path)
+    return R.read_files(spark, [path]).select("header", "seq")
+
+
+@query("extension_trie", "ol c", """SELECT key, path, CAST(sum(n) AS BIGINT) AS n_reads FROM (SELECT key, left(ext, k) AS path, substr(ext, k + 1, 1) AS nx, count(*) AS n FROM (
+        SELECT key, ext, unnest(range(1, length(ext) + 1)) AS k FROM (SELECT left_id AS key, substr(seq, CAST(ol AS BIGINT) + 1) AS ext FROM ol JOIN c ON c.id = right_id)) GROUP BY ALL) GROUP BY ALL HAVING bool_or(nx = '') OR count(*) > 1""")
 def extension_trie(spark, d):
     """Overhangs of the reads that overlap each read's end, merged."""
     return align.tries(_overhangs(spark, d))
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    near = matching.within(_targets(spark, d), R.reads(spark, d))
-    return near.join(R.reads(spark, d).select("read_id", "seq"), "read_id").select(F.col("query").alias("locus"), "seq", F.col("q_start").alias("start"))
+    near = matching.within(_targets(spark, d), _noisy(spark, d))
+    return near.join(_noisy(spark, d).select("read_id", "seq"), "read_id").select(F.col("query").alias("locus"), "seq", F.col("q_start").alias("start"))
 
 
 @query("graph_paths")

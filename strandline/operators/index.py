@@ -1,7 +1,8 @@
 """Suffixes, Burrows-Wheeler transform and rank tables as DataFrames.
 
 Global ranks never meet in one task: suffixes are ranked inside buckets of a common prefix, and a bucket's offset is a
-running sum over the bucket counts, of which there are at most 5 ** PREFIX.
+running sum over the bucket counts, of which there are at most 5 ** PREFIX. Suffixes shorter than a prefix are told apart by what
+breaks their ties, so that the ends of all reads do not share a bucket. Running sums over blocks have two levels.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from strandline.functions.seq import END
 
 #: Symbols of a bucket's prefix, and ranks between two checkpoints.
 PREFIX, STEP = 7, 1024
+#: Blocks whose sums run in one task.
+SUPER = 65_536
 SYMBOLS = (END, "A", "C", "G", "T")
 
 
@@ -24,7 +27,8 @@ def suffixes(reads: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, key: Column, order: list, name: str = "rk") -> DataFrame:
     """``rows`` with their global rank from 0 by ``key`` (a string) and then ``order``, without a global window."""
-    keyed = rows.withColumn("_bucket", F.rpad(F.substring(key, 1, PREFIX), PREFIX, END))
+    # the end sorts first and ends a key, so a key and what breaks its ties sort as one string
+    keyed = rows.withColumn("_bucket", F.rpad(F.substring(F.concat(key, F.col(order[0])), 1, PREFIX), PREFIX, END))
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
     inside = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *order)))
@@ -38,16 +42,26 @@ def bwt(reads: DataFrame) -> DataFrame:
 
 def blocks(transform: DataFrame, step: int = STEP) -> DataFrame:
     """block, symbols: the transform as strings of ``step`` symbols."""
-    packed = transform.groupBy(F.floor(F.col("rk") / step).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rk", "sym"))).alias("s"))
+    packed = transform.groupBy(F.expr(f"rk div {step}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("rk", "sym"))).alias("s"))
     return packed.select("block", F.array_join(F.col("s.sym"), "").alias("symbols"))
 
 
+def sums_before(rows: DataFrame, block: str, order: list[str], names: list[str]) -> DataFrame:
+    """``rows`` with each of ``names`` summed over all rows before; sums run inside ``SUPER`` blocks and over their totals."""
+    keyed = rows.withColumn("_super", F.expr(f"{block} div {SUPER}"))
+    totals = keyed.groupBy("_super").agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    before = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)  # a row for each SUPER blocks
+    offsets = totals.select("_super", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in names])
+    inside = Window.partitionBy("_super").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}).join(offsets, "_super")
+    return summed.withColumns({n: F.col(n) + F.col(f"_{n}") for n in names}).drop("_super", *[f"_{n}" for n in names])
+
+
 def checkpoints(transform: DataFrame, step: int = STEP) -> DataFrame:
     """block, occ_end, occ_a, occ_c, occ_g, occ_t: symbols before each block; a running sum over blocks, not suffixes."""
     names = dict(zip(SYMBOLS, ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")))
-    counts = transform.groupBy(F.floor(F.col("rk") / step).alias("block")).agg(*[F.count_if(F.col("sym") == s).alias(n) for s, n in names.items()])
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names.values()])
+    counts = transform.groupBy(F.expr(f"rk div {step}").alias("block")).agg(*[F.count_if(F.col("sym") == s).alias(n) for s, n in names.items()])
+    return sums_before(counts, "block", ["block"], list(names.values())).select("block", *names.values())
 
 
 def runs(transform: DataFrame, step: int = STEP) -> DataFrame:
@@ -56,15 +70,16 @@ def runs(transform: DataFrame, step: int = STEP) -> DataFrame:
     Runs are found inside blocks of ranks and those that meet at a block's edge are joined, so no window spans the table.
     """
     inside = Window.partitionBy("block").orderBy("rk")
-    marked = transform.select("rk", "sym", F.floor(F.col("rk") / step).alias("block")).withColumn("new", F.coalesce(F.col("sym") != F.lag("sym").over(inside), F.lit(True)).cast("int"))
+    marked = transform.select("rk", "sym", F.expr(f"rk div {step}").alias("block")).withColumn("new", F.coalesce(F.col("sym") != F.lag("sym").over(inside), F.lit(True)).cast("int"))
     part = marked.withColumn("island", F.sum("new").over(inside)).groupBy("block", "island").agg(F.first("sym").alias("sym"), F.min("rk").alias("start_rk"), F.count(F.lit(1)).alias("n"))
     size = F.count(F.lit(1)).over(Window.partitionBy("block"))
     part = part.withColumn("parts", size)
     edge = part.filter("island = 1 or island = parts")
     whole = part.filter("island > 1 and island < parts").select("sym", "start_rk", F.col("n").alias("run_len"))
-    order = Window.orderBy("start_rk")  # two rows of each block at most
-    joined = edge.withColumn("joins", F.coalesce((F.lag("sym").over(order) == F.col("sym")) & (F.lag("block").over(order) == F.col("block") - 1), F.lit(False)))
-    joined = joined.withColumn("run", F.sum((~F.col("joins")).cast("int")).over(order))
+    # the first part of a block goes on with the last part of the block before; numbers of runs are sums in two levels
+    last = edge.filter("island = parts").select((F.col("block") + 1).alias("block"), F.lit(1).cast("long").alias("island"), F.col("sym").alias("_sym"))
+    marked = edge.join(last, ["block", "island"], "left").withColumn("own", F.when(F.col("sym") == F.col("_sym"), 0).otherwise(1).cast("long")).drop("_sym")
+    joined = sums_before(marked.withColumn("run", F.col("own")), "block", ["start_rk"], ["run"]).withColumn("run", F.col("run") + F.col("own"))
     return whole.unionByName(joined.groupBy("run").agg(F.first("sym").alias("sym"), F.min("start_rk").alias("start_rk"), F.sum("n").alias("run_len")).drop("run"))
 
 
@@ -91,28 +106,42 @@ def kmers(reads: DataFrame, k: int) -> DataFrame:
     return places.select(F.expr(f"substring(seq, p, {k})").alias("kmer"), (F.col("p") == F.length("seq") - k + 1).cast("int").alias("e")).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.sum("e").alias("edge"))
 
 
+def heads(reads: DataFrame, k: int) -> DataFrame:
+    """pattern, sym, edge, start: the first ``k`` symbols of every suffix and the symbol before it, without building the suffixes."""
+    ended = reads.select(F.concat("seq", F.lit(END)).alias("s"), F.length("seq").alias("n"))
+    each = ended.select("s", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("pos"))
+    sym = F.when(F.col("pos") == 0, F.lit(END)).otherwise(F.expr("substring(s, pos, 1)"))
+    return each.select(F.expr(f"substring(s, pos + 1, {k})").alias("pattern"), sym.alias("sym"), (F.col("pos") + k == F.col("n")).cast("int").alias("edge"), (F.col("pos") == 0).cast("int").alias("start"))
+
+
 def intervals(reads: DataFrame, k: int) -> DataFrame:
     """pattern, lo, width, n_start: the ranks of suffixes that begin with each word of k bases, and the reads that do.
 
     The rank of the first is a running sum over words of up to k symbols, shorter ones being those that meet a read's end.
     """
-    heads = suffixes(reads).select(F.substring("suffix", 1, k).alias("pattern"), (F.col("sym") == END).cast("int").alias("s"))
-    counts = heads.groupBy("pattern").agg(F.count(F.lit(1)).alias("width"), F.sum("s").alias("n_start"))
-    placed = counts.withColumn("lo", F.sum("width").over(Window.orderBy("pattern")) - F.col("width"))
+    counts = heads(reads, k).groupBy("pattern").agg(F.count(F.lit(1)).alias("width"), F.sum("start").alias("n_start"))
+    placed = counts.withColumn("lo", F.sum("width").over(Window.orderBy("pattern")) - F.col("width"))  # 5 ** k rows at most
     return placed.filter(~F.contains("pattern", F.lit(END))).select("pattern", "lo", "width", "n_start")
 
 
 def interval_symbols(reads: DataFrame, k: int) -> DataFrame:
     """pattern, sym, n, n_edge: symbols before the places of each word of k bases, and how many of these places end a read."""
-    heads = suffixes(reads).select(F.substring("suffix", 1, k).alias("pattern"), "sym", (F.length("suffix") == k + 1).cast("int").alias("e"))
-    counts = heads.filter(~F.contains("pattern", F.lit(END))).groupBy("pattern", "sym")
-    return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("n_edge"))
+    counts = heads(reads, k).filter(~F.contains("pattern", F.lit(END))).groupBy("pattern", "sym")
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("edge").alias("n_edge"))
+
+
+def interval_reads(reads: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, ids_rank, read_id: the reads that begin with each of ``patterns`` (of one length or several), by their place in read order."""
+    placed = sorted_reads(reads).join(reads.select("read_id", "seq"), "read_id")
+    sizes = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]  # at most the length of a read
+    heads_ = placed.select("read_id", "ids_rank", F.explode(F.array(*[F.left("seq", F.lit(n)) for n in sizes])).alias("pattern"))
+    return heads_.join(patterns.select("pattern"), "pattern").select("pattern", "ids_rank", "read_id")
 
 
 def rank_before(transform: DataFrame, table: DataFrame, positions: DataFrame, step: int = STEP) -> DataFrame:
     """positions (rk) with the symbols before each: the checkpoint of its block and a running sum inside the block."""
     rows = transform.select("rk", "sym", F.lit(1).alias("held")).unionByName(positions.select("rk", F.lit(None).cast("string").alias("sym"), F.lit(0).alias("held")))
     before = Window.partitionBy("block").orderBy("rk", "held").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("block", F.floor(F.col("rk") / step)).withColumns({f"in_{i}": F.coalesce(F.sum((F.col("sym") == s).cast("int")).over(before), F.lit(0)) for i, s in enumerate(SYMBOLS)})
+    inside = rows.withColumn("block", F.expr(f"rk div {step}")).withColumns({f"in_{i}": F.coalesce(F.sum((F.col("sym") == s).cast("int")).over(before), F.lit(0)) for i, s in enumerate(SYMBOLS)})
     names = ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")
     return inside.filter("held = 0").join(table, "block").select("rk", *[(F.col(n) + F.col(f"in_{i}")).alias(n) for i, n in enumerate(names)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.seq import mate_id
 
-#: Most libraries; their table is small by that bound and may be sent to every task.
+#: Fixed value: most libraries; their table is small by that bound and may be sent to every task.
 MOST = 255
 
 
@@ -25,8 +25,10 @@ def libraries(sizes: DataFrame) -> DataFrame:
 
 
 def library_of(ids: DataFrame, libs: DataFrame) -> DataFrame:
-    """id, lib_id by range join; ids beyond the last library have none."""
-    ranges = libs.select("lib_id", "end_count", F.lag("end_count", 1, 0).over(Window.orderBy("lib_id")).alias("begin")).limit(MOST)
+    """id, lib_id by range join; ids beyond the last library have none. More than ``MOST`` libraries are an error."""
+    if libs.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} libraries")
+    ranges = libs.select("lib_id", "end_count", F.lag("end_count", 1, 0).over(Window.orderBy("lib_id")).alias("begin"))
     return ids.join(F.broadcast(ranges), (F.col("id") >= F.col("begin")) & (F.col("id") < F.col("end_count")), "left").select("id", "lib_id")
 
 

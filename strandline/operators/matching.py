@@ -58,10 +58,12 @@ def seeded(queries: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def classified(queries: DataFrame, reads: DataFrame, mismatches: int = 2) -> DataFrame:
-    """query, read_id, len, class: exact, inexact (few mismatches) or unmatched, of all seeded candidates."""
+    """query, read_id, len, class: exact, inexact (few mismatches) or unmatched, of all that share a seed or are placed with few mismatches."""
     best = within(queries, reads, mismatches).groupBy("query", "read_id").agg(F.min("mismatches").alias("m"))
     kind = F.when(F.col("m") == 0, "exact").when(F.col("m").isNotNull(), "inexact").otherwise("unmatched")
-    return seeded(queries, reads).join(best, ["query", "read_id"], "left").select("query", "read_id", "len", kind.alias("class"))
+    asked = seeded(queries, reads).select("query", "read_id", F.lit(None).cast("int").alias("m")).unionByName(best)
+    pairs = asked.groupBy("query", "read_id").agg(F.min("m").alias("m"))
+    return pairs.join(reads.select("read_id", F.length("seq").alias("len")), "read_id").select("query", "read_id", "len", kind.alias("class"))
 
 
 def without_adapters(queries: DataFrame, reads: DataFrame) -> DataFrame:

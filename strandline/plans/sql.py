@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.sources.reads import BASES, LETTERS
+from strandline.sources.reads import ADAPTER, BASES, LETTERS
 
 G = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -12,16 +12,19 @@ STEPS = {
     "g": f"SELECT doc_id, g FROM (SELECT doc_id, {G} AS g FROM documents) WHERE length(g) >= 45",
     "f": "SELECT doc_id * 1048576 + k AS frag_id, substr(g, k * 50 + 1, 100) AS seq FROM (SELECT doc_id, g, unnest(range(0, (length(g) - 45) // 50 + 1)) AS k FROM g)",
     "reads": f"SELECT frag_id * 2 AS read_id, frag_id, 0::BIGINT AS strand, seq FROM f UNION ALL SELECT frag_id * 2 + 1, frag_id, 1, {RC.format('seq')} FROM f",
+    "noisy": f"""SELECT read_id, frag_id, strand, CASE kind WHEN 1 THEN one WHEN 2 THEN substr(one, 1, p + 6) || translate(substr(one, p + 7, 1), 'ACGT', 'CGTA') || substr(one, p + 8)
+        WHEN 3 THEN left(seq, length(seq) - {len(ADAPTER)}) || '{ADAPTER}' ELSE seq END AS seq FROM (SELECT *, substr(seq, 1, p - 1) || translate(substr(seq, p, 1), 'ACGT', 'CGTA') || substr(seq, p + 1) AS one
+        FROM (SELECT *, 10 + frag_id % 30 AS p, (frag_id + strand) % 4 AS kind FROM reads))""",
     "sfx": "SELECT read_id, pos, substr(seq, pos + 1) || '$' AS suffix, CASE WHEN pos = 0 THEN '$' ELSE substr(seq, pos, 1) END AS sym, reverse(seq) AS ord FROM (SELECT read_id, seq, unnest(range(0, length(seq) + 1)) AS pos FROM reads)",
     "bwt": "SELECT row_number() OVER (ORDER BY suffix, ord, read_id) - 1 AS rk, read_id, pos, sym FROM sfx",
     "q": f"SELECT query, q FROM (SELECT item_id AS query, {G} AS q FROM benchmark)",
     "qs": "SELECT query, q, p, substr(q, p, 24) AS seed FROM (SELECT query, q, unnest(range(1, length(q) - 22)) AS p FROM q WHERE length(q) >= 24)",
     "hits": "SELECT query, read_id, p - 1 AS q_start, p - 1 + length(seq) AS q_end FROM qs JOIN reads ON seed = substr(seq, 1, 24) WHERE substr(q, p, length(seq)) = seq",
     "near": """SELECT DISTINCT query, read_id, st - 1 AS q_start, st - 1 + length(seq) AS q_end, hamming(substr(q, st, length(seq)), seq) AS mismatches FROM (
-        SELECT query, q, read_id, seq, p - i * size AS st FROM (SELECT query, q, size, p, substr(q, p, size) AS seed FROM (SELECT query, q, size, unnest(range(1, length(q) - size + 2)) AS p FROM q, (SELECT DISTINCT length(seq) // 3 AS size FROM reads) WHERE length(q) >= size))
-        JOIN (SELECT read_id, seq, length(seq) // 3 AS size, i, substr(seq, i * (length(seq) // 3) + 1, length(seq) // 3) AS seed FROM reads, (SELECT unnest([0, 1, 2]) AS i)) USING (size, seed))
+        SELECT query, q, read_id, seq, p - i * size AS st FROM (SELECT query, q, size, p, substr(q, p, size) AS seed FROM (SELECT query, q, size, unnest(range(1, length(q) - size + 2)) AS p FROM q, (SELECT DISTINCT length(seq) // 3 AS size FROM noisy) WHERE length(q) >= size))
+        JOIN (SELECT read_id, seq, length(seq) // 3 AS size, i, substr(seq, i * (length(seq) // 3) + 1, length(seq) // 3) AS seed FROM noisy, (SELECT unnest([0, 1, 2]) AS i)) USING (size, seed))
         WHERE st >= 1 AND st - 1 + length(seq) <= length(q) AND hamming(substr(q, st, length(seq)), seq) <= 2""",
-    "cand": "SELECT DISTINCT query, read_id, length(seq) AS len FROM qs JOIN reads ON seed = substr(seq, 1, 24)",
+    "cand": "SELECT query, read_id, length(seq) AS len FROM (SELECT query, read_id FROM qs JOIN noisy ON seed = substr(seq, 1, 24) UNION SELECT query, read_id FROM near) JOIN noisy USING (read_id)",
     "cls": "SELECT query, read_id, len, CASE WHEN m = 0 THEN 'exact' WHEN m IS NOT NULL THEN 'inexact' ELSE 'unmatched' END AS class FROM cand LEFT JOIN (SELECT query, read_id, min(mismatches) AS m FROM near GROUP BY ALL) USING (query, read_id)",
     "c": "SELECT seq, min(frag_id) AS id, count(*) AS copies FROM f GROUP BY seq",
     "pairs": "SELECT l.id AS l, l.seq AS ls, l.p, r.id AS r, r.seq AS rs, r.copies FROM (SELECT id, seq, p, substr(seq, p, 45) AS seed FROM (SELECT id, seq, unnest(range(1, length(seq) - 43)) AS p FROM c)) l JOIN (SELECT id, seq, copies, substr(seq, 1, 45) AS seed FROM c) r USING (seed) WHERE l.id <> r.id",
@@ -32,7 +35,7 @@ STEPS = {
     "perbase": "SELECT query, unnest(range(pos, nx)) AS pos, depth FROM (SELECT query, pos, depth, lead(pos) OVER (PARTITION BY query ORDER BY pos) AS nx FROM depth) WHERE nx IS NOT NULL",
 }
 NEEDS = {
-    "f": "g", "reads": "f", "sfx": "reads", "bwt": "sfx", "qs": "q", "hits": "qs reads", "near": "q reads", "cand": "qs reads", "cls": "cand near", "c": "f", "pairs": "c", "ol": "pairs", "br": "pairs", "depth": "hits", "perbase": "depth",
+    "f": "g", "reads": "f", "sfx": "reads", "bwt": "sfx", "qs": "q", "hits": "qs reads", "noisy": "reads", "near": "q noisy", "cand": "qs noisy near", "cls": "cand near", "c": "f", "pairs": "c", "ol": "pairs", "br": "pairs", "depth": "hits", "perbase": "depth",
 }
 
 

@@ -1,15 +1,16 @@
 """Reads from files, and reads that stand in for them in the test tables.
 
 Files are read as lines with Spark's text source: a record is two lines (FASTA) or four (FASTQ) or one (plain), told apart
-by the first character. Line numbers come from each file's own order, file by file, so that files are cleaned side by side.
+by the first character. Files are split as any text; a line's number is its place in its split after the lines of the splits
+before it in the file, so that one large file is read by many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.seq import is_sequence, longest_known, mask_low_quality, revcomp
@@ -34,34 +35,42 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     checked = rows.withColumn("paths", F.when(bad, F.raise_error(F.concat(F.lit("bad line in list of libraries: "), F.col("kind")))).otherwise(F.col("paths")))
     if checked.filter("kind = 'paired'").count() > MOST_PAIRED:
         raise ValueError(f"more than {MOST_PAIRED} paired libraries")
-    from pyspark.sql import Window
-
     return checked.select((F.row_number().over(Window.orderBy(F.col("kind") != "paired", "n")) - 1).alias("lib_id"), "kind", "paths")
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, n (record number in its file), seq, quality (null unless FASTQ) of plain, FASTA and FASTQ files.
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, n (line number in its file from 0), line. Only one row per split is counted and summed up, file by file."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("path").orderBy("block")) - F.col("held")
+    placed = splits.select("path", "block", (before - F.col("first")).alias("shift"))
+    return rows.join(placed, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("n"), "line")
 
-    A file is streamed by one task, record by record, since a record's place depends on all lines before it; many files are
-    read side by side. A file that is cut short ends with its last whole record.
-    """
-    whole = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lines = content.as_py().decode("ascii", "replace").splitlines()
-                first = lines[0][:1] if lines else ""
-                step, at = {">": (2, 1), "@": (4, 1)}.get(first, (1, 0))
-                if first and step == 1 and first.upper() not in "ACGTN":
-                    raise ValueError(f"{path}: neither bases, FASTA nor FASTQ")
-                seq = [s for s in lines[at::step]]
-                quality = (lines[3::4] + [None] * len(seq))[: len(seq)] if step == 4 else [None] * len(seq)
-                for k in range(0, len(seq), 10_000):
-                    part = seq[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part), pa.array(quality[k : k + 10_000], pa.string())], names=["path", "n", "seq", "quality"])
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, n (record number in its file), header, seq, quality (null unless FASTQ) of plain, FASTA and FASTQ files.
 
-    return whole.mapInArrow(records, "path string, n long, seq string, quality string")
+    A file's first character tells its kind; one that is neither a base nor a mark is an error. A file that is cut short keeps
+    the record whose sequence is there. An empty file has no records.
+    """
+    lines = numbered_lines(spark, paths)
+    first = lines.filter("n = 0").select("path", F.upper(F.substring("line", 1, 1)).alias("mark"))
+    known = F.when(F.col("mark").isin(*"ACGTN>@", ""), F.col("mark")).otherwise(F.raise_error(F.concat("path", F.lit(": neither bases, FASTA nor FASTQ"))))
+    kinds = first.select("path", F.when(known == ">", 2).when(known == "@", 4).otherwise(1).alias("step"))
+    each = lines.join(kinds, "path").withColumn("rec", F.expr("n div step")).withColumn("at", (F.col("n") % F.col("step")).cast("int"))
+    pick = lambda at: F.max(F.when(at, F.col("line")))
+    records = each.groupBy("path", F.col("rec").alias("n")).agg(
+        pick((F.col("at") == 0) & (F.col("step") > 1)).alias("header"), pick(F.col("at") == F.when(F.col("step") == 1, 0).otherwise(1)).alias("seq"), pick((F.col("step") == 4) & (F.col("at") == 3)).alias("quality")
+    )
+    return records.filter("seq is not null").select("path", "n", F.expr("substring(header, 2)").alias("header"), "seq", "quality")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a local one on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='strandline-')}/reads-{uuid.uuid4().hex}"
 
 
 def cleaned(seq: Column, quality: Column | None = None, least_quality: int = 0) -> Column:
@@ -90,11 +99,23 @@ def bases(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS, BASES)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if they lie in fewer partitions than there are; a table of many splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    held = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(2 * cores) if held < cores else rows
+
+
 def fragments(docs: DataFrame, sequence: Column | None = None) -> DataFrame:
-    """frag_id, seq: windows of 100 at every 50th base of each document, those of 45 or more."""
-    g = docs.select("doc_id", (bases(F.col("text")) if sequence is None else sequence).alias("g")).filter(F.length("g") >= LEAST)
-    k = g.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.length("g") - LEAST) / 50).cast("int"))).alias("k"))
-    return k.select((F.col("doc_id") * (1 << LOCAL) + F.col("k")).alias("frag_id"), F.substring("g", F.col("k") * 50 + 1, F.lit(100)).alias("seq"))
+    """frag_id, seq: windows of 100 at every 50th base of each document, those of 45 or more.
+
+    A text is cut into pieces of 50 once and neighbours are joined, so that its cost is linear in its length.
+    """
+    g = spread(docs).select("doc_id", (bases(F.col("text")) if sequence is None else sequence).alias("g"))
+    pieces = g.select("doc_id", F.regexp_extract_all("g", F.lit(".{1,50}"), F.lit(0)).alias("p")).filter(F.size("p") > 0)
+    windows = F.transform("p", lambda x, k: F.when(k + 1 < F.size("p"), F.concat(x, F.element_at("p", F.least(k + 2, F.size("p"))))).otherwise(x))
+    each = pieces.select("doc_id", F.posexplode(windows).alias("k", "seq")).filter(F.length("seq") >= LEAST)
+    return each.select((F.col("doc_id") * (1 << LOCAL) + F.col("k")).alias("frag_id"), "seq")
 
 
 def oriented(frags: DataFrame) -> DataFrame:
@@ -103,6 +124,23 @@ def oriented(frags: DataFrame) -> DataFrame:
     return frags.select("frag_id", both.alias("x")).select((F.col("frag_id") * 2 + F.col("x.strand")).alias("read_id"), "frag_id", "x.strand", "x.seq")
 
 
+#: The rule by which stand-in reads get errors: next base in this order, and what follows an insert.
+ORDER, ADAPTER = ("ACGT", "CGTA"), "CTGTCTCTTATA"
+
+
+def noisy(rows: DataFrame) -> DataFrame:
+    """Oriented reads with errors by a fixed rule: of each four one as it is, one with one base changed, one with two, one that ends in an adapter."""
+    p = (10 + F.col("frag_id") % 30).cast("int")
+
+    def changed(seq: Column, at: Column) -> Column:
+        return F.concat(F.substring(seq, F.lit(1), at - 1), F.translate(F.substring(seq, at, F.lit(1)), *ORDER), F.substring(seq, at + 1, F.length(seq)))
+
+    once = changed(F.col("seq"), p)
+    kind = (F.col("frag_id") + F.col("strand")) % 4
+    seq = F.when(kind == 1, once).when(kind == 2, changed(once, p + 7)).when(kind == 3, F.concat(F.left("seq", F.length("seq") - len(ADAPTER)), F.lit(ADAPTER))).otherwise(F.col("seq"))
+    return rows.select("read_id", "frag_id", "strand", seq.alias("seq"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in reads of ``documents``."""
     return oriented(fragments(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -70,6 +70,16 @@ def test_files(spark, tmp_path):
     rows = R.read_files(spark, [str(tmp_path / "b.fq")]).select("n", R.cleaned(F.col("seq"), F.col("quality"), 40).alias("seq"))
     assert [r.seq for r in rows.orderBy("n").collect()] == [read[:79], None]
     assert R.read_length(R.read_files(spark, [str(tmp_path / "a.fa")])) == 80
+    long = "".join(f"@r{i}\n{'ACGT' * (i % 30 + 1)}\n+\n{'I' * 4 * (i % 30 + 1)}\n" for i in range(3000))
+    (tmp_path / "long.fq").write_text(long)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:  # one file over many splits
+        rows = R.read_files(spark, [str(tmp_path / "long.fq")]).collect()
+        assert len(long) > 10 * 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.n, r.header, r.seq, r.quality) for r in rows} == {(i, f"r{i}", "ACGT" * (i % 30 + 1), "I" * 4 * (i % 30 + 1)) for i in range(3000)}
     with pytest.raises(ValueError):
         R.read_length(R.read_files(spark, [str(tmp_path / "a.fa")]).filter("n = 1"))
     (tmp_path / "bad.txt").write_text("?\n")
@@ -86,6 +96,8 @@ def test_pairs_and_libraries(spark):
     left = spark.createDataFrame([(0, "A"), (1, None), (2, "C")], "n long, seq string")
     right = spark.createDataFrame([(0, "G"), (1, "T"), (2, None)], "n long, seq string")
     assert sorted(map(tuple, R.pair_up(left, right).collect())) == [(0, "A", "G"), (1, "T", None), (2, "C", None)]
+    with pytest.raises(ValueError, match="more than 255"):
+        libraries.library_of(spark.range(1), spark.range(300).selectExpr("id as lib_id", "id as end_count"))
     libs = libraries.libraries(spark.createDataFrame([(0, 1000, 4), (1, 100, 2)], "lib_id int, size long, n long"))
     assert [tuple(r) for r in libs.orderBy("lib_id").collect()] == [(0, 1000, 4, 100, 1400), (1, 100, 6, 1, 320)]
     ids = spark.range(7).select("id")
