@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.seq import END
+from strandline.sources.reads import written
 
 #: Symbols of a bucket's prefix, and ranks between two checkpoints.
 PREFIX, STEP = 7, 1024
@@ -73,7 +74,7 @@ def runs(transform: DataFrame, step: int = STEP) -> DataFrame:
     marked = transform.select("rk", "sym", F.expr(f"rk div {step}").alias("block")).withColumn("new", F.coalesce(F.col("sym") != F.lag("sym").over(inside), F.lit(True)).cast("int"))
     part = marked.withColumn("island", F.sum("new").over(inside)).groupBy("block", "island").agg(F.first("sym").alias("sym"), F.min("rk").alias("start_rk"), F.count(F.lit(1)).alias("n"))
     size = F.count(F.lit(1)).over(Window.partitionBy("block"))
-    part = part.withColumn("parts", size)
+    part = written(part.withColumn("parts", size))
     edge = part.filter("island = 1 or island = parts")
     whole = part.filter("island > 1 and island < parts").select("sym", "start_rk", F.col("n").alias("run_len"))
     # the first part of a block goes on with the last part of the block before; numbers of runs are sums in two levels

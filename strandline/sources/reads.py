@@ -73,6 +73,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named or tempfile.mkdtemp(prefix='strandline-')}/reads-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, for what is read more than once and dear to make again."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def cleaned(seq: Column, quality: Column | None = None, least_quality: int = 0) -> Column:
     """Masked, cut to the longest known stretch; null if that is too short or the read holds other letters."""
     masked = seq if quality is None else F.when(quality.isNull(), seq).otherwise(mask_low_quality(seq, quality, least_quality))
