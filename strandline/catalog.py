@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as S
-from strandline.operators import align, coverage, index, libraries, matching, overlap
+from strandline.operators import align, coverage, graph, index, libraries, matching, overlap
 from strandline.plans.sql import G, steps
 from strandline.sources import reads as R
 
@@ -373,13 +373,17 @@ def top_loci(spark, d):
     return coverage.longest_first(coverage.median_depth(coverage.depth(_hits(spark, d))), 10)
 
 
+def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Reads placed with mismatches, beside the stretch of the query that they stand on."""
+    targets, rows = _targets(spark, d), _noisy(spark, d)
+    near = matching.within(targets, rows).filter("mismatches > 0").join(targets, "query").join(rows.select("read_id", "seq"), "read_id")
+    return near.select(F.col("query").alias("a_id"), F.expr("substring(q, q_start + 1, q_end - q_start)").alias("a"), F.col("read_id").alias("b_id"), F.col("seq").alias("b"))
+
+
 @query("mem_align")
 def mem_align(spark, d):
     """Reads placed with mismatches, aligned with the stretch of the query that they stand on."""
-    targets, rows = _targets(spark, d), _noisy(spark, d)
-    near = matching.within(targets, rows).filter("mismatches > 0").join(targets, "query").join(rows.select("read_id", "seq"), "read_id")
-    pairs = near.select(F.col("query").alias("a_id"), F.expr("substring(q, q_start + 1, q_end - q_start)").alias("a"), F.col("read_id").alias("b_id"), F.col("seq").alias("b"))
-    return align.aligned(pairs)
+    return align.aligned(_near_pairs(spark, d))
 
 
 def _overhangs(spark: SparkSession, d: str) -> DataFrame:
@@ -432,3 +436,117 @@ def graph_paths(spark, d):
 def coverage_loci(spark, d):
     """Queries whose two paths pass the gates on length and similarity, with their coverage."""
     return align.diploid(align.paths(_placed(spark, d)), coverage.median_depth(coverage.depth(_hits(spark, d))))
+
+
+# Checks and gates ---------------------------------------------------------------------------------------------------
+
+
+@query("valid_sequence", "f", "SELECT frag_id, regexp_full_match(CASE frag_id % 3 WHEN 0 THEN seq || 'x' WHEN 1 THEN seq || 'N' ELSE seq END, '[ACGTN]*') AS valid FROM f")
+def valid_sequence(spark, d):
+    """Fragments, some with an N or another letter at the end."""
+    tail = F.when(F.col("frag_id") % 3 == 0, "x").when(F.col("frag_id") % 3 == 1, "N").otherwise("")
+    return _frags(spark, d).select("frag_id", S.is_sequence(F.concat("seq", tail)).alias("valid"))
+
+
+_CONGRUENT_SQL = """CASE WHEN least(length(l), length(r)) < 45 THEN 0
+    WHEN length(l) < length(r) THEN CASE WHEN strpos(r, right(l, 45)) > 0 AND substr(r, strpos(r, right(l, 45)) - least(length(l) - 45, strpos(r, right(l, 45)) - 1), 45 + least(length(l) - 45, strpos(r, right(l, 45)) - 1)) = right(l, 45 + least(length(l) - 45, strpos(r, right(l, 45)) - 1)) THEN 45 + least(length(l) - 45, strpos(r, right(l, 45)) - 1) ELSE 0 END
+    WHEN strpos(l, left(r, 45)) > 0 AND substr(l, strpos(l, left(r, 45)), least(length(l) - strpos(l, left(r, 45)) + 1, length(r))) = left(r, least(length(l) - strpos(l, left(r, 45)) + 1, length(r))) THEN least(length(l) - strpos(l, left(r, 45)) + 1, length(r)) ELSE 0 END"""
+
+
+@query("congruent_overlap", "f", f"SELECT frag_id, strand, CAST({_CONGRUENT_SQL} AS BIGINT) AS agree FROM (SELECT a.frag_id AS frag_id, 0::BIGINT AS strand, a.seq AS l, b.seq AS r FROM f a JOIN f b ON b.frag_id = a.frag_id + 1 UNION ALL SELECT a.frag_id, 1, reverse(translate(b.seq, 'ACGT', 'TGCA')), reverse(translate(a.seq, 'ACGT', 'TGCA')) FROM f a JOIN f b ON b.frag_id = a.frag_id + 1)")
+def congruent_overlap(spark, d):
+    """Each fragment and the next of its document, on both strands."""
+    rows = _frags(spark, d)
+    pairs = rows.join(rows.select((F.col("frag_id") - 1).alias("frag_id"), F.col("seq").alias("after")), "frag_id")
+    sides = F.array(F.struct(F.lit(0).alias("strand"), F.col("seq").alias("l"), F.col("after").alias("r")), F.struct(F.lit(1).alias("strand"), S.revcomp(F.col("after")).alias("l"), S.revcomp(F.col("seq")).alias("r")))
+    return pairs.select("frag_id", F.explode(sides).alias("x")).select("frag_id", "x.strand", S.congruence(F.col("x.l"), F.col("x.r"), 45).alias("agree"))
+
+
+@query("end_offsets", "reads", "SELECT tail, cnt, CAST(sum(cnt) OVER (ORDER BY tail) - cnt AS BIGINT) AS start FROM (SELECT right(seq, 2) AS tail, count(*) AS cnt FROM reads GROUP BY ALL)")
+def end_offsets(spark, d):
+    return index.end_offsets(R.reads(spark, d))
+
+
+@query("kmer_onward", "reads", f"SELECT kmer, a.cnt AS cnt, edge, coalesce(onward, 0) AS onward, a.cnt = edge + coalesce(onward, 0) AS holds FROM ({_kmer_sql(8)}) a LEFT JOIN (SELECT left(kmer, 8) AS kmer, CAST(sum(cnt) AS BIGINT) AS onward FROM ({_kmer_sql(9)}) GROUP BY ALL) USING (kmer)")
+def kmer_onward(spark, d):
+    return index.onward(R.reads(spark, d), 8)
+
+
+@query("ids_beyond", "near", "SELECT DISTINCT query, read_id FROM near WHERE q_end < 120")
+def ids_beyond(spark, d):
+    return matching.ids_beyond(matching.within(_targets(spark, d), _noisy(spark, d)), 120, end=True, after=False)
+
+
+@query("hits_astray", "q noisy near", "SELECT query, count(*) AS n, count(*) FILTER (strpos(q, seq) = 0) AS n_outside FROM (SELECT DISTINCT query, read_id FROM near) JOIN noisy USING (read_id) JOIN q USING (query) GROUP BY query")
+def hits_astray(spark, d):
+    """Placements with mismatches allowed, so that some reads do not stand in their query as they are."""
+    targets, rows = _targets(spark, d), _noisy(spark, d)
+    return matching.astray(targets, rows, matching.within(targets, rows))
+
+
+@query("inexact_render", "q noisy near", "SELECT query, 0 AS line_no, q AS line FROM q UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY q_start, read_id) AS line_no, repeat('-', q_start) || seq || repeat('-', length(q) - q_end) AS line FROM near JOIN noisy USING (read_id) JOIN q USING (query)")
+def inexact_render(spark, d):
+    targets, rows = _targets(spark, d), _noisy(spark, d)
+    return matching.rendered(targets, rows, matching.within(targets, rows))
+
+
+@query("match_conflicts", "q noisy near", """SELECT a_id, b_id, count(*) AS n_mems, count(*) FILTER (i < li OR j < lj) AS n_conflicts FROM (SELECT *, lag(i + len) OVER w AS li, lag(j + len) OVER w AS lj FROM (
+        SELECT a_id, b_id, a, min(i) AS i, min(j) AS j, count(*) AS len FROM (SELECT *, row_number() OVER (PARTITION BY a_id, b_id, a, i - j ORDER BY i) AS n FROM (SELECT *, unnest(range(1, length(b) + 1)) AS j FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM
+        (SELECT DISTINCT query AS a_id, substr(q, q_start + 1, q_end - q_start) AS a, read_id AS b_id, seq AS b FROM near JOIN q USING (query) JOIN noisy USING (read_id) WHERE mismatches > 0)))
+        WHERE substr(a, i, 1) = substr(b, j, 1)) GROUP BY a_id, b_id, a, i - j, i - n HAVING count(*) >= 4) WINDOW w AS (PARTITION BY a_id, b_id, a ORDER BY i, j)) GROUP BY a_id, b_id""")
+def match_conflicts(spark, d):
+    """Matches of four bases or more, short enough to stand out of order."""
+    return align.conflicts(align.matches(_near_pairs(spark, d), 4))
+
+
+@query("branch_tries", "pairs", """SELECT key, path, CAST(sum(n) AS BIGINT) AS n_reads FROM (SELECT key, left(ext, k) AS path, substr(ext, k + 1, 1) AS nx, count(*) AS n FROM (SELECT key, ext, unnest(range(1, length(ext) + 1)) AS k FROM (
+        SELECT l || ':' || (p + m - 2) AS key, substr(rs, CAST(m AS BIGINT)) AS ext FROM (SELECT *, list_min(list_filter(range(1, least(length(ls) - p + 1, length(rs)) + 1), lambda i: substr(ls, p + i - 1, 1) <> substr(rs, i, 1))) AS m FROM pairs) WHERE m IS NOT NULL)) GROUP BY ALL) GROUP BY ALL HAVING bool_or(nx = '') OR count(*) > 1""")
+def branch_tries(spark, d):
+    """What reads go on with where they part from another, merged for each such place."""
+    return align.tries(overlap.branches_ahead(_classes(spark, d)))
+
+
+@query("shallow_loci", "hits", "SELECT query, count(DISTINCT read_id) AS n_reads FROM hits GROUP BY query HAVING count(DISTINCT read_id) < 2000")
+def shallow_loci(spark, d):
+    return coverage.shallow(_hits(spark, d))
+
+
+@query("allele_coverage", "q near", """SELECT locus, round(sum(m), 6) AS coverage, max(m) <= 1.5::DOUBLE * min(m) AS kept FROM (SELECT locus, allele, median(level) AS m FROM (
+        SELECT *, round(sum(step) OVER (PARTITION BY locus, allele ORDER BY pos), 6) AS level FROM (SELECT locus, allele, pos, sum(step) AS step, bool_or(asked) AS asked FROM (
+        SELECT query // 2 AS locus, query % 2 AS allele, unnest([q_start, q_end]) AS pos, unnest([share, -share]) AS step, false AS asked FROM (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY query // 2, read_id) AS share FROM near)
+        UNION ALL SELECT query // 2, query % 2, unnest(range(44, length(q) - 44)), 0.0, true FROM q WHERE length(q) >= 89) GROUP BY ALL)) WHERE asked GROUP BY ALL) GROUP BY locus HAVING count(*) = 2""")
+def allele_coverage(spark, d):
+    """Neighbouring queries taken as the two alleles of a locus."""
+    split = [F.floor(F.col("query") / 2).alias("locus"), (F.col("query") % 2).alias("allele")]
+    targets = _targets(spark, d)
+    near = matching.within(targets, _noisy(spark, d))
+    placed = near.select(*split, "read_id", F.col("q_start").alias("start"), F.col("q_end").alias("end"))
+    return coverage.alleles(placed, targets.select(*split, F.length("q").alias("n")), 45)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _classes(spark, d)
+    return rows, overlap.overlaps(rows)
+
+
+@query("graph_degrees", "c ol", "SELECT id, copies, n_in, n_out, n_in + n_out > 0 OR copies > 2 AS kept FROM (SELECT id, copies, coalesce(i, 0) AS n_in, coalesce(o, 0) AS n_out FROM c LEFT JOIN (SELECT right_id AS id, count(*) AS i FROM ol GROUP BY ALL) USING (id) LEFT JOIN (SELECT left_id AS id, count(*) AS o FROM ol GROUP BY ALL) USING (id))")
+def graph_degrees(spark, d):
+    return graph.degrees(*_graph(spark, d))
+
+
+@query("graph_unbranched", "ol", "SELECT left_id, right_id, ol FROM (SELECT *, count(*) OVER (PARTITION BY left_id) AS o, count(*) OVER (PARTITION BY right_id) AS i FROM ol) WHERE o = 1 AND i = 1")
+def graph_unbranched(spark, d):
+    return graph.unbranched(_graph(spark, d)[1])
+
+
+@query("graph_support", "c ol", """SELECT id, cover, coalesce(sl, 0) AS strong_left, coalesce(sr, 0) AS strong_right, cover >= 3 AS substantial, least(coalesce(sl, 0), coalesce(sr, 0)) < 60 AS weak FROM (
+        SELECT id, CAST(max(level) AS BIGINT) AS cover FROM (SELECT id, sum(sum(step)) OVER (PARTITION BY id ORDER BY pos) AS level FROM (SELECT id, unnest([0, length(seq)]) AS pos, unnest([copies, -copies]) AS step FROM c
+        UNION ALL SELECT left_id, unnest([length(seq) - ol, length(seq)]), unnest([ol.copies, -ol.copies]) FROM ol JOIN c ON id = left_id UNION ALL SELECT right_id, unnest([0, ol]), unnest([c.copies, -c.copies]) FROM ol JOIN c ON id = left_id) GROUP BY id, pos) GROUP BY id)
+        LEFT JOIN (SELECT right_id AS id, max(ol) AS sl FROM ol GROUP BY ALL) USING (id) LEFT JOIN (SELECT left_id AS id, max(ol) AS sr FROM ol GROUP BY ALL) USING (id)""")
+def graph_support(spark, d):
+    return graph.support(*_graph(spark, d))
+
+
+@query("graph_violations", "c ol", "SELECT count(*) AS edges, count(*) FILTER (left_id = right_id) AS loops, count(*) FILTER (ol >= length(a.seq) OR ol >= length(b.seq)) AS improper, count(*) FILTER (right(a.seq, CAST(ol AS BIGINT)) <> left(b.seq, CAST(ol AS BIGINT))) AS unequal FROM ol JOIN c a ON a.id = left_id JOIN c b ON b.id = right_id")
+def graph_violations(spark, d):
+    return graph.violations(*_graph(spark, d))

@@ -85,6 +85,22 @@ def congruent(left: Column, right: Column, offset: int) -> Column:
     return (size > 0) & (F.substring(left, F.lit(offset + 1), size) == F.left(right, size))
 
 
+def congruence(left: Column, right: Column, least: int) -> Column:
+    """Bases over which the end of ``left`` and the start of ``right`` agree, 0 if they do not.
+
+    The shorter read's ``least`` outer bases are sought in the other, at their first place only; from there both must agree as far as
+    both go.
+    """
+    at = F.instr(left, F.left(right, F.lit(least)))
+    size = F.least(F.length(left) - at + 1, F.length(right))
+    on = F.when((at > 0) & (F.substring(left, at, size) == F.left(right, size)), size)
+    back = F.instr(right, F.right(left, F.lit(least)))
+    more = F.least(F.length(left) - least, back - 1)
+    off = F.when((back > 0) & (F.substring(right, back - more, more + least) == F.right(left, more + least)), more + least)
+    held = F.when(F.length(left) < F.length(right), off).otherwise(on)
+    return F.when(F.least(F.length(left), F.length(right)) >= least, F.coalesce(held, F.lit(0))).otherwise(0)
+
+
 #: The first bases of an adapter after a read's insert, and what stands before the insert, read backwards.
 AFTER, BEFORE = "CTG", "GAC"
 

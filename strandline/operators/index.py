@@ -107,6 +107,20 @@ def kmers(reads: DataFrame, k: int) -> DataFrame:
     return places.select(F.expr(f"substring(seq, p, {k})").alias("kmer"), (F.col("p") == F.length("seq") - k + 1).cast("int").alias("e")).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.sum("e").alias("edge"))
 
 
+def onward(reads: DataFrame, k: int) -> DataFrame:
+    """kmer, cnt, edge, onward, holds: whether a word's places are those that go on by one base and those that end a read."""
+    longer = kmers(reads, k + 1).groupBy(F.expr(f"left(kmer, {k})").alias("kmer")).agg(F.sum("cnt").alias("onward"))
+    each = kmers(reads, k).join(longer, "kmer", "left").withColumn("onward", F.coalesce("onward", F.lit(0).cast("long")))
+    return each.withColumn("holds", F.expr("cnt = edge + onward"))
+
+
+def end_offsets(reads: DataFrame) -> DataFrame:
+    """tail, cnt, start: reads by their last two bases, and the place of each tail's first read in that order."""
+    counts = reads.groupBy(F.right("seq", F.lit(2)).alias("tail")).agg(F.count(F.lit(1)).alias("cnt"))
+    # one row for each pair of letters
+    return counts.withColumn("start", F.sum("cnt").over(Window.orderBy("tail")) - F.col("cnt"))
+
+
 def heads(reads: DataFrame, k: int) -> DataFrame:
     """pattern, sym, edge, start: the first ``k`` symbols of every suffix and the symbol before it, without building the suffixes."""
     ended = reads.select(F.concat("seq", F.lit(END)).alias("s"), F.length("seq").alias("n"))

@@ -103,3 +103,15 @@ def rendered(queries: DataFrame, reads: DataFrame, hits: DataFrame) -> DataFrame
     number = F.row_number().over(Window.partitionBy("query").orderBy("q_start", "read_id"))
     rows = placed.select("query", number.alias("line_no"), line.alias("line"))
     return queries.select("query", F.lit(0).alias("line_no"), F.col("q").alias("line")).unionByName(rows)
+
+
+def ids_beyond(hits: DataFrame, coord: int, end: bool = False, after: bool = True) -> DataFrame:
+    """query, read_id of reads whose start (``end``: end) lies after (else before) a place of the query."""
+    at = F.col("q_end" if end else "q_start")
+    return hits.filter(at > coord if after else at < coord).select("query", "read_id").distinct()
+
+
+def astray(queries: DataFrame, reads: DataFrame, hits: DataFrame) -> DataFrame:
+    """query, n, n_outside: placed reads, and those that do not stand in the query base by base."""
+    placed = hits.select("query", "read_id").distinct().join(reads.select("read_id", "seq"), "read_id").join(queries, "query")
+    return placed.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.contains("q", "seq")).alias("n_outside"))

@@ -55,14 +55,24 @@ def ends_inside(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return found.groupBy(F.col("r").alias("id"), F.col("l").alias("target")).agg(F.max("k").alias("k"))
 
 
-def divergence(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """id, coord, base, cnt: where other reads agree with a read for ``least`` bases or more and then go on with another base."""
+def _diverging(rows: DataFrame, least: int) -> DataFrame:
+    """Seeded pairs that part at base m of the right read."""
     pairs = _seeded(rows, least).withColumn("rest", F.expr("substring(ls, p)"))
     most = F.least(F.length("rest"), F.length("rs"))
     places = F.sequence(F.lit(1), most)
     first = F.array_min(F.filter(places, lambda i: F.substring("rest", i, F.lit(1)) != F.substring("rs", i, F.lit(1))))
-    split = pairs.withColumn("m", first).filter("m is not null")
-    return split.groupBy(F.col("l").alias("id"), (F.col("p") + F.col("m") - 2).alias("coord"), F.expr("substring(rs, m, 1)").alias("base")).agg(F.sum("copies").alias("cnt"))
+    return pairs.withColumn("m", first).filter("m is not null").withColumn("coord", F.col("p") + F.col("m") - 2)
+
+
+def divergence(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """id, coord, base, cnt: where other reads agree with a read for ``least`` bases or more and then go on with another base."""
+    split = _diverging(rows, least)
+    return split.groupBy(F.col("l").alias("id"), "coord", F.expr("substring(rs, m, 1)").alias("base")).agg(F.sum("copies").alias("cnt"))
+
+
+def branches_ahead(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, ext: for each place (``id:coord``) where other reads part from a read, what they go on with."""
+    return _diverging(rows, least).select(F.concat_ws(":", "l", "coord").alias("key"), F.expr("substring(rs, m)").alias("ext"))
 
 
 def best_branch(branches: DataFrame) -> DataFrame:
