@@ -178,14 +178,18 @@ def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float,
 
 
 def links(docs: DataFrame, classes: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Pairs of classes of the similarity: all but those whose classes others of them connect."""
+    """Pairs a, b of classes that connect what the similarity connects: each class with its component of the first round, and the remaining pairs.
+
+    A component found in the first round goes on as a star, so that naming the components of all pairs takes it as one step.
+    """
     members = scratch_table(shared(classes), "members")
     settle(docs.sparkSession)
     met = scratch_table(covered(classes, least), "covered")
     settle(docs.sparkSession)
     first = checked(docs, classes, starred(members, least).unionByName(met).distinct(), least, shingle)
     joined = scratch_table(components(first), "joined")
-    return first.unionByName(checked(docs, classes, remaining(members, classes.select("class", "bits"), joined, least), least, shingle))
+    stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(checked(docs, classes, remaining(members, classes.select("class", "bits"), joined, least), least, shingle))
 
 
 def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
