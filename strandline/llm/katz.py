@@ -36,7 +36,7 @@ CHUNK, BUCKET, SPREAD = 2_000_000, 2_000_000, 1_000_000
 #: Most histories that are spread; their sums go to every chunk.
 MOST_SPREAD = 1 << 16
 
-CHUNKS = "chunk long, doc_ids array<long>, train binary, lengths binary, words binary, tokens binary, n_tokens long"
+CHUNKS = "chunk long, doc_ids binary, no_ids binary, train binary, lengths binary, words binary, tokens binary, n_tokens long"
 ANSWERS = "chunk long, kind int, bucket int, counts binary, sums binary, stats array<long>"
 
 
@@ -58,7 +58,7 @@ def chunks_of(docs: DataFrame, size: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in places), np.uint64, len(places))
             words = np.concatenate([words, np.array([END], np.uint64)])
-            row = [part << 24 | number, ids, np.array([not held_out(i) for i in ids], np.uint8).tobytes(), _small(np.concatenate(lengths)), words.tobytes(), _small(np.concatenate(tokens) + 1), total]
+            row = [part << 24 | number, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array([not held_out(i) for i in ids], np.uint8).tobytes(), _small(np.concatenate(lengths)), words.tobytes(), _small(np.concatenate(tokens) + 1), total]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
         for doc_ids, texts in rows_of(batches):
@@ -86,7 +86,7 @@ def chunks_of(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield close()
 
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64()]
     names = [f.split()[0] for f in CHUNKS.split(", ")]
     return text_or_empty(docs).mapInArrow(build, CHUNKS)
 
@@ -95,7 +95,8 @@ class Chunk:
     """A chunk's row, opened: its words, and its pairs in the order in which they are asked for."""
 
     def __init__(self, row):
-        self.ids = list(row.doc_ids)
+        # bytes and a mask, as pandas would turn ids beside nulls into doubles
+        self.ids = pd.arrays.IntegerArray(np.frombuffer(row.doc_ids, np.int64).copy(), np.frombuffer(row.no_ids, np.uint8).astype(bool))
         self.train = np.frombuffer(row.train, np.uint8).astype(bool)
         self.lengths = _read(row.lengths)
         self.words = np.frombuffer(row.words, np.uint64)
@@ -327,7 +328,7 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK, bucket_tokens: int = BUCKE
             log_p = np.log10(np.where(r > 0, high, alpha[c.history] * p_word[c.word]))
         base = np.log10((counts + 0.1) / (unigrams.total + 0.1 * (unigrams.kinds + 1)))
         return pd.DataFrame({
-            "doc_id": pd.array(c.ids, "Int64"), "held_out": ~c.train, "n_tokens": c.lengths,
+            "doc_id": c.ids, "held_out": ~c.train, "n_tokens": c.lengths,
             "n_known": np.add.reduceat((counts > 0)[c.tokens].astype(np.int64), c.first), "train_tokens": unigrams.total,
             "base_score": np.add.reduceat(base[c.tokens], c.first), "score": np.add.reduceat(log_p[c.inverse], c.first),
         })

@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -116,23 +115,20 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, op
         if left:
             yield pa.RecordBatch.from_pylist(list(_rows(left, first, True, True)), schema)
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        windows = Windows(size, len(group) + 1, least_cut)
+    def merge(group: pa.Table) -> pa.Table:  # Arrow, as pandas would turn ids beside nulls into doubles
+        rows = group.to_pylist()
+        windows = Windows(size, len(rows) + 1, least_cut)
         closed = []
-        order = group.assign(neg=-group.length).sort_values(["neg", "doc_id", "start"], kind="stable")
-        for r in order.itertuples(index=False):
-            doc = None if pd.isna(r.doc_id) else int(r.doc_id)
-            closed += windows.place((doc, int(r.start), np.frombuffer(r.ids, "<u4"), int(r.doc_tokens)))
+        for r in sorted(rows, key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"])):
+            closed += windows.place((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]))
         closed += windows.flush()
-        first = (1 << 62) | (int(group.dealt.iloc[0]) << LOCAL_BITS)
-        out = pd.DataFrame(list(_rows(closed, first, with_ids)), columns=schema.names)
-        return out.astype({"doc_id": "Int64"})
+        return pa.Table.from_pylist(list(_rows(closed, (1 << 62) | (rows[0]["dealt"] << LOCAL_BITS), with_ids)), schema)
 
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.bool_() if t == "boolean" else pa.int64()) for n, t in (f.split() for f in SCHEMA.split(", "))])
     placed = scratch_table(text_or_empty(docs).mapInArrow(place, SCHEMA), "packed")
     left = placed.filter("open")
     groups = max(1, left.filter("offset = 0").count() // merge_windows)
-    merged = left.withColumn("dealt", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).groupBy("dealt").applyInPandas(merge, SCHEMA)
+    merged = left.withColumn("dealt", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).groupBy("dealt").applyInArrow(merge, SCHEMA)
     out = placed.filter("not open").unionByName(merged).drop("open")
     return out if with_ids else out.drop("ids")
 
