@@ -1,7 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a run of 16 or more key characters that has a digit or begins like a known key, or whatever is assigned to an asking word (``password=``,
-``token: "``) and has six characters or more. Every occurrence is judged by itself: by its length, character classes and their
+``token: "``, ``the secret is``) or stands after a URL's user: of any length, up to the closing quote if it is quoted and to the next blank if not, the
+stops before that blank not counted. Every occurrence is judged by itself: by its length, character classes and their
 transitions, how much of it common letter pairs and dictionary words cover, whether it is a path, and the words before it.
 The forest is trained from labelled findings: a table of (token, before, label), by default one made from templates of real
 secret formats and of look-alikes.
@@ -20,11 +21,17 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import scratch_table, table
 
-#: An asking word with its sign of assignment and quote, what may be assigned to it, and runs that stand alone.
-SIGNED = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private)[_-]?key|credentials?)[\"']?\s{0,2}[=:]{1,2}\s{0,2}[\"']?"
-ASSIGNED = r"[^\s\"'<>,;]{6,}+"
+#: An asking word with its sign of assignment or "is", what may be assigned to it, a URL's user, and runs that stand alone.
+#: Signs and quotes are possessive, so that a hit's cue can be found again from the hit alone.
+ASKING = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private)[_-]?key|credentials?)[\"']?+(?:\s{0,4}+[=:]{1,2}+>?+\s{0,4}+|\s{1,4}+is:?+\s{1,4}+)"
+QUOTED = r"(?:\"(?!\")[^\r\n]+?(?<!\\)(?=\")|'(?!')[^\r\n]+?(?<!\\)(?='))"
+BARE = r"[\"']?+(?![\s\"'])\S++"
+USER = r"://[^\s/:@?#]*+:"
 ALONE = r"(?<![A-Za-z0-9+/_.\-])(?=(?:AKIA|ASIA|gh[po]_|github_pat_|xox[abp]-|sk[-_]|AIza|glpat-|ya29\.|eyJ)|[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}+"
-CANDIDATE = f"(?:{SIGNED}{ASSIGNED})|(?:{ALONE})"
+CANDIDATE = f"(?:{ASKING}(?:{QUOTED}|{BARE}))|(?:{USER}[^\\s/]+(?=@))|(?:{ALONE})"
+CUE = f"^(?:{ASKING}[\"']?|{USER})"
+#: What may follow a bare value without being part of it.
+STOPS = ",;.:!?)]}>\"'"
 #: Characters before a candidate that its neighbouring words are taken from.
 BEFORE = 40
 #: Cues in neighbouring words, frequent English letter pairs, and words that identifiers are made of.
@@ -34,8 +41,10 @@ PAIRS = r"(?i)(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|
 WORDS = r"(?i)(example|sample|test|user|name|file|image|photo|index|page|chapter|section|version|release|report|data|table|figure|introduction|appendix|static|assets|content|upload|download|article|number|document|public|local|home|http|www|mail|com|org|net|html|json|jpg|png|pdf|txt)"
 #: What is assigned to an asking word without being a secret.
 EMPTY = r"(?i)^([*.x_\-]+|required|optional|enabled|disabled|changed|expired|missing|invalid|incorrect|unknown|hidden|removed|redacted|string|number|boolean|default|please|please.*|\$\{?[A-Z_a-z.]+\}?|\{\{.*\}\}|%\w+%|your[_-].*|process\.env.*|os\.environ.*|getenv.*)$"
+#: Fixed value: words of ordinary sentences.
+PROSE = r"(?i)(?<!\w)(the|an?|your|you|my|his|her|its|our|is|are|was|be|been|must|can|cannot|may|will|should|at|least|to|of|and|or|in|on|for|with|from|by|not|no|yes|none|null|nil|true|false|this|that|what|which|who|when|how|please|enter|forgot|forgotten|type|choose|new|old|wrong|again|very|only|still|never|also|known|kept|safe|sent|used|set|long|short|one|it|as|if|so|too|all|any|only|empty|correct|required|same|hidden|stored)(?!\w)"
 PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk[-_](live|test)?|AIza|glpat-|ya29\.|eyJ)"
-FEATURES = ("n", "digits", "uppers", "lowers", "others", "hex", "transitions", "pairs", "words", "distinct", "path", "dashes", "dots", "prefix", "assigned", "asks", "denies", "blank")
+FEATURES = ("n", "digits", "uppers", "lowers", "others", "hex", "transitions", "pairs", "words", "distinct", "path", "dashes", "dots", "prefix", "assigned", "asks", "denies", "blank", "spaces", "prose", "user")
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -61,9 +70,12 @@ def features(findings: DataFrame) -> DataFrame:
         "dots": _share(t, r"\."),
         "prefix": t.rlike(PREFIX).cast("double"),
         "assigned": b.rlike("[=:]\\s*[\"']?$").cast("double"),
-        "asks": F.regexp_extract(b, r"([\w\-.]+)[\s=:\"'(]*$", 1).rlike(ASKS).cast("double"),
+        "asks": F.regexp_extract(b, r"([\w\-.]+)(?:\s+is)?[\s=:>\"'(]*$", 1).rlike(ASKS).cast("double"),
         "denies": F.regexp_extract(b, r"([\w\-.:]+)[\s=:\"'(]*$", 1).rlike(DENIES).cast("double"),
         "blank": t.rlike(EMPTY).cast("double"),
+        "spaces": F.regexp_count(t, F.lit("\\s+")).cast("double"),
+        "prose": F.regexp_count(t, F.lit(PROSE)) / (F.regexp_count(t, F.lit("\\s+")) + 1),
+        "user": b.rlike(r"://[^\s/:@]*:$").cast("double"),
     })
 
 
@@ -88,7 +100,17 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     word = one_of("chapter", "section", "annual", "introduction", "photo", "release", "meeting", "northern")
     other = one_of("report", "appendix", "summary", "minutes", "results", "overview", "station")
     sign, animal, animal2 = one_of("!", "&", "#", "$", "%", "@"), one_of("hunter", "dragon", "monkey", "tiger", "falcon"), one_of("winter", "purple", "hunter", "shadow", "silver", "garden")
+    told = one_of("the password is ", "my token is ", "secret key is: ", "passphrase is ", "new password is ", "password: ", "secret: ", "pwd=")
+    quoted = one_of("password=\"", "passphrase: '", "secret = \"", "pwd: \"", "password is \"")
+    user = one_of("see https://user:", "postgres://admin:", "ftp://root:", "amqp://svc:", "mongodb://app:")
+    noun = [one_of("correct", "yellow", "seven", "river", "quiet", "copper"), one_of("horse", "lantern", "window", "pepper", "saddle"), one_of("battery", "orbit", "thunder", "basket", "marble"), one_of("staple", "ladder", "cactus", "violin", "anchor")]
+    common = one_of("that", "not", "the", "a", "very", "long", "only", "one", "in", "to", "what", "wrong", "kept", "safe", "still", "never", "also", "written", "known", "simple", "about", "gone", "older", "sent", "shared")
+    sentence = one_of("please enter your password", "must be at least eight characters", "forgot your password", "enter a new password", "is not correct", "the password that you chose", "cannot be empty", "your password was sent to you", "type it again", "choose one that is long")
     secret = [
+        (F.concat(letters(4, "v"), one_of(",", ";", "<", ">", "&", "@"), letters(9, "v2"), F.substring(digits, 1, 2)), asked), (F.concat(letters(5, "v3"), one_of(",", ";", "@", "'"), letters(6, "v4")), told),
+        (F.concat(F.substring(digits, 1, 1), letters(3, "v5"), one_of(",", ";", "#"), letters(4, "v6")), quoted), (F.concat_ws(" ", *noun), quoted), (F.concat_ws(" ", *noun[1:]), quoted), (F.concat_ws("-", *noun), told), (F.concat_ws("-", *noun[1:], F.substring(digits, 1, 1)), told),
+        (F.concat(animal, F.substring(digits, 1, 1)), told), (F.concat(animal, F.initcap(animal2)), told), (F.concat(animal, F.substring(digits, 1, 1), F.initcap(animal2)), told), (letters(5, "v7"), asked), (F.concat(F.substring(digits, 1, 4)), asked), (letters(12, "v8"), told),
+        (letters(10, "w"), user), (F.concat(animal, F.substring(digits, 1, 2)), user), (hexes(18, "w2"), user), (F.concat(F.lit("s3cret"), F.initcap(animal), F.substring(digits, 1, 1)), user), (F.concat(animal, one_of("@", "!", ","), animal2), user),
         (F.concat(F.lit("AKIA"), letters(16, "a", True)), plain),
         (F.concat(F.lit("AKIA"), letters(16, "b", True)), one_of("access key ", "aws_access_key_id = ")),
         (F.concat(F.lit("ghp_"), letters(36, "c")), plain),
@@ -99,6 +121,10 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(animal, animal2, animal), asked), (F.translate(letters(20, "u3"), "0123456789", "ghijklmnop"), asked), (letters(10, "u4"), asked),
     ]
     clean = [
+        (common, told), (common, one_of("secret: ", "token: ", "pass: ", "the token is ", "whose secret is ")), (common, told), (sentence, quoted), (F.concat(sentence, F.lit(" "), common), quoted),
+        (F.concat_ws("/", F.lit("assets/img"), hexes(40, "l5"), F.concat(other, F.lit("_1.jpg"))), one_of("see ", "src=\"", "and ")), (one_of("True", "False", "None", "NULL", "Yes", "No", "nothing", "hidden"), asked),
+        (one_of("true", "false", "null", "none", "None", "yes", "no", "nil", "N/A", "empty", "undefined", "str", "..."), asked), (word, told), (other, one_of("secret: ", "token: ", "the pass is ")), (F.concat(F.initcap(word)), told),
+        (one_of("8080", "443", "3000", "5432"), user), (one_of("password", "pass", "${PASS}", "<password>", "{password}", "xxxx", "****"), user),
         (hexes(40, "l"), noted), (hexes(64, "m"), noted), (hexes(32, "n"), noted), (hexes(32, "n2"), plain), (hexes(40, "l2"), plain), (F.upper(hexes(40, "l3")), plain), (F.upper(hexes(64, "l4")), noted),
         (F.concat_ws("-", hexes(8, "o"), hexes(4, "p"), hexes(4, "q"), hexes(4, "r"), hexes(12, "s")), one_of("uuid: ", "id ", "guid=", "the ")),
         (digits, one_of("card ", "order ", "the ", "number ", "")),
@@ -112,11 +138,18 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (one_of("missing", "process.env.TOKEN", "disabled", "......", "default", "please", "%TOKEN%", "your-token-here"), asked),
         (F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3), F.substring(digits, 10, 4)), plain),
     ]
-    rows = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(y).alias("label")) for y, group in ((1.0, secret), (0.0, clean)) for t, b in group])
-    return spark.range(0, each, 1, 4).select(F.explode(rows).alias("x")).select("x.*")
-
-
-def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
+    parts = []
+    for y, group in ((1.0, secret), (0.0, clean)):
+        for k in range(0, len(group), 8):  # some at a time, or the generated code would be too long
+            rows = F.array(*[F.struct(t.alias("token"), b.alias("before"), F.lit(y).alias("label")) for t, b in group[k : k + 8]])
+            parts.append(spark.range(0, each, 1, 1).select(F.explode(rows).alias("x")).select("x.*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def train(findings: DataFrame, trees: int = 60, depth: int = 10, seed: int = 17) -> RandomForestClassificationModel:
     """The forest; ``findings`` are labelled rows (token, before, label), trained where they lie."""
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings)).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
@@ -130,12 +163,15 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def _cue(hit: Column) -> Column:
-    """The asking word of a hit with its sign and quote; empty for a run that stands alone."""
-    return F.regexp_extract(hit, f"^{SIGNED}(?={ASSIGNED}$)", 0)
+    """The asking word of a hit with its sign and quote, or a URL's user; empty for a run that stands alone."""
+    return F.regexp_extract(hit, CUE, 0)
 
 
 def _token(hit: Column) -> Column:
-    return F.substring(hit, F.length(_cue(hit)) + 1, F.length(hit))
+    """The value of a hit; stops after one that is neither quoted nor alone are left out, unless it is nothing else."""
+    rest = F.substring(hit, F.length(_cue(hit)) + 1, F.length(hit))
+    bare = F.rtrim(rest, F.lit(STOPS))
+    return F.when((bare == "") | ~_cue(hit).rlike("[=:>s]\\s*$") | hit.startswith("://"), rest).otherwise(bare)
 
 
 def _occurrences(cut: DataFrame, *keys: str) -> DataFrame:
@@ -188,7 +224,7 @@ def redact(spark, docs: DataFrame, mask: str = "<SECRET>", model: RandomForestCl
     secrets = scratch_table(secrets, "secrets")
     # a text's own candidates are a row's worth, and so are its secrets
     joined = _cut(marked).join(secrets, "digest", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    put = lambda hit: F.when(F.array_contains("tokens", _token(hit)), F.concat(_cue(hit), F.lit(mask))).otherwise(hit)
+    put = lambda hit: F.when(F.array_contains("tokens", _token(hit)), F.concat(_cue(hit), F.lit(mask), F.substring(hit, F.length(_cue(hit)) + F.length(_token(hit)) + 1, F.length(hit)))).otherwise(hit)
     clean = F.when(F.size("tokens") == 0, F.col("text")).otherwise(F.array_join(F.zip_with("pieces", F.transform("hits", put), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), ""))
     done = joined.select("row", clean.alias("clean"))
     out = done.select(*[F.col("clean").alias(c) if c == "text" else F.length("clean").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in columns])
