@@ -212,9 +212,21 @@ def interval_union(spark, d):
     return matching.union_of_intervals(_hits(spark, d))
 
 
-@query("match_classify", "cls", "SELECT query, read_id, len, class FROM cls")
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that share reads: windows of 150 bases at every 60th of each target, and of 50 at every 70th."""
+
+    def cut(step: int, size: int, least: int, first: int) -> DataFrame:
+        k = F.explode(F.expr(f"sequence(0, greatest(length(q) - {least}, 0) div {step})"))
+        each = _targets(spark, d).select("query", "q", k.alias("k"))
+        return each.select((F.col("query") * 4096 + first + F.col("k")).alias("query"), F.expr(f"substring(q, k * {step} + 1, {size})").alias("q"))
+
+    return cut(60, 150, 90, 0).unionByName(cut(70, 50, 50, 2048))
+
+
+@query("match_classify", "cls", "SELECT query, read_id, class, how, q_start, q_end, r_start, r_end, len FROM cls")
 def match_classify(spark, d):
-    return matching.classified(_targets(spark, d), _noisy(spark, d))
+    """How reads with errors and adapters lie on windows of the targets: inside, around, over an end, cut, inexact."""
+    return matching.classified(_windows(spark, d), R.written(_noisy(spark, d)))
 
 
 def _cut_sql(side: int) -> str:
@@ -229,9 +241,21 @@ def adapter_cut(spark, d):
     return matching.without_adapters(_targets(spark, d), _noisy(spark, d))
 
 
-@query("match_compete", "cls", "SELECT query, read_id, len, class FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, len, class FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' AND best IS NULL OR class = 'inexact' AND len = best")
+@query("match_compete", "cls", "SELECT query, read_id, class, len FROM cls WHERE class = 'exact' UNION ALL SELECT query, read_id, class, len FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls WHERE class <> 'exact' AND read_id NOT IN (SELECT read_id FROM cls WHERE class = 'exact')) WHERE class = 'unmatched' AND best IS NULL OR class = 'inexact' AND len = best")
 def match_compete(spark, d):
-    return matching.compete(matching.classified(_targets(spark, d), _noisy(spark, d)))
+    classes = R.written(matching.classified(_windows(spark, d), R.written(_noisy(spark, d))))
+    return matching.compete(classes).select("query", "read_id", "class", "len")
+
+
+@query("match_dropped", "cls", """SELECT class, why, count(*) AS n FROM (SELECT class, CASE WHEN read_id IN (SELECT read_id FROM cls WHERE class = 'exact') THEN 'exact elsewhere' WHEN class = 'unmatched' THEN 'inexact elsewhere' ELSE 'longer elsewhere' END AS why
+    FROM (SELECT *, max(CASE WHEN class = 'inexact' THEN len END) OVER (PARTITION BY read_id) AS best FROM cls) WHERE class <> 'exact' AND (read_id IN (SELECT read_id FROM cls WHERE class = 'exact') OR class = 'unmatched' AND best IS NOT NULL OR class = 'inexact' AND len < best)) GROUP BY ALL""")
+def match_dropped(spark, d):
+    """What competition drops, by class and by what stands elsewhere."""
+    classes = R.written(matching.classified(_windows(spark, d), R.written(_noisy(spark, d))))
+    gone = classes.join(matching.compete(classes), ["query", "read_id"], "left_anti")
+    exact = classes.filter("class = 'exact'").select("read_id").distinct().withColumn("elsewhere", F.lit(True))
+    why = F.when(F.col("elsewhere"), "exact elsewhere").when(F.col("class") == "unmatched", "inexact elsewhere").otherwise("longer elsewhere")
+    return gone.join(exact, "read_id", "left").groupBy("class", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fasta_render", "hits", "SELECT query, 0 AS line_no, q AS line FROM q UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY q_start, read_id) AS line_no, repeat('-', q_start) || seq || repeat('-', length(q) - q_end) AS line FROM hits JOIN reads USING (read_id) JOIN q USING (query)")

@@ -5,6 +5,8 @@ Candidates come from equi-joins on seeds, and are then verified; no pair is form
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,106 @@ def union_of_intervals(hits: DataFrame) -> DataFrame:
     return islands.groupBy("query", "island").agg(F.min("q_start").alias("s"), F.max("q_end").alias("e")).drop("island")
 
 
-def seeded(queries: DataFrame, reads: DataFrame) -> DataFrame:
-    """query, read_id that share the read's first seed, the candidates to classify."""
-    seeds = queries.filter(F.length("q") >= SEED).select("query", F.explode(F.sequence(F.lit(1), F.length("q") - SEED + 1)).alias("p"), "q")
-    seeds = seeds.select("query", F.expr(f"substring(q, p, {SEED})").alias("seed")).distinct()
-    return seeds.join(reads.select("read_id", F.length("seq").alias("len"), F.substring("seq", 1, SEED).alias("seed")), "seed").select("query", "read_id", "len").distinct()
+#: Fixed value: bases of the shortest exact stretch that counts as aligned.
+ALIGNED = 10
+
+
+def seeded(queries: DataFrame, reads: DataFrame, mismatches: int = 2) -> DataFrame:
+    """query, read_id of the pairs to classify; only ids and seeds are shuffled.
+
+    A read's first or last ``SEED`` bases stand in the query (reads inside it or over one of its ends), or it is placed with few
+    mismatches, or the beginning of a query no longer than the longest read stands in the read (reads around the query).
+    """
+    places = queries.filter(F.length("q") >= SEED).select("query", "q", F.explode(F.sequence(F.lit(1), F.length("q") - SEED + 1)).alias("p"))
+    seeds = places.select("query", F.expr(f"substring(q, p, {SEED})").alias("seed")).distinct()
+    ends = reads.select("read_id", F.explode(F.array_distinct(F.array(F.left("seq", F.lit(SEED)), F.right("seq", F.lit(SEED))))).alias("seed"))
+    found = seeds.join(ends, "seed").select("query", "read_id").unionByName(within(queries, reads, mismatches).select("query", "read_id"))
+    longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
+    short = queries.filter(F.length("q").between(1, longest)).select("query", F.left("q", F.lit(SEED)).alias("seed"), F.least(F.length("q"), F.lit(SEED)).alias("size"))
+    sizes = [r[0] for r in short.select("size").distinct().collect()]  # at most SEED
+    if sizes:
+        each = reads.select("read_id", "seq", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size")).filter("length(seq) >= size")
+        words = each.select("read_id", "seq", "size", F.explode(F.expr("sequence(1, length(seq) - size + 1)")).alias("p")).select("read_id", F.expr("substring(seq, p, size)").alias("seed"))
+        found = found.unionByName(words.join(short, "seed").select("query", "read_id"))
+    return found.distinct()
+
+
+def longest_matches(pairs: DataFrame, least: int = ALIGNED) -> DataFrame:
+    """query, read_id, q, seq, qs, qe, rs, re of pairs (query, q, read_id, seq): their longest exact stretch of ``least`` bases or more.
+
+    Of several the first in the query, then in the read; null where there is none. Words of ``least`` bases are numbers, equal ones are found by search in
+    the query's sorted words, and neighbours on a diagonal are one stretch: numpy over a pair's places.
+    """
+
+    def words(seq: str) -> np.ndarray:
+        codes = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8).astype(np.int64)
+        if len(codes) < least:
+            return np.zeros(0, np.int64)
+        known = np.full(256, 4)
+        known[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+        return np.lib.stride_tricks.sliding_window_view(known[codes], least) @ (5 ** np.arange(least))
+
+    def best(q: np.ndarray, order: np.ndarray, r: np.ndarray) -> tuple | None:
+        low, high = np.searchsorted(q, r, "left", order), np.searchsorted(q, r, "right", order)
+        n = high - low
+        if not n.sum():
+            return None
+        j = np.repeat(np.arange(len(r)), n)
+        i = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        by = np.lexsort((i, i - j))
+        i, j = i[by], j[by]
+        first = np.flatnonzero(np.r_[True, (np.diff(i - j) != 0) | (np.diff(i) != 1)])
+        size = np.diff(np.r_[first, len(i)])
+        at = min(range(len(first)), key=lambda k: (-size[k], i[first[k]], j[first[k]]))
+        qs, rs, length = int(i[first[at]]), int(j[first[at]]), int(size[at]) + least - 1
+        return qs, qs + length, rs, rs + length
+
+    def each(batches):
+        for batch in batches:
+            held: dict = {}
+            rows = []
+            for query, q, seq in zip(batch["query"], batch["q"], batch["seq"]):
+                if query not in held:
+                    held = {query: (w := words(q), np.argsort(w, kind="stable"))}  # pairs of a query mostly follow each other
+                rows.append(best(*held[query], words(seq)) or (None,) * 4)
+            found = pd.DataFrame(rows, columns=["qs", "qe", "rs", "re"], index=batch.index).astype("Int32")
+            yield pd.concat([batch, found], axis=1)
+
+    return pairs.select("query", "q", "read_id", "seq").mapInPandas(each, "query long, q string, read_id long, seq string, qs int, qe int, rs int, re int")
 
 
 def classified(queries: DataFrame, reads: DataFrame, mismatches: int = 2) -> DataFrame:
-    """query, read_id, len, class: exact, inexact (few mismatches) or unmatched, of all that share a seed or are placed with few mismatches."""
-    best = within(queries, reads, mismatches).groupBy("query", "read_id").agg(F.min("mismatches").alias("m"))
-    kind = F.when(F.col("m") == 0, "exact").when(F.col("m").isNotNull(), "inexact").otherwise("unmatched")
-    asked = seeded(queries, reads).select("query", "read_id", F.lit(None).cast("int").alias("m")).unionByName(best)
-    pairs = asked.groupBy("query", "read_id").agg(F.min("m").alias("m"))
-    return pairs.join(reads.select("read_id", F.length("seq").alias("len")), "read_id").select("query", "read_id", "len", kind.alias("class"))
+    """query, read_id, class, how, q_start, q_end, r_start, r_end, len of all candidate pairs: how each read lies on a query.
+
+    ``exact`` is a read inside the query or around it, or one whose longest exact stretch begins with the read or the query and goes on
+    with the adapter (``after``; ``left`` if the read ends there), or ends with one of them after the adapter (``before``; ``right`` if the read begins
+    there). q_start and q_end are the stretch of the query, r_start and r_end what is left of the read. Other pairs with a stretch of ``ALIGNED`` bases are
+    ``inexact``, the rest is ``unmatched``. ``len`` is the aligned length (0: none). A read around a query starts before it, below zero.
+    """
+    pairs = seeded(queries, reads, mismatches).join(queries.select("query", "q"), "query").join(reads.select("read_id", "seq"), "read_id")
+    rows = longest_matches(pairs)
+    q, r = F.length("q"), F.length("seq")
+    at, around = F.instr("q", F.col("seq")) - 1, F.instr("seq", F.col("q")) - 1
+    gone = F.col("qs").isNull()
+    tail, head = F.expr("substring(seq, re + 1, 3)"), F.reverse(F.expr("left(seq, rs)"))
+    cut_after = ((F.col("rs") == 0) | (F.col("qs") == 0)) & (F.col("qe") < q) & F.startswith(F.lit(AFTER), tail)
+    cut_before = ((F.col("re") == r) | (F.col("qe") == q)) & (F.col("qs") > 0) & F.startswith(F.lit(BEFORE), F.left(head, F.lit(len(BEFORE))))
+
+    def row(kind: str, how, q_start, q_end, r_start, r_end, size):
+        values = {"class": F.lit(kind), "how": how if isinstance(how, Column) else F.lit(how), "q_start": q_start, "q_end": q_end, "r_start": r_start, "r_end": r_end, "len": size}
+        return F.struct(*[(v if k in ("class", "how") else v.cast("int")).alias(k) for k, v in values.items()])
+
+    none, zero, aligned = F.lit(None), F.lit(0), F.col("qe") - F.col("qs")
+    place = [F.col(c) for c in ("qs", "qe", "rs", "re")]
+    kind = (
+        F.when(at >= 0, row("exact", "inside", at, at + r, zero, r, r))
+        .when(around >= 0, row("exact", "around", -around, r - around, zero, r, q))
+        .when(gone, row("unmatched", "", none, none, none, none, zero))
+        .when(cut_after, row("exact", F.when(F.col("re") == r, "left").otherwise("after"), F.col("qs"), F.col("qe"), zero, F.col("re"), aligned))
+        .when(cut_before, row("exact", F.when(F.col("rs") == 0, "right").otherwise("before"), F.col("qs"), F.col("qe"), F.col("rs"), r, aligned))
+        .otherwise(row("inexact", "", *place, aligned))
+    )
+    return rows.select("query", "read_id", kind.alias("x")).select("query", "read_id", "x.*")
 
 
 def without_adapters(queries: DataFrame, reads: DataFrame) -> DataFrame:
@@ -88,11 +176,12 @@ def without_adapters(queries: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def compete(classes: DataFrame) -> DataFrame:
-    """Classified reads, without those that are exact elsewhere or unmatched here and inexact elsewhere; of inexact ones the longest per read."""
+    """Classified pairs, without those of reads that are exact elsewhere, or unmatched here and inexact elsewhere; of a read's inexact ones those of the longest aligned stretch."""
     elsewhere = classes.filter("class = 'exact'").select("read_id").distinct()
     rest = classes.filter("class <> 'exact'").join(elsewhere, "read_id", "left_anti")
-    longest = F.max(F.when(F.col("class") == "inexact", F.col("len"))).over(Window.partitionBy("read_id"))
-    kept = rest.withColumn("best", longest).filter("class = 'unmatched' and best is null or class = 'inexact' and len = best").drop("best")
+    # sums by read rather than windows, so that a read on many queries is never gathered
+    best = rest.filter("class = 'inexact'").groupBy("read_id").agg(F.max("len").alias("best"))
+    kept = rest.join(best, "read_id", "left").filter("class = 'unmatched' and best is null or class = 'inexact' and len = best").drop("best")
     return classes.filter("class = 'exact'").unionByName(kept)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandline.functions.seq import AFTER, BEFORE
 from strandline.sources.reads import ADAPTER, BASES, LETTERS
 
 G = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}')"
@@ -24,8 +25,27 @@ STEPS = {
         SELECT query, q, read_id, seq, p - i * size AS st FROM (SELECT query, q, size, p, substr(q, p, size) AS seed FROM (SELECT query, q, size, unnest(range(1, length(q) - size + 2)) AS p FROM q, (SELECT DISTINCT length(seq) // 3 AS size FROM noisy) WHERE length(q) >= size))
         JOIN (SELECT read_id, seq, length(seq) // 3 AS size, i, substr(seq, i * (length(seq) // 3) + 1, length(seq) // 3) AS seed FROM noisy, (SELECT unnest([0, 1, 2]) AS i)) USING (size, seed))
         WHERE st >= 1 AND st - 1 + length(seq) <= length(q) AND hamming(substr(q, st, length(seq)), seq) <= 2""",
-    "cand": "SELECT query, read_id, length(seq) AS len FROM (SELECT query, read_id FROM qs JOIN noisy ON seed = substr(seq, 1, 24) UNION SELECT query, read_id FROM near) JOIN noisy USING (read_id)",
-    "cls": "SELECT query, read_id, len, CASE WHEN m = 0 THEN 'exact' WHEN m IS NOT NULL THEN 'inexact' ELSE 'unmatched' END AS class FROM cand LEFT JOIN (SELECT query, read_id, min(mismatches) AS m FROM near GROUP BY ALL) USING (query, read_id)",
+    "w": """SELECT query * 4096 + k AS query, substr(q, k * 60 + 1, 150) AS q FROM (SELECT query, q, unnest(range(0, greatest(length(q) - 90, 0) // 60 + 1)) AS k FROM q)
+        UNION ALL SELECT query * 4096 + 2048 + k, substr(q, k * 70 + 1, 50) FROM (SELECT query, q, unnest(range(0, greatest(length(q) - 50, 0) // 70 + 1)) AS k FROM q)""",
+    "wnear": """SELECT DISTINCT query, read_id FROM (
+        SELECT query, q, read_id, seq, p - i * size AS st FROM (SELECT query, q, size, p, substr(q, p, size) AS seed FROM (SELECT query, q, size, unnest(range(1, length(q) - size + 2)) AS p FROM w, (SELECT DISTINCT length(seq) // 3 AS size FROM noisy) WHERE length(q) >= size))
+        JOIN (SELECT read_id, seq, length(seq) // 3 AS size, i, substr(seq, i * (length(seq) // 3) + 1, length(seq) // 3) AS seed FROM noisy, (SELECT unnest([0, 1, 2]) AS i)) USING (size, seed))
+        WHERE st >= 1 AND st - 1 + length(seq) <= length(q) AND hamming(substr(q, st, length(seq)), seq) <= 2""",
+    "cand": """SELECT query, read_id, q, seq FROM (SELECT query, read_id FROM wnear UNION SELECT query, read_id FROM (SELECT query, substr(q, p, 24) AS seed FROM (SELECT query, q, unnest(range(1, length(q) - 22)) AS p FROM w WHERE length(q) >= 24))
+        JOIN (SELECT read_id, left(seq, 24) AS seed FROM noisy UNION SELECT read_id, right(seq, 24) FROM noisy) USING (seed)
+        UNION SELECT query, read_id FROM (SELECT query, left(q, 24) AS seed FROM w WHERE length(q) BETWEEN 24 AND 100) JOIN (SELECT read_id, substr(seq, p, 24) AS seed FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 22)) AS p FROM noisy)) USING (seed)
+        UNION SELECT query, read_id FROM w JOIN noisy ON contains(seq, q) WHERE length(q) BETWEEN 1 AND 23) JOIN w USING (query) JOIN noisy USING (read_id)""",
+    # every stretch of equal bases on every diagonal of a pair
+    "stretch": """SELECT query, read_id, min(i) - 1 AS qs, max(i) AS qe, min(j) - 1 AS rs, max(j) AS re FROM (SELECT *, i - row_number() OVER (PARTITION BY query, read_id, i - j ORDER BY i) AS island FROM (
+        SELECT *, unnest(range(1, length(seq) + 1)) AS j FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM cand)) WHERE substr(q, i, 1) = substr(seq, j, 1)) GROUP BY query, read_id, i - j, island HAVING count(*) >= 10""",
+    "longest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, read_id ORDER BY qe - qs DESC, qs, rs) AS place FROM stretch) WHERE place = 1",
+    "cls": f"""SELECT query, read_id, CASE WHEN inside OR round_ OR cut_after OR cut_before THEN 'exact' WHEN qs IS NULL THEN 'unmatched' ELSE 'inexact' END AS class,
+        CASE WHEN inside THEN 'inside' WHEN round_ THEN 'around' WHEN cut_after AND re = length(seq) THEN 'left' WHEN cut_after THEN 'after' WHEN cut_before AND rs = 0 THEN 'right' WHEN cut_before THEN 'before' ELSE '' END AS how,
+        CASE WHEN inside THEN strpos(q, seq) - 1 WHEN round_ THEN 1 - strpos(seq, q) ELSE qs END AS q_start, CASE WHEN inside THEN strpos(q, seq) - 1 + length(seq) WHEN round_ THEN length(seq) + 1 - strpos(seq, q) ELSE qe END AS q_end,
+        CASE WHEN inside OR round_ OR cut_after THEN 0 ELSE rs END AS r_start, CASE WHEN inside OR round_ OR NOT cut_after AND cut_before THEN length(seq) ELSE re END AS r_end,
+        CASE WHEN inside THEN length(seq) WHEN round_ THEN length(q) ELSE coalesce(qe - qs, 0) END AS len FROM (
+        SELECT *, contains(q, seq) AS inside, contains(seq, q) AS round_, coalesce((rs = 0 OR qs = 0) AND qe < length(q) AND starts_with('{AFTER}', substr(seq, CAST(re AS BIGINT) + 1, 3)), false) AS cut_after,
+        coalesce((re = length(seq) OR qe = length(q)) AND qs > 0 AND starts_with('{BEFORE}', reverse(substr(seq, greatest(CAST(rs AS BIGINT) - 2, 1), least(CAST(rs AS BIGINT), 3)))), false) AS cut_before FROM cand LEFT JOIN longest USING (query, read_id))""",
     "c": "SELECT seq, min(frag_id) AS id, count(*) AS copies FROM f GROUP BY seq",
     "pairs": "SELECT l.id AS l, l.seq AS ls, l.p, r.id AS r, r.seq AS rs, r.copies FROM (SELECT id, seq, p, substr(seq, p, 45) AS seed FROM (SELECT id, seq, unnest(range(1, length(seq) - 43)) AS p FROM c)) l JOIN (SELECT id, seq, copies, substr(seq, 1, 45) AS seed FROM c) r USING (seed) WHERE l.id <> r.id",
     "ol": "SELECT l AS left_id, r AS right_id, max(length(ls) - p + 1) AS ol, max(copies) AS copies FROM pairs WHERE p > 1 AND length(rs) > length(ls) - p + 1 AND substr(ls, p) = substr(rs, 1, length(ls) - p + 1) GROUP BY ALL",
@@ -35,7 +55,7 @@ STEPS = {
     "perbase": "SELECT query, unnest(range(pos, nx)) AS pos, depth FROM (SELECT query, pos, depth, lead(pos) OVER (PARTITION BY query ORDER BY pos) AS nx FROM depth) WHERE nx IS NOT NULL",
 }
 NEEDS = {
-    "f": "g", "reads": "f", "sfx": "reads", "bwt": "sfx", "qs": "q", "hits": "qs reads", "noisy": "reads", "near": "q noisy", "cand": "qs noisy near", "cls": "cand near", "c": "f", "pairs": "c", "ol": "pairs", "br": "pairs", "depth": "hits", "perbase": "depth",
+    "f": "g", "reads": "f", "sfx": "reads", "bwt": "sfx", "qs": "q", "hits": "qs reads", "noisy": "reads", "near": "q noisy", "w": "q", "wnear": "w noisy", "cand": "w noisy wnear", "stretch": "cand", "longest": "stretch", "cls": "cand longest", "c": "f", "pairs": "c", "ol": "pairs", "br": "pairs", "depth": "hits", "perbase": "depth",
 }
 
 
