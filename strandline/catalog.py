@@ -182,15 +182,23 @@ def interval_symbols(spark, d):
 
 @query("interval_reads", "q reads", "SELECT pattern, ids_rank, read_id FROM (SELECT read_id, seq, row_number() OVER (ORDER BY seq || '$', reverse(seq), read_id) - 1 AS ids_rank FROM reads) JOIN (SELECT DISTINCT left(q, 12) AS pattern FROM q WHERE length(q) >= 12) ON left(seq, 12) = pattern")
 def interval_reads(spark, d):
-    """Reads that begin as a query does, from their places in read order."""
+    """Reads that begin as a query does: a backward search through the stored index, then the ids at its places in read order."""
     patterns = _targets(spark, d).filter(F.length("q") >= 12).select(F.left("q", F.lit(12)).alias("pattern")).distinct()
-    return index.interval_reads(R.reads(spark, d), patterns)
+    return index.interval_reads(R.written(R.reads(spark, d)), patterns)
+
+
+@query("pattern_lookup", "q reads", """SELECT pattern, count(*) AS width, count(*) FILTER (p = 1) AS n_start, count(*) FILTER (p = length(seq) - 15) AS n_edge FROM (SELECT seq, p, substr(seq, p, 16) AS word FROM (SELECT seq, unnest(range(1, length(seq) - 14)) AS p FROM reads))
+    JOIN (SELECT DISTINCT pattern FROM (SELECT unnest([substr(q, k, 16), reverse(translate(substr(q, k, 16), 'ACGT', 'TGCA'))]) AS pattern FROM (SELECT q, unnest(range(1, length(q) - 14, 8)) AS k FROM q WHERE length(q) >= 16))) ON word = pattern GROUP BY pattern""")
+def pattern_lookup(spark, d):
+    """Words of 16 bases at every 8th place of each target, on both strands, looked up in the stored index."""
+    words = _targets(spark, d).filter("length(q) >= 16").select("q", F.explode(F.expr("sequence(1, length(q) - 15, 8)")).alias("k")).select(F.expr("substring(q, k, 16)").alias("w"))
+    return index.lookups(R.written(R.reads(spark, d)), words.select(F.explode(F.array("w", S.revcomp(F.col("w")))).alias("pattern")))
 
 
 @query("rank_lookup", "bwt", "SELECT rk, " + ", ".join(f"occ_{n}" for n in ("end", "a", "c", "g", "t")) + " FROM (SELECT rk, sym, " + ", ".join(f"CAST(coalesce(sum((sym = '{s}')::INT) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS occ_{n}" for s, n in zip("$ACGT", ("end", "a", "c", "g", "t"))) + " FROM bwt) WHERE sym = '$'")
 def rank_lookup(spark, d):
     """Symbols before the rank of every whole read."""
-    transform = index.bwt(R.reads(spark, d))
+    transform = R.written(index.bwt(R.reads(spark, d)))
     return index.rank_before(transform, index.checkpoints(transform), transform.filter("sym = '$'").select("rk"))
 
 
@@ -316,7 +324,7 @@ def branch_cull(spark, d):
 # Libraries ----------------------------------------------------------------------------------------------------------
 
 
-@query("mate_lookup", "reads", "SELECT read_id, mate FROM (SELECT read_id, xor(read_id, 3) AS mate FROM reads) SEMI JOIN (SELECT read_id AS mate FROM reads) USING (mate)")
+@query("mate_lookup", "reads", "SELECT read_id, read_id + CASE read_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE -3 END AS mate FROM (SELECT read_id, count(*) OVER (PARTITION BY frag_id // 2) AS n FROM reads) WHERE n = 4")
 def mate_lookup(spark, d):
     return libraries.mates(R.reads(spark, d))
 

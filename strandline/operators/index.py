@@ -145,12 +145,88 @@ def interval_symbols(reads: DataFrame, k: int) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("edge").alias("n_edge"))
 
 
+#: Steps of a backward search between two written tables, and ranks of a bucket of the range join.
+WRITE, BUCKET = 4, 4096
+
+
+def stored(reads: DataFrame, step: int = STEP) -> DataFrame:
+    """block, symbols, occ_end, occ_a, occ_c, occ_g, occ_t: the index as a written table, a row for each ``step`` ranks."""
+    transform = written(bwt(reads).select("rk", "sym"))
+    return written(blocks(transform, step).join(checkpoints(transform, step), "block"))
+
+
+def _ranks(asked: DataFrame, table: DataFrame, totals: dict[str, int], step: int) -> DataFrame:
+    """``asked`` (rk, sym and others) with ``occ``: how often ``sym`` stands before rank ``rk``, by a join on its block."""
+    held = asked.withColumn("block", F.expr(f"rk div {step}")).join(table, "block", "left")
+    before = F.expr(f"substring(symbols, 1, cast(rk % {step} as int))")
+    inside = F.length(before) - F.length(F.replace(before, F.col("sym"), F.lit("")))
+    names = dict(zip(SYMBOLS, ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")))
+    occ, most = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for s, n in names.items():
+        occ = F.when(F.col("sym") == s, F.col(n)).otherwise(occ)
+        most = F.when(F.col("sym") == s, F.lit(totals[s])).otherwise(most)
+    # the rank after the last one has no block if the table ends with a full one
+    return held.withColumn("occ", F.coalesce(occ + inside, most)).drop("block", "symbols", *names.values())
+
+
+def search(table: DataFrame, patterns: DataFrame, totals: dict[str, int], step: int = STEP) -> DataFrame:
+    """pattern, lo, hi, first, n_start of the distinct ``patterns`` (column pattern, bases and perhaps the end symbol after them) that occur.
+
+    ``lo`` to ``hi`` are the ranks of the suffixes that begin with the pattern; ``first`` and ``n_start`` the places, in read order, of the reads that do.
+    ``table`` is ``stored``, ``totals`` the number of each symbol. All patterns are extended together by one symbol before, from their last: the new ends of
+    their intervals are ranks of that symbol at the old ones, two rows a pattern joined with the blocks. What is empty goes at once. Patterns of other letters don't occur.
+    """
+    starts, total = {}, 0
+    for s in SYMBOLS:
+        starts[s], total = total, total + totals[s]
+    base = lambda c: F.expr("case " + " ".join(f"when {c} = '{s}' then {starts[s]}L" for s in SYMBOLS) + " end")
+    size = lambda c: F.expr("case " + " ".join(f"when {c} = '{s}' then {totals[s]}L" for s in SYMBOLS) + " end")
+    sound = patterns.select("pattern").distinct().filter(F.col("pattern").rlike(r"^[ACGT]+\$?$"))
+    rows = written(sound.withColumn("sym", F.right("pattern", F.lit(1))).withColumn("lo", base("sym")).withColumn("hi", base("sym") + size("sym")).filter("lo < hi").select("pattern", "lo", "hi"))
+    longest = rows.agg(F.max(F.length("pattern"))).first()[0] or 0
+
+    def both(rows: DataFrame, sym) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("rk")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("rk")))).alias("x")
+        found = _ranks(rows.select("pattern", "lo", "hi", sym.alias("sym"), ends).select("pattern", "lo", "hi", "sym", "x.end", "x.rk"), table, totals, step)
+        return found.groupBy("pattern", "lo", "hi", "sym").agg(F.max(F.when(F.col("end") == 0, F.col("occ"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("occ"))).alias("b"))
+
+    for k in range(1, longest):
+        going = rows.filter(F.length("pattern") > k)
+        ready = rows.filter(F.length("pattern") <= k)
+        moved = both(going, F.expr(f"substring(pattern, length(pattern) - {k}, 1)")).select("pattern", (base("sym") + F.col("a")).alias("lo"), (base("sym") + F.col("b")).alias("hi")).filter("lo < hi")
+        rows = ready.unionByName(moved)
+        if k % WRITE == 0:
+            rows = written(rows)
+    done = written(rows)
+    return both(done, F.lit(END)).select("pattern", "lo", "hi", F.col("a").alias("first"), (F.col("b") - F.col("a")).alias("n_start"))
+
+
+def counted(reads: DataFrame) -> dict[str, int]:
+    """The number of each symbol, on the driver: five rows."""
+    return dict.fromkeys(SYMBOLS, 0) | {r["sym"]: r["cnt"] for r in symbol_totals(reads).collect()}
+
+
+def ids_of(intervals_: DataFrame, order: DataFrame) -> DataFrame:
+    """pattern, ids_rank, read_id of intervals (pattern, first, n_start) in read order: a range join by buckets of ranks."""
+    spans = intervals_.filter("n_start > 0").select("pattern", "first", "n_start", F.explode(F.expr(f"sequence(first div {BUCKET}, (first + n_start - 1) div {BUCKET})")).alias("bucket"))
+    placed = order.withColumn("bucket", F.expr(f"ids_rank div {BUCKET}"))
+    return placed.join(spans, "bucket").filter("ids_rank >= first and ids_rank < first + n_start").select("pattern", "ids_rank", "read_id")
+
+
 def interval_reads(reads: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, ids_rank, read_id: the reads that begin with each of ``patterns`` (of one length or several), by their place in read order."""
-    placed = sorted_reads(reads).join(reads.select("read_id", "seq"), "read_id")
-    sizes = [r[0] for r in patterns.select(F.length("pattern")).distinct().collect()]  # at most the length of a read
-    heads_ = placed.select("read_id", "ids_rank", F.explode(F.array(*[F.left("seq", F.lit(n)) for n in sizes])).alias("pattern"))
-    return heads_.join(patterns.select("pattern"), "pattern").select("pattern", "ids_rank", "read_id")
+    """pattern, ids_rank, read_id: the reads that begin with each of ``patterns``, by the intervals that a backward search gives."""
+    found = search(stored(reads), patterns, counted(reads))
+    return ids_of(found, sorted_reads(reads))
+
+
+def lookups(reads: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, width, n_start, n_edge of patterns that occur: their places, the reads that begin and those that end with them."""
+    asked = patterns.select("pattern").distinct()
+    ends = asked.select(F.concat("pattern", F.lit(END)).alias("pattern"))
+    found = written(search(stored(reads), asked.unionByName(ends), counted(reads)))
+    edge = found.filter(F.col("pattern").endswith(END)).select(F.expr("left(pattern, length(pattern) - 1)").alias("pattern"), (F.col("hi") - F.col("lo")).alias("n_edge"))
+    whole = found.filter(~F.col("pattern").endswith(END)).select("pattern", (F.col("hi") - F.col("lo")).alias("width"), "n_start")
+    return whole.join(edge, "pattern", "left").na.fill(0, ["n_edge"])
 
 
 def rank_before(transform: DataFrame, table: DataFrame, positions: DataFrame, step: int = STEP) -> DataFrame:
