@@ -6,8 +6,8 @@ postings of the words after them (place + length), and with the lists of what fo
 of it are. The lengths of the longer lists are summed over all chunks by Spark; what reaches the threshold goes back to the chunks that hold it, and postings that no list
 covers any more are dropped. So a chunk's state shrinks with each length and nothing is gathered beyond a chunk.
 
-Words are 64-bit hashes, phrases sums of them under powers of an odd number. Strings leave a chunk for frequent phrases only; a hash that stands
-for two phrases is found there and is an error (another ``seed`` helps), so frequencies are exact or not returned. The scores are DataFrame functions on exact decimals.
+Words are 64-bit hashes, phrases sums of them under powers of an odd number. Strings leave a chunk for frequent phrases only, each from one chunk, and all others
+compare; a hash that stands for two phrases is found there and is an error (another ``seed`` helps), so frequencies are exact or not returned. The scores are DataFrame functions on exact decimals.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ from strandline.llm.common import drop_table, rows_of, scratch_table, settle, ta
 CHUNK, LEAST, LONGEST, MOST = 2_000_000, 100, 5, 2000
 #: Fixed value: an odd number that phrases' words are summed under.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Frequent phrases that are broadcast at most (16 bytes each), and parts of a language that are ranked first.
+#: Frequent phrases that are broadcast at most (sixteen bytes each), and parts of a language that are ranked first.
 MOST_BROADCAST, PARTS = 1_000_000, 64
 #: A-Z in lower case, ends of pieces as line ends, tabs as blanks.
 BYTES = bytes(b"\n"[0] if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-ROWS = "chunk long, lang string, words binary, places binary, ids binary, n_words long, key long, n long, phrase string"
+ROWS = "chunk long, lang string, words binary, places binary, ids binary, keys binary, n_words long, key long, phrase string"
 NAMES = [f.split()[0] for f in ROWS.split(", ")]
-KINDS = dict(zip(NAMES, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())))
+KINDS = dict(zip(NAMES, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string())))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -71,13 +71,11 @@ class Postings:
         words = zstandard.ZstdDecompressor().decompress(row.words).decode().split("\t")
         return cls(row.chunk, row.lang, words, np.cumsum(_opened(row.places)), _opened(row.ids), seed)
 
-    def state(self, keep: np.ndarray, n_words: int | None = None) -> pa.RecordBatch | None:
-        """The postings at ``keep`` as a row, with the words that they need."""
-        if not len(keep):
-            return None
+    def state(self, keep: np.ndarray, keys: np.ndarray, n_words: int | None = None) -> pa.RecordBatch:
+        """The postings at ``keep`` as a row, with the words that they need and the keys of the frequent phrases among them."""
         used, ids = np.unique(self.ids[keep], return_inverse=True)
         words = zstandard.ZstdCompressor(level=1).compress("\t".join([self.words[i] for i in used]).encode())
-        return _table(chunk=[self.chunk], lang=[self.lang], words=[words], places=[_packed(np.diff(self.places[keep], prepend=0))], ids=[_packed(ids)], n_words=[n_words])
+        return _table(chunk=[self.chunk], lang=[self.lang], words=[words], places=[_packed(np.diff(self.places[keep], prepend=0))], ids=[_packed(ids)], keys=[keys.tobytes()], n_words=[n_words])
 
     def heads(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Postings at which ``length`` words follow each other, and the keys of these phrases."""
@@ -119,7 +117,7 @@ class Postings:
 
 
 def chunks_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """``ROWS`` of the chunks' states (key null) and of the words of each with their numbers.
+    """``ROWS`` of the chunks' states.
 
     A partition fills one chunk for each language; when all together hold ``size`` words the largest is closed.
     """
@@ -134,9 +132,7 @@ def chunks_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
             p = Postings(part << 24 | number, lang, list(known), np.concatenate(places), np.concatenate(ids), seed)
             number, held = number + 1, held - n
             if n:
-                yield p.state(np.arange(n), n)
-                count = np.bincount(p.ids, minlength=len(p.words))
-                yield _table(chunk=np.full(len(count), p.chunk), key=p.hashes.view(np.int64), n=count)
+                yield p.state(np.arange(n), p.hashes[:0], n)
 
         for langs, texts in rows_of(batches, 1_000_000):
             for lang in dict.fromkeys(langs):
@@ -163,51 +159,113 @@ def chunks_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
     return rows.mapInArrow(build, ROWS)
 
 
-def longer(states: DataFrame, frequent: DataFrame, length: int, longest: int, seed: int) -> DataFrame:
-    """``ROWS`` of the chunks' next states, of the phrases of ``length`` + 1 words with their numbers, and of the frequent ones of ``length`` with their strings.
+def counted(states: DataFrame, length: int, seed: int) -> DataFrame:
+    """chunk, key, n: the lists of ``length`` words of each chunk, by their lengths. Longer than one word, they grow from the frequent ones a word shorter."""
+    schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
-    ``frequent`` holds chunk and key of those of ``length``. Chunks without any are done.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = next(batch.slice(i, 1).to_pandas().itertuples(index=False))
+                p = Postings.read(row, seed)
+                at, key = p.heads(1) if length == 1 else p.extended(*p.lists(length - 1, np.frombuffer(row.keys, np.uint64)), length - 1)
+                lists, sizes = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([np.full(len(lists), p.chunk), lists.view(np.int64), sizes], schema=schema)
+
+    return states.select("chunk", "lang", "words", "places", "ids", "keys").mapInArrow(each, "chunk long, key long, n long")
+
+
+def _kept(row, frequent: np.ndarray, spellers: np.ndarray | None, length: int, seed: int) -> list[pa.RecordBatch]:
+    """``ROWS`` of a chunk's state without what no frequent phrase of ``length`` words covers, and the strings of those that it is to spell (null: all)."""
+    p = Postings.read(row, seed)
+    at, key = p.lists(length, frequent)
+    if not len(at):
+        return []
+    named, phrases = p.strings(at, key, length)
+    covered = np.zeros(len(p.places), bool)
+    for k in range(length):
+        covered[at + k] = True
+    out = p.state(np.flatnonzero(covered), named)
+    if spellers is not None:
+        mine = spellers[np.searchsorted(frequent, named)] == p.chunk
+        named, phrases = named[mine], [x for x, m in zip(phrases, mine) if m]
+    return [_table(chunk=np.full(len(named), p.chunk), lang=[p.lang] * len(named), key=named.view(np.int64), phrase=phrases), out]
+
+
+def pruned(states: DataFrame, frequent: DataFrame, length: int, seed: int, broadcast: bool) -> DataFrame:
+    """``ROWS`` of the chunks' next states and of the strings of the frequent phrases (key, chunk) of ``length`` words; chunks without any are done.
+
+    With ``broadcast`` keys and the chunks that spell them, sixteen bytes each, go to all tasks and the chunks stay where they are; otherwise each chunk is
+    sent those that it holds, and spells them all.
     """
+    held = states.select("chunk", "lang", "words", "places", "ids", "keys")
+    if broadcast:
+        rows = frequent.select("key", "chunk").toPandas()
+        order = np.argsort(keys := rows["key"].to_numpy(np.int64).view(np.uint64))
+        sent = states.sparkSession.sparkContext.broadcast((keys[order], rows["chunk"].to_numpy(np.int64)[order]))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from _kept(next(batch.slice(i, 1).to_pandas().itertuples(index=False)), *sent.value, length, seed)
+
+        return held.mapInArrow(each, ROWS)
 
-    def grow(row: pa.Table, keys: pa.Table) -> pa.Table:
+    def keep(row: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
-        if row.num_rows and keys.num_rows:
-            p = Postings.read(next(pd.DataFrame(row.to_pydict()).itertuples(index=False)), seed)
-            at, key = p.lists(length, np.sort(keys.column("frequent_key").to_numpy().view(np.uint64)))
-            named, phrases = p.strings(at, key, length)
-            out.append(_table(chunk=np.full(len(named), p.chunk), lang=[p.lang] * len(named), key=named.view(np.int64), phrase=phrases))
-            if length < longest:
-                at, key = p.extended(at, key, length)
-                lists, sizes = np.unique(key, return_counts=True)
-                out.append(_table(chunk=np.full(len(lists), p.chunk), key=lists.view(np.int64), n=sizes))
-                covered = np.zeros(len(p.places), bool)
-                for k in range(length + 1):
-                    covered[at + k] = True
-                out.append(p.state(np.flatnonzero(covered)))
-        return pa.Table.from_batches([b for b in out if b is not None], pa.schema(KINDS.items()))
+        if row.num_rows and asked.num_rows:
+            out = _kept(next(row.to_pandas().itertuples(index=False)), np.sort(asked.column("asked").to_numpy().view(np.uint64)), None, length, seed)
+        return pa.Table.from_batches(out, pa.schema(KINDS.items()))
+
+    asked = counted(states, length, seed).join(frequent.select("key"), "key").select(F.col("chunk").alias("of"), F.col("key").alias("asked"))
+    return held.groupBy("chunk").cogroup(asked.groupBy("of")).applyInArrow(keep, ROWS)
+
 
-    return states.groupBy("chunk").cogroup(frequent.select(F.col("chunk").alias("of"), F.col("key").alias("frequent_key")).groupBy("of")).applyInArrow(grow, ROWS)
+def verify(states: DataFrame, spelt: DataFrame, length: int, seed: int) -> None:
+    """An error if a chunk's frequent phrase of ``length`` words is another one than that spelt (key, lang, phrase) elsewhere for its key; both are broadcast as 64-bit numbers."""
+    rows = spelt.select("key", F.xxhash64("phrase", "lang").alias("digest")).toPandas()
+    order = np.argsort(keys := rows["key"].to_numpy(np.int64).view(np.uint64))
+    sent = states.sparkSession.sparkContext.broadcast((keys[order], rows["digest"].to_numpy(np.int64)[order]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = next(batch.slice(i, 1).to_pandas().itertuples(index=False))
+                p = Postings.read(row, seed)
+                named, phrases = p.strings(*p.lists(length, np.frombuffer(row.keys, np.uint64)), length)
+                keys, digests = sent.value
+                # as Spark: the hash of the first is the second's seed
+                own = np.fromiter((xxhash.xxh64_intdigest(p.lang, xxhash.xxh64_intdigest(x, 42)) for x in phrases), np.uint64, len(phrases)).view(np.int64)
+                if (digests[np.searchsorted(keys, named)] != own).any():
+                    raise ValueError("two phrases share a hash: choose another seed")
+                yield pa.RecordBatch.from_arrays([pa.array([len(named)], pa.int64())], names=["n"])
 
-def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_words: int = CHUNK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    states.select("chunk", "lang", "words", "places", "ids", "keys").mapInArrow(each, "n long").agg(F.sum("n")).collect()
+
+
+def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_words: int = CHUNK, seed: int = 0, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of all phrases of up to ``longest`` words seen ``least`` times or more, and (lang, n) of all languages."""
     spark = docs.sparkSession
     rows = scratch_table(chunks_of(docs, chunk_words, seed), "postings")
-    totals = scratch_table(rows.filter("key is null").groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    kept, found, spelt = [], None, []
+    totals = scratch_table(rows.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
+    kept, spelt = [], []
     for length in range(1, longest + 1):
-        counts = rows.filter("n is not null").select("chunk", "key", "n")
-        found = scratch_table(counts.groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"frequent{length}")
-        kept.append(found.withColumn("words", F.lit(length)))
-        keys = F.broadcast(found.select("key")) if found.count() <= MOST_BROADCAST else found.select("key")
-        grown = scratch_table(longer(rows.filter("key is null"), counts.join(keys, "key").select("chunk", "key"), length, longest, seed), "postings")
+        states = rows.filter("key is null")
+        found = scratch_table(counted(states, length, seed).groupBy("key").agg(F.sum("n").alias("f"), F.min("chunk").alias("chunk")).filter(F.col("f") >= least), f"frequent{length}")
+        settle(spark)
+        kept.append(found.select("key", "f", F.lit(length).alias("words")))
+        broadcast = found.count() <= most_broadcast
+        after = scratch_table(pruned(states, found, length, seed, broadcast), "postings")
         drop_table(rows)
-        rows = grown
+        rows = after
         # the same string from many chunks is one row; two strings are a hash met twice
         names = rows.filter("phrase is not null").groupBy("key").agg(F.min("lang").alias("lang"), F.max("lang").alias("_lang"), F.min("phrase").alias("phrase"), F.max("phrase").alias("_phrase"))
         one = F.when((F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase")), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases share a hash: choose another seed")))
         spelt.append(scratch_table(names.select("key", "lang", one.alias("phrase")), f"phrases{length}"))
-        settle(spark)
+        if broadcast:
+            verify(rows.filter("key is null"), spelt[-1], length, seed)
     drop_table(rows)
     every = None
     for held, names in zip(kept, spelt):
@@ -216,7 +274,7 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk_wor
     return every, totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, chunk_words: int = CHUNK, seed: int = 0) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, chunk_words: int = CHUNK, seed: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``most`` phrases by score, frequency and string.
 
     Words are runs without blanks and tabs between ``. , ; : ! ?`` and line ends, A-Z lower-cased. A phrase is cut where its score floor(1000 a n / (l r)) is
@@ -224,7 +282,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, mo
     ``und``. Repeated rows count each, ids and further columns are ignored. A very long text stays in one chunk, whose size it may
     exceed. No rows, or no frequent phrase, give no rows.
     """
-    every, totals = mined(docs, least, longest, chunk_words, seed)
+    every, totals = mined(docs, least, longest, chunk_words, seed, most_broadcast)
     every = scratch_table(every, "phrases")
     phrases = every.filter("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cut = phrases.select("lang", "phrase", "a", "w", F.explode(F.expr("sequence(1, words - 1)")).alias("k"))

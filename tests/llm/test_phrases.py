@@ -36,13 +36,13 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, x, "w", "p", 1, 2) for i, (x, t) in enumerate(docs)], SCHEMA)
 
 
-@pytest.mark.parametrize("chunk, most", [(2_000_000, 2000), (37, 2000), (200, 5)])
-def test_equals_counting_all_phrases(spark, chunk, most):
+@pytest.mark.parametrize("chunk, most, broadcast", [(2_000_000, 2000, 10), (200, 2000, 0), (200, 5, 1000)])
+def test_equals_counting_all_phrases(spark, chunk, most, broadcast):
     rng = random.Random(5)
     vocabulary = ["the", "The", "of", "new", "york", "city", "hall", "a", "é", "x-y", "ha"]
     docs = [(rng.choice(["en", "de", None, ""]), "".join(rng.choice(vocabulary) + rng.choice([" "] * 12 + [", ", ".\n", "  ", "\t", "\r\n", "\x0b", "!?"]) for _ in range(rng.randint(1, 120)))) for _ in range(60)]
     docs += [("en", "new york city hall of the new york " * 5)] * 4 + [("en", "ha " * 300), ("en", None), ("de", ""), ("de", " .,;\n"), (None, "und"), ("und", "new york new york"), ("en", "\x1c \u2028 \u2028 \x1c")]
-    got = P.collocations(frame(spark, docs).repartition(3), least=8, most=most, chunk_words=chunk).collect()
+    got = P.collocations(frame(spark, docs).repartition(3), least=8, most=most, chunk_words=chunk, most_broadcast=broadcast).collect()
     want = by_hand(docs, 8, 5, most)
     assert sorted(map(tuple, got)) == want and len(want) > 8
 
@@ -69,3 +69,13 @@ def test_a_hash_met_twice_is_an_error():
     with pytest.raises(ValueError, match="another seed"):
         p.strings(at, key, 2)
     assert len(set(key)) == 1 and list(at) == [0, 2]
+
+
+def test_another_spelling_elsewhere_is_an_error(spark):
+    states = P.chunks_of(frame(spark, [("en", "a b a b")]), 100, 0)
+    named = P.pruned(states, P.counted(states, 1, 0).groupBy("key").agg({"chunk": "min"}).withColumnRenamed("min(chunk)", "chunk"), 1, 0, True)
+    spelt = named.filter("phrase is not null").select("key", "lang", "phrase")
+    assert sorted(r.phrase for r in spelt.collect()) == ["a", "b"]
+    P.verify(named.filter("key is null"), spelt, 1, 0)
+    with pytest.raises(Exception, match="another seed"):
+        P.verify(named.filter("key is null"), spelt.replace("a", "c", "phrase"), 1, 0)
