@@ -582,3 +582,17 @@ def graph_support(spark, d):
 @query("graph_violations", "c ol", "SELECT count(*) AS edges, count(*) FILTER (left_id = right_id) AS loops, count(*) FILTER (ol >= length(a.seq) OR ol >= length(b.seq)) AS improper, count(*) FILTER (right(a.seq, CAST(ol AS BIGINT)) <> left(b.seq, CAST(ol AS BIGINT))) AS unequal FROM ol JOIN c a ON a.id = left_id JOIN c b ON b.id = right_id")
 def graph_violations(spark, d):
     return graph.violations(*_graph(spark, d))
+
+
+_MERGED_SQL = steps("c ol", """, u AS (SELECT left_id, right_id, ol FROM (SELECT *, count(*) OVER (PARTITION BY left_id) AS o, count(*) OVER (PARTITION BY right_id) AS i FROM ol) WHERE o = 1 AND i = 1),
+    walk(head, id, k, ol) AS (SELECT id, id, 0, 0::BIGINT FROM c WHERE id NOT IN (SELECT right_id FROM u) UNION ALL SELECT head, u.right_id, k + 1, CAST(u.ol AS BIGINT) FROM walk JOIN u ON u.left_id = walk.id),
+    ring(a, b) AS (SELECT left_id, right_id FROM u WHERE left_id NOT IN (SELECT id FROM walk) UNION SELECT a, u.right_id FROM ring JOIN u ON u.left_id = b),
+    round(head, id, k, ol) AS (SELECT a, a, 0, 0::BIGINT FROM ring GROUP BY a HAVING min(b) = a UNION ALL SELECT head, u.right_id, k + 1, CAST(u.ol AS BIGINT) FROM round JOIN u ON u.left_id = round.id WHERE u.right_id <> head)
+    SELECT head AS id, count(*) AS n_nodes, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(length(tail)) AS BIGINT) AS len, string_agg(tail, '' ORDER BY k) AS seq FROM (SELECT head, k, copies, substr(seq, ol + 1) AS tail FROM (SELECT * FROM walk UNION ALL SELECT * FROM round) JOIN c USING (id)) GROUP BY head""").replace("WITH ", "WITH RECURSIVE ", 1).replace(") , u AS", "), u AS", 1)
+
+
+@query("graph_merged", sql=_MERGED_SQL)
+def graph_merged(spark, d):
+    """The overlap graph with its unbranched chains merged into single nodes."""
+    rows = R.written(_classes(spark, d))
+    return graph.merged(rows, overlap.overlaps(rows))
