@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import simhash
@@ -192,30 +192,39 @@ def links(docs: DataFrame, classes: DataFrame, least: float, shingle: int) -> Da
     return stars.unionByName(checked(docs, classes, remaining(members, classes.select("class", "bits"), joined, least), least, shingle))
 
 
+def _grouped(docs: DataFrame, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, text_key of every row) and (class, least, component of every class), as written tables."""
+    marks = scratch_table(marked(docs, least, shingle), "shingles")
+    one = F.first(F.struct("text_key", "n", "fp", "prefix", "bits")).alias("one")
+    classes = scratch_table(marks.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
+    rows = scratch_table(marks.select("doc_id", "class", "text_key"), "rows")
+    drop_table(marks)
+    joined = components(links(docs, classes, least, shingle)).withColumnsRenamed({"node": "class"})
+    return rows, scratch_table(classes.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "grouped")
+
+
 def groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, component_id (least doc_id of its near-duplicate group), one row per row of ``docs``.
 
     Texts without words, null ones included, are one group. Null ids keep their rows. A text of any length is compared on all its
     shingles. Further columns are ignored; no rows give no rows. ``docs`` is read a second time for the texts of the pairs.
     """
-    marks = scratch_table(marked(docs, least, shingle), "shingles")
-    one = F.first(F.struct("text_key", "n", "fp", "prefix", "bits")).alias("one")
-    classes = scratch_table(marks.groupBy("class").agg(F.min("doc_id").alias("least"), one).select("class", "least", "one.*"), "classes")
-    rows = scratch_table(marks.select("doc_id", "class"), "rows")
-    drop_table(marks)
-    joined = components(links(docs, classes, least, shingle)).withColumnsRenamed({"node": "class"})
-    grouped = scratch_table(classes.select("class", "least").join(joined, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "grouped")
+    rows, grouped = _grouped(docs, least, shingle)
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(names, "component").select("class", "component_id")
     return rows.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that of its least doc_id.
+    """``docs`` with one row of each near-duplicate group, that of its least doc_id (of several texts under that id the least digest).
 
-    Rows with a null doc_id all stay; of repeated rows with one doc_id, one stays (the least by text).
+    Rows are told apart by id and text, so that different texts under one id are all kept unless they are near-duplicates. Rows
+    with a null doc_id all stay; of rows with the same id and text one stays.
     """
-    chosen = groups(docs, least, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    rows, grouped = _grouped(docs, least, shingle)
+    # ids and digests are summed up before they meet: of a group of copies each task sends one row
+    each = rows.filter("doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    chosen = each.join(grouped.select("class", "component"), "class").groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key").distinct()
+    keyed = docs.filter("doc_id is not null").withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    kept = keyed.join(chosen.withColumnRenamed("text_key", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -40,7 +40,7 @@ def test_odd_rows(spark, odd, none):
     assert similar.keep_one(none).count() == 0
     rows = similar.keep_one(odd)
     assert rows.columns == odd.columns
-    assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted([-8, 1, 2, 5, 6, 7, None], key=str)
+    assert sorted((r.doc_id for r in rows.collect()), key=str) == sorted([-8, 1, 1, 2, 5, 6, 7, None], key=str)  # two different texts under id 1
 
 
 def exact_groups(docs, least=0.8):
@@ -109,3 +109,11 @@ def test_fingerprints_meet_in_the_covering_join(spark):
     got = {(r.a, r.b) for r in similar.covered(spark.createDataFrame(rows, "class long, fp long, n int"), 0.8).collect()}
     near = {(i, j) for i in range(8) for j in range(i + 1, 8) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 2}
     assert got == near | {(0, 50)} and (0, 4) in near and (6, 7) in near
+
+
+def test_different_texts_under_one_id_stay(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(3)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[0] + " end"), (9, texts[2]), (7, texts[2]), (10, None), (10, ""), (None, texts[0])]
+    got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.filter("doc_id is not null and doc_id < 10").collect()) == sorted((7, t) for t in texts)
+    assert got.filter("doc_id = 10").count() == 1 and got.filter("doc_id is null").count() == 1
