@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as S
-from strandline.operators import align, coverage, graph, index, libraries, matching, overlap
+from strandline.operators import align, coverage, graph, index, libraries, locus, matching, overlap
 from strandline.plans.sql import G, steps
 from strandline.sources import reads as R
 
@@ -596,3 +596,25 @@ def graph_merged(spark, d):
     """The overlap graph with its unbranched chains merged into single nodes."""
     rows = R.written(_classes(spark, d))
     return graph.merged(rows, overlap.overlaps(rows))
+
+
+_LOCUS_SQL = steps("c q", """, loci AS (SELECT query AS locus, substr(q, length(q) // 2 - 49, 100) AS seq FROM q WHERE length(q) >= 100),
+    rd AS MATERIALIZED (SELECT id, copies, 1 AS side, seq, left(seq, 50) AS seed FROM c WHERE length(seq) > 50 UNION ALL SELECT id, copies, 0, reverse(seq), left(reverse(seq), 50) FROM c WHERE length(seq) > 50),
+    st(locus, side, seq, r) AS (SELECT locus, 1, seq, 0 FROM loci UNION ALL SELECT locus, 0, reverse(seq), 0 FROM loci UNION ALL
+        SELECT locus, side, any_value(s) || max(path) FILTER (n_paths = 1 AND k < coalesce(fork, 1000)), any_value(r) + 1 FROM (
+            SELECT *, min(CASE WHEN n_paths > 1 THEN k END) OVER (PARTITION BY locus, side) AS fork FROM (SELECT locus, side, k, any_value(s) AS s, any_value(r) AS r, count(*) AS n_paths, max(path) AS path FROM (
+                SELECT locus, side, k, left(ext, k) AS path, any_value(s) AS s, any_value(r) AS r FROM (SELECT *, unnest(range(1, length(ext) + 1)) AS k FROM (
+                    SELECT locus, side, st_seq AS s, r, copies, substr(seq, CAST(max(ol) AS BIGINT) + 1) AS ext FROM (
+                        SELECT e.locus, e.side, e.seq AS st_seq, e.r, e.ol, rd.id, rd.copies, rd.seq FROM (SELECT *, unnest(range(50, least(length(seq), 99) + 1)) AS ol FROM st) e JOIN rd ON rd.side = e.side AND rd.seed = substr(e.seq, length(e.seq) - e.ol + 1, 50)
+                        WHERE length(rd.seq) > e.ol AND right(e.seq, e.ol) = left(rd.seq, e.ol) AND NOT contains(e.seq, rd.seq)) GROUP BY locus, side, st_seq, r, id, copies, seq))
+                GROUP BY locus, side, k, left(ext, k) HAVING sum(copies) >= 2) GROUP BY locus, side, k))
+        GROUP BY locus, side HAVING max(path) FILTER (n_paths = 1 AND k < coalesce(fork, 1000)) IS NOT NULL),
+    fin AS (SELECT locus, side, arg_max(seq, r) AS s, max(r) AS r FROM st GROUP BY ALL)
+    SELECT locus, reverse(substr(a.s, 101)) || b.s AS seq, length(a.s) - 100 AS to_left, length(b.s) - 100 AS to_right, CAST(greatest(a.r, b.r) AS BIGINT) AS rounds FROM (SELECT * FROM fin WHERE side = 0) a JOIN (SELECT * FROM fin WHERE side = 1) b USING (locus)""").replace("WITH ", "WITH RECURSIVE ", 1).replace(") , loci AS", "), loci AS", 1)
+
+
+@query("locus_extended", sql=_LOCUS_SQL)
+def locus_extended(spark, d):
+    """The middle hundred bases of every query, extended over both ends by the reads that agree there."""
+    loci = _targets(spark, d).filter(F.length("q") >= 100).select(F.col("query").alias("locus"), F.expr("substring(q, length(q) div 2 - 49, 100)").alias("seq"))
+    return locus.extended(loci, R.written(_classes(spark, d)))
