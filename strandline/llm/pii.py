@@ -1,13 +1,13 @@
 """Personal data: base identifiers by pattern, and more by bootstrapped context.
 
-The base spans are seeds. They induce lexical patterns: the words before, the words after, both, the form of the string itself, and
-its form after a word. Strings that look like an identifier but fail its base rules (spelt-out addresses, addresses without
+The base spans are seeds. They induce lexical patterns: the word or two words before, the word after, and both. The form of a string
+only decides whether it is a candidate, and of which kind; no pattern knows it, so nothing is found without a cue. Strings that look like an identifier but fail its base rules (spelt-out addresses, addresses without
 a dot, four dotted numbers beyond 255, digit runs with a wrong check digit, numbers without a plus sign) are candidates and
 stand in patterns too, as do all other strings with a digit or an at sign, which only count against a pattern. Patterns and
 instances (the strings, by kind) form a graph that Spark scores in rounds: a pattern's confidence is the share of its places
 that seeds and trusted instances fill; an instance's score is 1 - product(1 - confidence) over its trusted patterns. All places of trusted
-instances are found, and they induce patterns in the next round. Chance makes one digit run in ten pass its check, so a form
-that is no identifier's stays far below the confidence that is asked for.
+instances are found, and they induce patterns in the next round. A pattern must also tell something: known identifiers have to stand at a
+stated share of all occurrences of its rarest word in all texts, so that words which stand before anything ("the", "of") are no cues.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ AFTER = re.compile(r"[^\w]{0,3}\s*([^\W\d_]+)")
 #: Rounds of scoring, the least number of places that known identifiers fill in a pattern, the least confidence of a pattern, and the
 #: score (more likely than not) from which an instance is trusted.
 ROUNDS, LEAST_PLACES, LEAST_PATTERN, LEAST_INSTANCE = 3, 5, 0.4, 0.5
+#: Least share of the occurrences of a pattern's rarest word, anywhere in the texts, at which known identifiers stand.
+LEAST_SHARE = 0.1
 #: Fewest and most digits of a run that may be a card with a wrong check digit. Strings that are no candidates have the kind OTHER.
 RUN_DIGITS, OTHER = (12, 19), 4
 
@@ -118,14 +120,8 @@ def candidates(text: str, base: list[tuple[int, int, int]] | None = None, failed
     return sorted(own + apart(found, sorted(base + own)))
 
 
-def shape(text: str, kind: int) -> str:
-    """The form of a string: runs of letters as a, digits as 0, with the number of digits in a run for cards and phones."""
-    digits = (lambda m: f"0{len(m.group())}") if kind in (2, 3) else "0"
-    return re.sub("[0-9]+", digits, re.sub("[A-Za-z]+", "a", text[:200]))
-
-
-def patterns_at(text: str, start: int, end: int, kind: int) -> list[str]:
-    """The patterns that a string stands in; those of OTHER strings know no form."""
+def patterns_at(text: str, start: int, end: int) -> list[str]:
+    """The patterns of words that a string stands in."""
     m = BEFORE.search(text[max(0, start - 40) : start])
     words = [x.lower() for x in m.groups() if x] if m else []
     n = AFTER.match(text[end : end + 40])
@@ -139,9 +135,6 @@ def patterns_at(text: str, start: int, end: int, kind: int) -> list[str]:
         out.append(f"_ {after}")
     if words and after:
         out.append(f"{words[-1]} _ {after}")
-    if kind != OTHER:
-        form = f"<{KINDS[kind]} {shape(text[start:end], kind)}>"
-        out += [form, *([f"{words[-1]} {form}"] if words else [])]
     return out
 
 
@@ -161,7 +154,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 base, failed = spans(text)
                 rest = candidates(text, base, failed)
                 others = apart([(m.start(), OTHER, m.end()) for m in TOKEN.finditer(text)], sorted(base + rest))
-                marks = [{"s": s, "k": k, "e": e, "seed": i == 0, "instance": instance(text[s:e]) if k != OTHER else "", "patterns": patterns_at(text, s, e, k)} for i, group in enumerate((base, rest, others)) for s, k, e in group]
+                marks = [{"s": s, "k": k, "e": e, "seed": i == 0, "instance": instance(text[s:e]) if k != OTHER else "", "patterns": patterns_at(text, s, e)} for i, group in enumerate((base, rest, others)) for s, k, e in group]
                 rows.append({"doc_id": doc, "row": row, "base": [{"s": s, "k": k, "e": e} for s, k, e in base], "marks": marks})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -176,13 +169,28 @@ def instance(text: str) -> str:
     return text.lower() if len(text) <= 80 else hashlib.sha256(text.lower().encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def trusted(places: DataFrame, rounds: int = ROUNDS, least_places: int = LEAST_PLACES, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE) -> tuple[DataFrame, DataFrame]:
+def words_of(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word (a run of letters, in lower case) stands in the texts; counted before they are shuffled."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    return text_or_empty(docs).select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rarest(totals: DataFrame, words: DataFrame) -> DataFrame:
+    """pattern, total, common: how often the rarest word of each pattern stands in the texts (0: no word of it is counted)."""
+    each = totals.select("pattern", F.explode(F.split("pattern", " ")).alias("word")).filter("word <> '_'")
+    held = each.join(words, "word").groupBy("pattern").agg(F.min("n").alias("common"))
+    return totals.join(held, "pattern", "left").na.fill(0, ["common"])
+
+
+def trusted(places: DataFrame, words: DataFrame, rounds: int = ROUNDS, least_places: int = LEAST_PLACES, least_pattern: float = LEAST_PATTERN, least_instance: float = LEAST_INSTANCE, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) that are trusted: k, pattern, confidence and k, instance, score.
 
-    ``places`` has k, pattern, instance, seed, n. A pattern needs ``least_places`` places filled by known identifiers of its kind, of
+    ``places`` has k, pattern, instance, seed, n, ``words`` word, n. A pattern needs a share of ``least_share`` of its rarest word's occurrences, and ``least_places`` places filled by known identifiers of its kind, of
     two different ones at least, so that copies of one text make no pattern. Ties change nothing; no places give no rows.
     """
-    total = places.groupBy("pattern").agg(F.sum("n").alias("total"))
+    # a pattern with fewer places than known identifiers must fill is never trusted
+    totals = places.groupBy("pattern").agg(F.sum("n").alias("total")).filter(F.col("total") >= least_places)
+    total = scratch_table(rarest(totals, words), "totals")
     rest = places.filter(f"not seed and k <> {OTHER}").select("k", "pattern", "instance", "n")
     several = [F.sum("filled").alias("filled"), F.min("low").alias("low"), F.max("high").alias("high")]
     one = [F.min("instance").alias("low"), F.max("instance").alias("high")]
@@ -192,7 +200,7 @@ def trusted(places: DataFrame, rounds: int = ROUNDS, least_places: int = LEAST_P
     for _ in range(rounds):
         held = rest.join(instances, ["k", "instance"]).groupBy("k", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("filled"), *one)
         known = seeds.unionByName(held).groupBy("k", "pattern").agg(*several).filter((F.col("filled") >= least_places - 1e-9) & (F.col("low") < F.col("high")))
-        scored = known.join(total, "pattern").select("k", "pattern", F.least(F.col("filled") / F.col("total"), F.lit(1.0)).alias("confidence"))
+        scored = known.join(total, "pattern").filter(F.col("filled") >= least_share * F.col("common") - 1e-9).select("k", "pattern", F.least(F.col("filled") / F.col("total"), F.lit(1.0)).alias("confidence"))
         patterns = scratch_table(scored.filter(F.col("confidence") >= least_pattern - 1e-9), "patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         found = rest.join(patterns, ["k", "pattern"]).groupBy("k", "instance").agg((1 - doubt).alias("score"))
@@ -209,11 +217,11 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (spans that the method added), n_found and n_spans, per row of ``docs``.
 
     Null and empty texts have no spans; a very long text is one row of marks. Null ids and repeated rows keep a row each; further
-    columns are ignored; no rows give no rows. Only counts of patterns and instances are shuffled, and the few candidates found.
+    columns are ignored; no rows give no rows. Only counts of patterns, instances and words are shuffled, and the few candidates found.
     """
     rows = scratch_table(marked(docs), "marks")
     each = rows.select("row", F.explode("marks").alias("m")).select("row", "m.*")
-    _, instances = trusted(scratch_table(places_of(each), "places"))
+    _, instances = trusted(scratch_table(places_of(each), "places"), scratch_table(words_of(docs), "words"))
     rest = each.filter(f"not seed and k <> {OTHER}").select("row", "s", "k", "e", "instance")
     added = rest.join(instances.select("k", "instance"), ["k", "instance"], "left_semi")
     added = added.groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("more"))
