@@ -458,7 +458,25 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return near.join(_noisy(spark, d).select("read_id", "seq"), "read_id").select(F.col("query").alias("locus"), "seq", F.col("q_start").alias("start"))
 
 
-@query("graph_paths")
+_PATHS_SQL = steps("near noisy", """, nd AS MATERIALIZED (SELECT query AS locus, seq, md5(seq) AS id, min(q_start) AS start, count(*) AS n FROM near JOIN noisy USING (read_id) GROUP BY query, seq),
+    pr AS MATERIALIZED (SELECT a.locus, a.id AS l, b.id AS r, a.start AS ls, a.seq AS lseq, b.start AS rs, b.n AS rn, length(a.seq) - p + 1 AS ol, length(b.seq) <= length(a.seq) - p + 1 AS inside
+        FROM (SELECT *, unnest(range(1, length(seq) - 28)) AS p FROM nd) a JOIN nd b ON a.locus = b.locus AND substr(a.seq, p, 30) = left(b.seq, 30) AND a.id <> b.id
+        WHERE starts_with(substr(a.seq, p), b.seq) OR starts_with(b.seq, substr(a.seq, p))),
+    inn AS (SELECT DISTINCT locus, r AS id FROM pr WHERE inside),
+    host AS (SELECT locus, r, arg_min(l, (ls, lseq)) AS id, any_value(rn) AS more FROM pr WHERE inside AND (locus, l) NOT IN (SELECT locus, id FROM inn) GROUP BY locus, r),
+    n1 AS MATERIALIZED (SELECT locus, id, seq, n + coalesce(more, 0) AS n FROM nd LEFT JOIN (SELECT locus, id, sum(more) AS more FROM host GROUP BY ALL) USING (locus, id) WHERE (locus, id) NOT IN (SELECT locus, id FROM inn)),
+    edges AS MATERIALIZED (SELECT locus, l, r, max(ol) AS ol FROM pr WHERE NOT inside AND ol >= 30 AND ls < rs AND (locus, l) NOT IN (SELECT locus, id FROM inn) AND (locus, r) NOT IN (SELECT locus, id FROM inn) GROUP BY ALL),
+    WALK1, n2 AS MATERIALIZED (SELECT locus, id, seq, CASE WHEN list_contains(b.ids, id) THEN 0 ELSE n END AS n FROM n1 JOIN b1 USING (locus)),
+    WALK2 SELECT locus, 1::BIGINT AS rank, b.seq AS seq, CAST(-b.v AS BIGINT) AS n_reads FROM b1 UNION ALL SELECT locus, 2, b.seq, CAST(-b.v AS BIGINT) FROM b2 WHERE b.v < 0""").replace("WITH ", "WITH RECURSIVE ", 1).replace(") , nd AS", "), nd AS", 1)
+#: The heaviest walks by levels of edges, over all nodes and over those that the first walk leaves.
+_WALK_SQL = """{w}(locus, id, v, seq, ids, k) AS (SELECT locus, id, CAST(n AS BIGINT), seq, [id], 1 FROM {n} UNION ALL SELECT locus, id, CAST(-b.v AS BIGINT), b.seq, b.ids, k FROM (
+        SELECT w.locus, e.r AS id, min({{'v': -(w.v + m.n), 'seq': w.seq || substr(m.seq, CAST(e.ol AS BIGINT) + 1), 'ids': w.ids || [e.r]}}) AS b, any_value(w.k) + 1 AS k FROM {w} w JOIN edges e ON e.locus = w.locus AND e.l = w.id JOIN {n} m ON m.locus = e.locus AND m.id = e.r GROUP BY w.locus, e.r)),
+    {b} AS (SELECT locus, min({{'v': -v, 'k': k, 'seq': seq, 'ids': ids}}) AS b FROM {w} GROUP BY locus)"""
+for _i in "12":
+    _PATHS_SQL = _PATHS_SQL.replace(f"WALK{_i}", _WALK_SQL.format(w=f"w{_i}", n=f"n{_i}", b=f"b{_i}"))
+
+
+@query("graph_paths", sql=_PATHS_SQL)
 def graph_paths(spark, d):
     """The two heaviest paths through the reads placed on each query."""
     return align.paths(_placed(spark, d))
