@@ -636,3 +636,19 @@ def locus_extended(spark, d):
     """The middle hundred bases of every query, extended over both ends by the reads that agree there."""
     loci = _targets(spark, d).filter(F.length("q") >= 100).select(F.col("query").alias("locus"), F.expr("substring(q, length(q) div 2 - 49, 100)").alias("seq"))
     return locus.extended(loci, R.written(_classes(spark, d)))
+
+
+_WALKED_SQL = steps("c ol", """, step AS MATERIALIZED (SELECT 1 AS side, left_id AS here, right_id AS nx, ol FROM ol UNION ALL SELECT 0, right_id, left_id, ol FROM ol),
+    rc(id, side, nx, ol) AS (SELECT here, side, nx, CAST(ol AS BIGINT) FROM step WHERE here <> nx UNION SELECT rc.id, rc.side, step.nx, CAST(rc.ol - length(c.seq) + step.ol AS BIGINT) FROM rc JOIN c ON c.id = rc.nx JOIN step ON step.side = rc.side AND step.here = rc.nx WHERE rc.ol - length(c.seq) + step.ol > 0 AND step.nx <> rc.id),
+    far AS (SELECT id, side, nx, max(ol) AS ol FROM rc GROUP BY ALL), near_ AS (SELECT here AS id, side, nx, ol FROM step WHERE here <> nx),
+    laid AS (SELECT w, id, CASE side WHEN 1 THEN length(seq) - ol ELSE 0 END AS lo, CASE side WHEN 1 THEN length(seq) ELSE ol END AS hi, reads FROM (SELECT 'far' AS w, * FROM far UNION ALL SELECT 'near', * FROM near_) JOIN (SELECT id, seq FROM c) USING (id) JOIN (SELECT id AS nx, copies AS reads FROM c) USING (nx)
+        UNION ALL SELECT w, id, 0, length(seq), copies FROM c, (SELECT unnest(['far', 'near']) AS w)),
+    cover AS (SELECT w, id, max(level) AS cover FROM (SELECT w, id, sum(sum(s)) OVER (PARTITION BY w, id ORDER BY pos) AS level FROM (SELECT w, id, unnest([lo, hi]) AS pos, unnest([reads, -reads]) AS s FROM laid) GROUP BY w, id, pos) GROUP BY ALL)
+    SELECT id, bool_or(w = 'near' AND cover >= 4) AS direct, bool_or(cover >= 4) AS substantial FROM cover GROUP BY id""").replace("WITH ", "WITH RECURSIVE ", 1).replace(") , step AS", "), step AS", 1)
+
+
+@query("graph_walked_support", sql=_WALKED_SQL)
+def graph_walked_support(spark, d):
+    """Nodes with four reads over one base, by their neighbours and by walks on."""
+    rows = R.written(_classes(spark, d))
+    return graph.walked_support(rows, R.written(overlap.overlaps(rows)), 4)
