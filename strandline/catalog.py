@@ -652,3 +652,23 @@ def graph_walked_support(spark, d):
     """Nodes with four reads over one base, by their neighbours and by walks on."""
     rows = R.written(_classes(spark, d))
     return graph.walked_support(rows, R.written(overlap.overlaps(rows)), 4)
+
+
+_TIPS_SQL = (
+    _MERGED_SQL[: _MERGED_SQL.index(", u AS (")]
+    + """, e AS MATERIALIZED (SELECT left_id, right_id, ol, ol.copies AS rc, c.copies AS lc FROM ol JOIN c ON c.id = left_id),
+    u AS MATERIALIZED (SELECT left_id, right_id, ol FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY ol DESC, rc DESC, right_id) AS a, row_number() OVER (PARTITION BY right_id ORDER BY ol DESC, lc DESC, left_id) AS b FROM e) WHERE a = 1 AND b = 1)"""
+    + _MERGED_SQL[_MERGED_SQL.index(",\n    walk(head") : _MERGED_SQL.index("\n    SELECT head AS id")]
+    + """, pl AS MATERIALIZED (SELECT id, head AS chain FROM (SELECT head, id FROM walk UNION ALL SELECT head, id FROM round)), rd AS MATERIALIZED (SELECT chain, CAST(sum(copies) AS BIGINT) AS reads FROM pl JOIN c USING (id) GROUP BY chain),
+    jn AS (SELECT DISTINCT a.chain AS l, b.chain AS r FROM e JOIN pl a ON a.id = left_id JOIN pl b ON b.id = right_id WHERE a.chain <> b.chain),
+    sd AS (SELECT chain, reads, (SELECT max(x.reads) FROM jn JOIN rd x ON x.chain = jn.r WHERE jn.l = rd.chain) AS after, (SELECT max(x.reads) FROM jn JOIN rd x ON x.chain = jn.l WHERE jn.r = rd.chain) AS before FROM rd)
+    SELECT id, chain, reads, beside, (after IS NULL OR before IS NULL) AND reads < beside AND reads <= 1 + CAST(beside > 9 AS INT) + CAST(beside > 29 AS INT) + beside // 100 AS tip
+    FROM pl JOIN (SELECT *, coalesce(greatest(after, before), 0) AS beside FROM sd) USING (chain)"""
+)
+
+
+@query("graph_tips", sql=_TIPS_SQL)
+def graph_tips(spark, d):
+    """Chains of best edges, and those with too few reads beside a heavier one."""
+    rows = R.written(_classes(spark, d))
+    return graph.tips(rows, R.written(overlap.overlaps(rows)))
