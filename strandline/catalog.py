@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as S
-from strandline.operators import align, coverage, graph, index, libraries, locus, matching, overlap
+from strandline.operators import align, coverage, graph, index, libraries, locus, matching, overlap, tries
 from strandline.plans.sql import G, steps
 from strandline.sources import reads as R
 
@@ -672,3 +672,44 @@ def graph_tips(spark, d):
     """Chains of best edges, and those with too few reads beside a heavier one."""
     rows = R.written(_classes(spark, d))
     return graph.tips(rows, R.written(overlap.overlaps(rows)))
+
+
+#: Least overlap, reads of a first node, and reads of any node in the queries on edited tries.
+TRIE_LEAST = (48, 3, 2)
+
+
+def _edited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = R.written(_classes(spark, d))
+    ends = overlap.overlaps(rows).join(rows.select(F.col("id").alias("right_id"), "seq"), "right_id")
+    each = R.written(tries.nodes(ends.select(F.col("left_id").alias("key"), F.expr("substring(seq, ol + 1)").alias("ext"), F.col("ol").alias("overlap"), F.col("copies").alias("n"))))
+    pairs = R.written(tries.above(each))
+    return rows, pairs, tries.counts(each, pairs, *TRIE_LEAST)
+
+
+_TRIE_SQL = steps("c ol", """, oh AS MATERIALIZED (SELECT left_id AS key, substr(seq, CAST(ol AS BIGINT) + 1) AS path, CAST(max(ol) AS BIGINT) AS o, CAST(sum(ol.copies) AS BIGINT) AS n FROM ol JOIN c ON c.id = right_id GROUP BY ALL),
+    tree AS MATERIALIZED (SELECT a.key, a.path, a.o, a.n, max_by(b.path, length(b.path)) AS up FROM oh a LEFT JOIN oh b ON a.key = b.key AND length(b.path) < length(a.path) AND starts_with(a.path, b.path) GROUP BY ALL),
+    nd AS MATERIALIZED (SELECT *, start = 0 AND over < OVERLAP OR start > 0 AND over < OVERLAP AND count(*) OVER (PARTITION BY key, up) > 1 AS short FROM (SELECT *, coalesce(length(up), 0) AS start, o + coalesce(length(up), 0) AS over FROM tree)),
+    alive(key, path, up, n) AS (SELECT key, path, up, n FROM nd WHERE up IS NULL AND NOT short UNION ALL SELECT nd.key, nd.path, nd.up, nd.n FROM alive a JOIN nd ON nd.key = a.key AND nd.up = a.path WHERE NOT short),
+    way(key, path, here, s) AS (SELECT key, path, path, n FROM alive UNION ALL SELECT w.key, w.path, a.path, w.s + a.n FROM way w JOIN alive a ON a.key = w.key AND a.up = w.here),
+    ct AS MATERIALIZED (SELECT nd.*, coalesce(s, 0) AS cnt FROM nd LEFT JOIN (SELECT key, path, max(s) AS s FROM way GROUP BY ALL) USING (key, path)),
+    own AS MATERIALIZED (SELECT *, CASE WHEN short THEN 'short' WHEN start = 0 AND cnt < FIRST THEN 'few' WHEN cnt < ANY_ THEN 'rare' WHEN start > 0 AND cnt <= least(4, most // 100 + CAST(most > 9 AS INT)) THEN 'weak' ELSE 'kept' END AS own
+        FROM (SELECT *, max(cnt) OVER (PARTITION BY key, up) AS most FROM ct)),
+    kept(key, path) AS (SELECT key, path FROM own WHERE up IS NULL AND own = 'kept' UNION ALL SELECT o.key, o.path FROM kept k JOIN own o ON o.key = k.key AND o.up = k.path WHERE own = 'kept'),
+    vd AS MATERIALIZED (SELECT own.key, own.path, CAST(start AS BIGINT) AS start, CAST(over AS BIGINT) AS overlap, n, CAST(cnt AS BIGINT) AS count, CASE WHEN up IS NOT NULL AND k.path IS NULL THEN 'below' ELSE own END AS verdict, up FROM own LEFT JOIN kept k ON k.key = own.key AND k.path = own.up)""").replace(
+    "WITH ", "WITH RECURSIVE ", 1).replace(") , oh AS", "), oh AS", 1).replace("OVERLAP", str(TRIE_LEAST[0])).replace("FIRST", str(TRIE_LEAST[1])).replace("ANY_", str(TRIE_LEAST[2]))
+
+
+@query("trie_counts", sql=_TRIE_SQL + " SELECT key, path, start, overlap, n, count, verdict FROM vd")
+def trie_counts(spark, d):
+    """Overhangs at each read's end, the reads of the heaviest way on from each, and which of them go."""
+    return _edited(spark, d)[2]
+
+
+@query("trie_culled", sql=_TRIE_SQL + """, st AS MATERIALIZED (SELECT *, start = 0 OR count(*) OVER (PARTITION BY key, up) > 1 AS first FROM vd WHERE verdict = 'kept'),
+    lay(key, head, path, n) AS (SELECT key, path, path, n FROM st WHERE first UNION ALL SELECT l.key, l.head, st.path, st.n FROM lay l JOIN st ON st.key = l.key AND st.up = l.path WHERE NOT first),
+    whole AS (SELECT key, head, max_by(path, length(path)) AS path, count(*) AS n_nodes, CAST(sum(n) AS BIGINT) AS n_reads FROM lay GROUP BY ALL)
+    SELECT w.key, w.path, start, substr(w.path, start + 1) AS ext, overlap, n_nodes, n_reads, count, right(c.seq || left(w.path, start), overlap) || substr(w.path, start + 1) AS seq FROM whole w JOIN st ON st.key = w.key AND st.path = w.head JOIN c ON c.id = w.key""")
+def trie_culled(spark, d):
+    """Stretches that are left of the overhangs at each read's end, with the bases of their first read."""
+    rows, pairs, judged = _edited(spark, d)
+    return tries.spelled(tries.culled(judged, pairs), rows.select(F.col("id").alias("key"), F.col("seq").alias("base")))
