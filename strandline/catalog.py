@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as S
-from strandline.operators import align, coverage, graph, index, libraries, locus, matching, overlap, tries
+from strandline.operators import align, coverage, graph, index, libraries, loci, locus, matching, overlap, tries
 from strandline.plans.sql import G, steps
 from strandline.sources import reads as R
 
@@ -482,10 +482,42 @@ def graph_paths(spark, d):
     return align.paths(_placed(spark, d))
 
 
+#: Gates of the queries on loci for the stand-in reads, which are no longer than 100 bases and lie 50 apart: shortest read, least length of an allele, reads that speak for a third.
+LOCUS = {"read_length": 45, "least_length": 100, "least_rivals": 2}
+
+_LOCI_SQL = _PATHS_SQL[: _PATHS_SQL.index(" SELECT locus, 1::BIGINT AS rank")] + f""",
+    wk AS MATERIALIZED (SELECT locus, 0 AS allele, b.seq AS q FROM b1 UNION ALL SELECT locus, 1, b.seq FROM b2 WHERE b.v < 0),
+    al AS MATERIALIZED (SELECT * FROM wk WHERE locus IN (SELECT locus FROM b2 WHERE b.v < 0)),
+    again AS MATERIALIZED (SELECT * FROM (SELECT locus, allele, read_id, q, seq, st, hamming(substr(q, st + 1, length(seq)), seq) AS off FROM (SELECT *, unnest(range(0, length(q) - length(seq) + 1)) AS st FROM al JOIN noisy ON length(seq) <= length(q))) WHERE off <= length(seq) // 16),
+    odd AS (SELECT locus, allele, st + i AS pos, substr(seq, CAST(i AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY locus, read_id ORDER BY off, allele, st) AS place FROM again) WHERE place = 1) WHERE substr(seq, CAST(i AS BIGINT), 1) <> substr(q, CAST(st + i AS BIGINT), 1)),
+    third AS (SELECT DISTINCT locus FROM (SELECT locus FROM odd GROUP BY locus, allele, pos, base HAVING count(*) >= {LOCUS["least_rivals"]})),
+    one AS (SELECT locus, allele, s, s + n AS e, 1.0::DOUBLE / count(*) OVER (PARTITION BY locus, read_id) AS share FROM (SELECT locus, allele, read_id, min(st) AS s, any_value(length(seq)) AS n FROM again WHERE off = 0 GROUP BY ALL)),
+    med AS (SELECT locus, allele, median(level) AS m FROM (SELECT locus, allele, pos, (SELECT round(coalesce(sum(share), 0), 6) FROM one WHERE one.locus = p.locus AND one.allele = p.allele AND s <= pos AND pos < e) AS level
+        FROM (SELECT locus, allele, unnest(range({LOCUS["read_length"] - 1}, length(q) - {LOCUS["read_length"] - 1})) AS pos FROM al WHERE length(q) + 1 >= {2 * LOCUS["read_length"]}) p) GROUP BY ALL),
+    dep AS (SELECT locus, round(sum(m), 6) AS coverage, max(m) <= 1.5::DOUBLE * min(m) AS level FROM med GROUP BY locus HAVING count(*) = 2),
+    lens AS (SELECT locus, min(length(q)) AS len FROM al GROUP BY locus),
+    rd AS (SELECT q.query AS locus, length(q) AS n, (SELECT count(DISTINCT read_id) FROM near WHERE near.query = q.query) AS n_reads FROM q)
+    SELECT locus, n_reads, CAST(coalesce(len, 0) AS BIGINT) AS len, CASE WHEN verdict IN ('miscovered', 'good') THEN coverage END AS coverage, verdict FROM (SELECT locus, n_reads, len, coverage, CASE WHEN n_reads = 0 OR n_reads >= 2000 THEN 'unmatched' WHEN n_reads > (n + 1 - {LOCUS["read_length"]}) * 20 THEN 'nondiploid'
+        WHEN len IS NULL OR locus IN (SELECT locus FROM third) THEN 'nondiploid' WHEN len < {LOCUS["least_length"]} THEN 'short' WHEN NOT coalesce(level, false) THEN 'miscovered' ELSE 'good' END AS verdict FROM rd LEFT JOIN lens USING (locus) LEFT JOIN dep USING (locus))"""
+
+
+@query("locus_gates", sql=_LOCI_SQL)
+def locus_gates(spark, d):
+    """Every query with the verdict on its two walks, without the gate on similarity."""
+    return loci.judged(_targets(spark, d), _noisy(spark, d), least_similarity=None, **LOCUS)
+
+
+@query("locus_tally", sql=f"""SELECT count(*) AS queried, count(*) FILTER (verdict = 'unmatched') AS unmatched, count(*) FILTER (verdict = 'nondiploid') AS nondiploid, count(*) FILTER (verdict = 'short') AS short, count(*) FILTER (verdict = 'miscovered') AS miscovered,
+    count(*) FILTER (verdict = 'dissimilar') AS dissimilar, count(*) FILTER (verdict = 'good') AS good, round(median(coverage) FILTER (verdict = 'good'), 6) AS coverage FROM ({_LOCI_SQL})""")
+def locus_tally(spark, d):
+    """How many queries fell at each gate, and the median coverage of those that passed."""
+    return loci.tally(locus_gates(spark, d))
+
+
 @query("coverage_loci")
 def coverage_loci(spark, d):
-    """Queries whose two paths pass the gates on length and similarity, with their coverage."""
-    return align.diploid(align.paths(_placed(spark, d)), coverage.median_depth(coverage.depth(_hits(spark, d))))
+    """Queries whose two walks pass all gates, similarity included, with their coverage."""
+    return loci.judged(_targets(spark, d), _noisy(spark, d), **LOCUS).filter("verdict = 'good'").select("locus", "len", "similarity", "coverage")
 
 
 # Checks and gates ---------------------------------------------------------------------------------------------------

@@ -43,6 +43,25 @@ def within(queries: DataFrame, reads: DataFrame, mismatches: int = 2) -> DataFra
     return scored.select("query", "read_id", (F.col("at") - 1).alias("q_start"), (F.col("at") - 1 + F.length("seq")).alias("q_end"), "mismatches")
 
 
+
+def within_rate(queries: DataFrame, reads: DataFrame, per: int) -> DataFrame:
+    """query, read_id, q_start, q_end, mismatches of every place where a read differs from a query in one base of each ``per`` at most.
+
+    The number of blocks grows with the read: length / per mismatches are allowed and one block more is cut. Hashed seeds, ids and places are shuffled;
+    bases are fetched by id for distinct candidates only.
+    """
+    size = F.expr(f"int(length(seq) div (length(seq) div {per} + 1))")
+    cut = reads.select("read_id", size.alias("size"), "seq", F.explode(F.sequence(F.lit(0), F.expr(f"int(length(seq) div {per})"))).alias("i")).filter("size > 0")
+    cut = cut.select("read_id", (F.col("i") * F.col("size")).alias("off"), F.length("seq").alias("n"), F.xxhash64("size", F.expr("substring(seq, i * size + 1, size)")).alias("h"))
+    sizes = reads.select(size.alias("size")).distinct().filter("size > 0").agg(F.collect_set("size").alias("sizes"))  # at most ``per`` + 1
+    each = queries.join(F.broadcast(sizes)).select("query", "q", F.explode("sizes").alias("size")).filter("length(q) >= size")
+    seeds = each.select("query", F.length("q").alias("m"), "q", "size", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("size") + 1)).alias("p")).select("query", "m", "p", F.xxhash64("size", F.expr("substring(q, p, size)")).alias("h"))
+    held = seeds.join(cut, "h").withColumn("at", F.col("p") - F.col("off")).filter("at >= 1 and at - 1 + n <= m").select("query", "read_id", "at").distinct()
+    fits = held.join(queries.select("query", "q"), "query").join(reads.select("read_id", "seq"), "read_id")
+    scored = fits.withColumn("mismatches", hamming(F.expr("substring(q, at, length(seq))"), F.col("seq"))).filter(F.col("mismatches") <= F.expr(f"length(seq) div {per}"))
+    return scored.select("query", "read_id", (F.col("at") - 1).alias("q_start"), (F.col("at") - 1 + F.length("seq")).alias("q_end"), "mismatches")
+
+
 def union_of_intervals(hits: DataFrame) -> DataFrame:
     """query, s, e: places of a query merged where they touch or overlap."""
     order = Window.partitionBy("query").orderBy("q_start", "q_end")
