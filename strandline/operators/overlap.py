@@ -21,11 +21,15 @@ def classes(reads: DataFrame) -> DataFrame:
 
 
 def _seeded(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (l, r) where r's first bases stand at place p of l; ll, rl are their lengths."""
-    left = rows.filter(F.length("seq") >= least).select(F.col("id").alias("l"), F.col("seq").alias("ls"), F.explode(F.sequence(F.lit(1), F.length("seq") - least + 1)).alias("p"))
-    left = left.withColumn("seed", F.expr(f"substring(ls, p, {least})"))
-    right = rows.filter(F.length("seq") >= least).select(F.col("id").alias("r"), F.col("seq").alias("rs"), F.col("copies"), F.substring("seq", 1, least).alias("seed"))
-    return left.join(right, "seed").filter("l <> r")
+    """Pairs (l, ls, p, r, rs, copies) where r's first bases stand at place p of l.
+
+    Places travel as id, place and hashed seed; only those that begin some read are given their bases, by id.
+    """
+    long = rows.filter(F.length("seq") >= least)
+    right = long.select(F.col("id").alias("r"), F.col("seq").alias("rs"), "copies", F.xxhash64(F.substring("seq", 1, least)).alias("seed"))
+    places = long.select(F.col("id").alias("l"), "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - least + 1)).alias("p")).select("l", "p", F.xxhash64(F.expr(f"substring(seq, p, {least})")).alias("seed"))
+    kept = places.join(right.select("seed"), "seed", "left_semi").join(long.select(F.col("id").alias("l"), F.col("seq").alias("ls")), "l")
+    return kept.join(right, "seed").filter(f"l <> r and substring(ls, p, {least}) = left(rs, {least})").select("l", "ls", "p", "r", "rs", "copies")
 
 
 def overlaps(rows: DataFrame, least: int = LEAST) -> DataFrame:
@@ -59,7 +63,8 @@ def _diverging(rows: DataFrame, least: int) -> DataFrame:
     """Seeded pairs that part at base m of the right read."""
     pairs = _seeded(rows, least).withColumn("rest", F.expr("substring(ls, p)"))
     most = F.least(F.length("rest"), F.length("rs"))
-    places = F.sequence(F.lit(1), most)
+    # the seed's bases are equal
+    places = F.when(most > least, F.sequence(F.lit(least + 1), most))
     first = F.array_min(F.filter(places, lambda i: F.substring("rest", i, F.lit(1)) != F.substring("rs", i, F.lit(1))))
     return pairs.withColumn("m", first).filter("m is not null").withColumn("coord", F.col("p") + F.col("m") - 2)
 
