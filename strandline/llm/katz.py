@@ -37,7 +37,7 @@ CHUNK, BUCKET, SPREAD = 2_000_000, 2_000_000, 1_000_000
 MOST_SPREAD = 1 << 16
 
 CHUNKS = "chunk long, doc_ids binary, no_ids binary, train binary, lengths binary, words binary, tokens binary, n_tokens long"
-ANSWERS = "chunk long, kind int, bucket int, counts binary, sums binary, stats array<long>"
+ANSWERS = "chunk long, kind int, bucket int, counts binary, seen binary, sums binary, stats array<long>"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -100,7 +100,8 @@ class Chunk:
         self.train = np.frombuffer(row.train, np.uint8).astype(bool)
         self.lengths = _read(row.lengths)
         self.words = np.frombuffer(row.words, np.uint64)
-        self.tokens = np.where((t := _read(row.tokens) - 1) < 0, len(self.words) - 1, t)
+        self.tokens = _read(row.tokens).astype(np.int32) - 1
+        self.tokens[self.tokens < 0] = len(self.words) - 1
         self.first = np.cumsum(self.lengths) - self.lengths
         self.trains = np.repeat(self.train, self.lengths)
 
@@ -114,10 +115,21 @@ class Chunk:
     def pairs(self, counts: np.ndarray, buckets: int, spread: int) -> None:
         """Distinct (history, word) pairs; place len(words) is the start of a text."""
         n = len(self.words)
-        history = np.empty_like(self.tokens)
-        history[1:] = self.tokens[:-1]
-        history[self.first] = n
-        keys, self.inverse = np.unique(history * (n + 1) + self.tokens, return_inverse=True)
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[self.first] = n
+        key *= n + 1
+        key += self.tokens
+        # np.unique with inverse, with fewer arrays of a place per token at once
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        keys = key[new]
+        del key
+        self.inverse = np.empty(len(order), np.int32)
+        self.inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         self.history, self.word = keys // (n + 1), keys % (n + 1)
         self.times = np.bincount(self.inverse[self.trains], minlength=len(keys))
         self.hashes = np.append(self.words, START)
@@ -197,8 +209,8 @@ def ask_words(chunks: DataFrame, buckets: int) -> DataFrame:
         _, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([_read(c) for c in group.counts])).astype(np.int64)
         parts = np.split(counts[inverse], np.cumsum([len(w) for w in words])[:-1])
-        out = pd.DataFrame({"chunk": group.chunk, "kind": 1, "bucket": group.bucket, "counts": [_small(p) for p in parts], "sums": None, "stats": None})
-        out.loc[len(out)] = [-1, 1, int(group.bucket.iloc[0]), None, None, _tally(counts)]
+        out = pd.DataFrame({"chunk": group.chunk, "kind": 1, "bucket": group.bucket, "counts": [_small(p) for p in parts], "seen": None, "sums": None, "stats": None})
+        out.loc[len(out)] = [-1, 1, int(group.bucket.iloc[0]), None, None, None, _tally(counts)]
         return out
 
     return chunks.mapInPandas(ask, "bucket int, chunk long, words binary, counts binary").groupBy("bucket").applyInPandas(answer, ANSWERS)
@@ -259,11 +271,12 @@ def ask_pairs(chunks: DataFrame, words: DataFrame, unigrams: Unigrams, buckets:
         sums[:, -1] = np.bincount(mine[seen], p[seen], len(history))
         parts = np.split(r[inverse], np.cumsum(sizes)[:-1])
         own = np.split(at, np.cumsum([len(h) for h in histories])[:-1])
-        out = pd.DataFrame({"chunk": group.chunk, "kind": 2, "bucket": group.bucket, "counts": [_small(x) for x in parts], "sums": [sums[h].T.tobytes() for h in own], "stats": None})
+        whole = sums[:, :-1].T.astype(np.int64)  # all but the last are counts, small ones mostly
+        out = pd.DataFrame({"chunk": group.chunk, "kind": 2, "bucket": group.bucket, "counts": [_small(x) for x in parts], "seen": [_small(whole[:, h].ravel()) for h in own], "sums": [sums[h, -1].tobytes() for h in own], "stats": None})
         bucket = int(group.bucket.iloc[0])
-        out.loc[len(out)] = [-1, 2, bucket, None, None, _tally(r)]
+        out.loc[len(out)] = [-1, 2, bucket, None, None, None, _tally(r)]
         hot = np.flatnonzero(shares > 1)
-        out.loc[len(out)] = [-2, 2, bucket, history[hot].tobytes(), sums[hot].tobytes(), None]
+        out.loc[len(out)] = [-2, 2, bucket, history[hot].tobytes(), None, sums[hot].tobytes(), None]
         return out
 
     columns = ["bucket", "chunk", "histories", "shares", "followers", "words", "counts", "places", "times"]
@@ -315,7 +328,8 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK, bucket_tokens: int = BUCKE
             pairs_here = c.order[low:high]
             r[pairs_here] = _read(mine.counts[b])
             history = np.unique(c.history[pairs_here])
-            sums[:, history] = np.frombuffer(mine.sums[b]).reshape(LAST + 2, len(history))
+            sums[:-1, history] = _read(mine.seen[b]).reshape(LAST + 1, len(history))
+            sums[-1, history] = np.frombuffer(mine.sums[b])
         for place in np.flatnonzero(c.shares[:-2] > 1).tolist() + [len(c.shares) - 1] * int(c.shares[-1] > 1):  # an end is no history
             sums[:, place] = hot[int(c.hashes[place])]
         seen = sums[0].copy()

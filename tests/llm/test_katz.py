@@ -107,3 +107,29 @@ def test_odd_rows(spark, odd, none):
 def test_discounts():
     assert katz.discounts([0] * 6).tolist() == [1.0, *((r - 0.5) / r for r in range(1, 6))]
     assert np.allclose(katz.discounts([1000, 300, 150, 90, 60, 43]), list(d_of([1000, 300, 150, 90, 60, 43]).values()))
+
+
+def test_a_chunk_needs_little_memory(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.zipf(1.3, 300_000) % 50_000)
+    docs = spark.createDataFrame([(1, text), (3, text[:1000])], "doc_id long, text string")
+    row = katz.chunks_of(docs.coalesce(1), 10**7).first()
+    tracemalloc.start()
+    chunk = katz.Chunk(row)
+    chunk.pairs(np.ones(len(chunk.words), np.int64), 1, 10**9)
+    peak = tracemalloc.get_traced_memory()[1] / row.n_tokens
+    tracemalloc.stop()
+    assert peak < 50, peak  # bytes a token
+    assert (np.unique(chunk.inverse) == np.arange(len(chunk.history))).all()
+    assert (chunk.word[chunk.inverse] == chunk.tokens).all() and (chunk.history[chunk.inverse][1:300_000] == chunk.tokens[:299_999]).all()
+
+
+def test_answers_hold_counts_packed(spark):
+    table = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(1)
+    chunks = katz.chunks_of(table, 10**6)
+    words = katz.ask_words(chunks, 1)
+    pairs = katz.ask_pairs(chunks, words, katz.Unigrams(katz._stats(words)), 1, 10**6)
+    row = pairs.filter("chunk >= 0").first()
+    assert sum(len(x) for x in row.asDict().values() if isinstance(x, (bytes, bytearray))) < 2000, row  # 62 histories and some 1500 pairs
