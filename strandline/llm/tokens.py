@@ -2,7 +2,8 @@
 
 A text is cut only where no token can cross: at a single blank or line end between other characters, and before a
 comma or full stop between a letter or digit and a blank. Each distinct chunk is encoded by the tokenizers library once
-while it stays in the memo, and the ids of a text are gathered from those of its chunks. Texts with runs of white space
+while it stays in the memo, and the ids of a text are gathered from those of its chunks. Where a blank goes into the word after it,
+many words are encoded as one string and told apart by the tokens that begin with a blank. Texts with runs of white space
 are encoded whole. Cutting and telling chunks apart is Arrow's work; Python sees distinct chunks only.
 """
 
@@ -19,6 +20,8 @@ SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 RUNS = rf"{SPACE}[ \n]|[ \n]{SPACE}"
 #: Characters of a chunk that outlives a cleaning of the memo.
 LONG = 64
+#: Words that are encoded as one string.
+AT_ONCE = 2000
 STOPS = r"[^\p{L}\p{N}][.,]|^[.,]"
 
 
@@ -44,6 +47,9 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.joined, self.limit, self.most_chars = joined, limit, most_chars
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # the byte-level sign of a blank
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.reset({}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def reset(self, memo: dict[str, int], flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
@@ -82,15 +88,30 @@ class ChunkEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.first[slots] - (ends - size), size) + np.arange(total)]
 
-    def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+    def strings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each encoded for itself, and how many each has."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for each in ids for x in each), np.uint32, int(size.sum()))
+        return np.fromiter((x for each in ids for x in each), np.uint32, int(size.sum())), size
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, each of which has its only blank in front, from a few long strings."""
+        flat, _ = self.strings(["".join(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)])
+        size = np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+        if len(size) != len(words):
+            raise ValueError("the vocabulary is not byte-level")
+        return flat, size
+
+    def learn(self, new: list[str]) -> None:
+        word = [self.joined and c[:1] == " " and c[1:].isalnum() for c in new]
+        new, one = [c for c, w in zip(new, word) if w], [c for c, w in zip(new, word) if not w]
+        flat, size = (np.concatenate(x) for x in zip(self.words(new), self.strings(one)))
+        new += one
         at, ends = len(self.size), np.cumsum(size)
         self.first = np.concatenate([self.first, len(self.flat) + ends - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
-        self.used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.memo.update(zip(new, range(at, at + len(new))))
         self.chars += sum(map(len, new))
 

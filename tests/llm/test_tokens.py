@@ -75,3 +75,18 @@ def test_files_hold_documents_in_order(spark, odd, none):
         ids = np.array([*encode(text), 0], "<u4")
         assert tuple(r) == (doc, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_words_are_encoded_many_at_a_time():
+    ours, theirs = ChunkEncoder(vocabulary_path(BYTE), True), library(BYTE)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return held.encode_batch_fast(texts, **options)
+
+    held, ours.library = ours.library, Counted()
+    texts = [" ".join(f"w\u00f6rd{i}x{i * i} \u4e2d{i} {i}" for i in range(k, k + 900)) + ", (end)" for k in (0, 900)]
+    assert [x.tolist() for x in ours.encode(texts)] == [theirs(t) for t in texts]
+    assert len(asked) < 20 < len(ours.memo)
