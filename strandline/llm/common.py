@@ -41,11 +41,13 @@ def scratch_table(df: DataFrame, name: str, **options: str) -> DataFrame:
 
     This cuts lineage: a lost executor costs at most the task it ran, and what follows reads the
     table as often as it likes without making it again. The frame remembers its folder for ``drop_table``;
-    ``options`` are the Parquet writer's.
+    ``options`` are the Parquet writer's. Each phase ends with such a table, and so its garbage is collected here: else
+    the driver's heap grows with the number of phases and tasks, far beyond what it holds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
