@@ -27,6 +27,8 @@ from strandline.llm.tokens import encoder, vocabulary_path
 MAGIC = b"PFR1"
 #: Ids of a block, and ids that are packed together into ``width`` words.
 BLOCK, RUN = 256, 32
+#: Characters that are encoded at once; all that is held is hashed again for each such slice.
+SLICE = 8_000_000
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -133,7 +135,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, file_id
         def close():
             return pa.RecordBatch.from_pylist([{"part": part, "file": file, "n_ids": size, "content": write_file(keys, held)}], schema)
 
-        for doc_ids, texts in rows_of(batches):
+        for doc_ids, texts in rows_of(batches, SLICE):
             for doc, ids in zip(doc_ids, tokens.encode(texts)):
                 keys.append(doc)
                 held.append(np.concatenate([ids, end]))

@@ -90,3 +90,36 @@ def test_words_are_encoded_many_at_a_time():
     texts = [" ".join(f"w\u00f6rd{i}x{i * i} \u4e2d{i} {i}" for i in range(k, k + 900)) + ", (end)" for k in (0, 900)]
     assert [x.tolist() for x in ours.encode(texts)] == [theirs(t) for t in texts]
     assert len(asked) < 20 < len(ours.memo)
+
+
+def asked_of(ours):
+    """Every string that the library is given from now on."""
+    asked, held = [], ours.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return held.encode_batch_fast(texts, **options)
+
+    ours.library = Counted()
+    return asked
+
+
+def test_words_with_signs_are_encoded_many_at_a_time():
+    ours, theirs = ChunkEncoder(vocabulary_path(BYTE), True), library(BYTE)
+    asked = asked_of(ours)
+    signs = ("$$$", ",&&&", "'s", "-", "...", "(", "<|endoftext|>", "\u200b", "\x1b", "\u0301", "\U0001f600", "'")
+    texts = [" ".join(f"{a}w\u00f6rd{i}{b}" for i, (a, b) in enumerate((a, b) for a in signs for b in signs)), " ".join(signs) + " " + " ".join(s + "x" for s in signs)]
+    assert [x.tolist() for x in ours.encode(texts)] == [theirs(t) for t in texts]
+    assert len(asked) < 10 < 100 < len(ours.memo)
+
+
+def test_a_large_vocabulary_is_encoded_once():
+    ours, theirs = ChunkEncoder(vocabulary_path(BYTE), True), library(BYTE)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 250_000)) for k in (0, 250_000)]
+    for text in texts:
+        ours.encode([text])
+    asked = asked_of(ours)
+    assert ours.encode(["w1 again w250001 again"])[0].tolist() == theirs("w1 again w250001 again")
+    assert [x.tolist() for x in ours.encode(texts)] == [theirs(t) for t in texts]
+    assert sum(map(len, asked)) < 100
