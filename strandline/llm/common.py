@@ -47,12 +47,17 @@ def scratch_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """At the end of a phase that leaves no scratch table."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a scratch table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm

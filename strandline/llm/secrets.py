@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import scratch_table, table
+from strandline.llm.common import collect_garbage, scratch_table, table
 
 #: An asking word with its sign of assignment or "is", what may be assigned to it, a URL's user, and runs that stand alone.
 #: Signs and quotes are possessive, so that a hit's cue can be found again from the hit alone.
@@ -80,7 +80,11 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """Findings with labels (1.0 a secret), ``each`` of every template."""
+    """Findings with labels (1.0 a secret), ``each`` of every template, as a written table.
+
+    Else all that reads them would be planned and compiled for each part of the union again. It is a fixed number of rows, in one
+    partition and in order, so that the forest is the same on any cluster.
+    """
     i = F.col("id")
 
     def hexes(n: int, salt: str) -> Column:
@@ -146,13 +150,16 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    out = scratch_table(out.withColumn("at", F.monotonically_increasing_id()), "findings")
+    return out.coalesce(1).sortWithinPartitions("at").drop("at")
 
 
 def train(findings: DataFrame, trees: int = 60, depth: int = 10, seed: int = 17) -> RandomForestClassificationModel:
     """The forest; ``findings`` are labelled rows (token, before, label), trained where they lie."""
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings)).select("features", "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    collect_garbage(findings.sparkSession)
+    return model
 
 
 def _cut(docs: DataFrame) -> DataFrame:

@@ -56,3 +56,22 @@ def test_long_runs_cost_their_length(spark, forest):
     begin = time.time()
     secrets.redact(spark, docs, model=forest).collect()
     assert time.time() - begin < 60
+
+
+def test_labelled_findings_are_planned_once(spark):
+    found = secrets.labelled_findings(spark, 10)
+    plan = secrets.features(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Generate" not in plan and "Union" not in plan
+
+
+def test_labelled_findings_lie_alike_on_any_cluster(spark):
+    at = lambda: [tuple(r) for r in secrets.labelled_findings(spark, 10).collect()]
+    first, names = at(), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "2000")
+    try:
+        assert secrets.labelled_findings(spark, 10).rdd.getNumPartitions() == 1 and at() == first and len(first) > 300
+    finally:
+        for n, x in zip(names, kept):
+            spark.conf.set(n, x)
