@@ -7,10 +7,14 @@ breaks their ties, so that the ends of all reads do not share a bucket. Running
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.seq import END
+from strandline.operators import seeds
+from strandline.operators import transform as packed
 from strandline.sources.reads import written
 
 #: Symbols of a bucket's prefix, and ranks between two checkpoints.
@@ -47,6 +51,12 @@ def blocks(transform: DataFrame, step: int = STEP) -> DataFrame:
     return packed.select("block", F.array_join(F.col("s.sym"), "").alias("symbols"))
 
 
+def symbol_blocks(reads: DataFrame, step: int = STEP) -> DataFrame:
+    """block, symbols: what ``blocks`` gives of ``bwt``, from packed suffixes in passes; other letters and very short or long reads take the way through ``bwt``."""
+    out = packed.blocks(reads, step)
+    return blocks(written(bwt(reads).select("rk", "sym")), step) if out is None else out
+
+
 def sums_before(rows: DataFrame, block: str, order: list[str], names: list[str]) -> DataFrame:
     """``rows`` with each of ``names`` summed over all rows before; sums run inside ``SUPER`` blocks and over their totals."""
     keyed = rows.withColumn("_super", F.expr(f"{block} div {SUPER}"))
@@ -65,6 +75,43 @@ def checkpoints(transform: DataFrame, step: int = STEP) -> DataFrame:
     return sums_before(counts, "block", ["block"], list(names.values())).select("block", *names.values())
 
 
+def block_checkpoints(table: DataFrame) -> DataFrame:
+    """``checkpoints`` from blocks of symbols (block, symbols)."""
+    names = dict(zip(SYMBOLS, ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")))
+    counts = table.select("block", *[(F.length("symbols") - F.length(F.replace("symbols", F.lit(s), F.lit("")))).cast("long").alias(n) for s, n in names.items()])
+    return sums_before(counts, "block", ["block"], list(names.values())).select("block", *names.values())
+
+
+def block_runs(table: DataFrame, step: int = STEP) -> DataFrame:
+    """``runs`` from blocks of symbols (block, symbols). Only a block's first and last run are written; those between are whole."""
+
+    def parts(edges: bool):
+        def each(batches):
+            for b in batches:
+                data, starts, sizes = seeds.ragged(b.column("symbols"))
+                held = starts[sizes > 0]
+                first = np.zeros(len(data), bool)
+                first[1:] = data[1:] != data[:-1]
+                first[held] = True
+                at = np.flatnonzero(first)
+                n = np.diff(at, append=len(data))
+                row = np.searchsorted(starts, at, "right") - 1
+                begin = np.searchsorted(at, starts[row])
+                last = np.searchsorted(at, starts[row] + sizes[row]) - 1
+                place = np.arange(len(at))
+                kept = ((place == begin) | (place == last)) == edges
+                at, n, row, begin, last, place = (x[kept] for x in (at, n, row, begin, last, place))
+                block = b.column("block").to_numpy(zero_copy_only=False)[row]
+                sym = seeds.column(data[at], np.ones(len(at), np.int64), pa.string())
+                out = {"sym": sym, "start_rk": pa.array(block * step + at - starts[row]), "n": pa.array(n)}
+                yield pa.RecordBatch.from_pydict(out | ({"block": pa.array(block), "island": pa.array(place - begin + 1), "parts": pa.array(last - begin + 1)} if edges else {}))
+
+        return table.select("block", "symbols").mapInArrow(each, "sym string, start_rk long, n long" + (", block long, island long, parts long" if edges else ""))
+
+    whole = parts(False).select("sym", "start_rk", F.col("n").alias("run_len"))
+    return whole.unionByName(_joined_runs(written(parts(True))))
+
+
 def runs(transform: DataFrame, step: int = STEP) -> DataFrame:
     """sym, start_rk, run_len: maximal runs of a symbol.
 
@@ -75,18 +122,22 @@ def runs(transform: DataFrame, step: int = STEP) -> DataFrame:
     part = marked.withColumn("island", F.sum("new").over(inside)).groupBy("block", "island").agg(F.first("sym").alias("sym"), F.min("rk").alias("start_rk"), F.count(F.lit(1)).alias("n"))
     size = F.count(F.lit(1)).over(Window.partitionBy("block"))
     part = written(part.withColumn("parts", size))
-    edge = part.filter("island = 1 or island = parts")
     whole = part.filter("island > 1 and island < parts").select("sym", "start_rk", F.col("n").alias("run_len"))
+    return whole.unionByName(_joined_runs(part.filter("island = 1 or island = parts")))
+
+
+def _joined_runs(edge: DataFrame) -> DataFrame:
+    """Runs of blocks' first and last parts (block, island, parts, sym, start_rk, n)."""
     # the first part of a block goes on with the last part of the block before; numbers of runs are sums in two levels
     last = edge.filter("island = parts").select((F.col("block") + 1).alias("block"), F.lit(1).cast("long").alias("island"), F.col("sym").alias("_sym"))
     marked = edge.join(last, ["block", "island"], "left").withColumn("own", F.when(F.col("sym") == F.col("_sym"), 0).otherwise(1).cast("long")).drop("_sym")
     joined = sums_before(marked.withColumn("run", F.col("own")), "block", ["start_rk"], ["run"]).withColumn("run", F.col("run") + F.col("own"))
-    return whole.unionByName(joined.groupBy("run").agg(F.first("sym").alias("sym"), F.min("start_rk").alias("start_rk"), F.sum("n").alias("run_len")).drop("run"))
+    return joined.groupBy("run").agg(F.first("sym").alias("sym"), F.min("start_rk").alias("start_rk"), F.sum("n").alias("run_len")).drop("run")
 
 
 def sorted_reads(reads: DataFrame) -> DataFrame:
-    """ids_rank, read_id: reads in the order of their whole-read suffixes."""
-    return ranked(reads.select("read_id", F.concat("seq", F.lit(END)).alias("key"), F.reverse("seq").alias("order")), F.col("key"), ["order", "read_id"], "ids_rank").select("ids_rank", "read_id")
+    """ids_rank, read_id: reads in the order of their whole-read suffixes; reads of one suffix are equal, so ids alone break ties."""
+    return ranked(reads.select("read_id", F.concat("seq", F.lit(END)).alias("key"), F.lit("").alias("order")), F.col("key"), ["order", "read_id"], "ids_rank").select("ids_rank", "read_id")
 
 
 def symbol_totals(reads: DataFrame) -> DataFrame:
@@ -145,28 +196,31 @@ def interval_symbols(reads: DataFrame, k: int) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("edge").alias("n_edge"))
 
 
-#: Steps of a backward search between two written tables, and ranks of a bucket of the range join.
-WRITE, BUCKET = 4, 4096
+#: Steps of a backward search between two written tables, ranks of a bucket of the range join, and patterns up to which they are broadcast, not the index shuffled.
+WRITE, BUCKET, FEW = 4, 4096, 50_000
 
 
 def stored(reads: DataFrame, step: int = STEP) -> DataFrame:
     """block, symbols, occ_end, occ_a, occ_c, occ_g, occ_t: the index as a written table, a row for each ``step`` ranks."""
-    transform = written(bwt(reads).select("rk", "sym"))
-    return written(blocks(transform, step).join(checkpoints(transform, step), "block"))
+    table = symbol_blocks(reads, step)
+    return written(table.join(block_checkpoints(table), "block"))
 
 
-def _ranks(asked: DataFrame, table: DataFrame, totals: dict[str, int], step: int) -> DataFrame:
+def _ranks(asked: DataFrame, table: DataFrame, totals: dict[str, int], step: int, few: bool) -> DataFrame:
     """``asked`` (rk, sym and others) with ``occ``: how often ``sym`` stands before rank ``rk``, by a join on its block."""
-    held = asked.withColumn("block", F.expr(f"rk div {step}")).join(table, "block", "left")
+    total = sum(totals.values())
+    inner = asked.filter(f"rk < {total}").withColumn("block", F.expr(f"rk div {step}"))
+    held = table.join(F.broadcast(inner), "block") if few else inner.join(table, "block")
     before = F.expr(f"substring(symbols, 1, cast(rk % {step} as int))")
     inside = F.length(before) - F.length(F.replace(before, F.col("sym"), F.lit("")))
     names = dict(zip(SYMBOLS, ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")))
     occ, most = F.lit(None).cast("long"), F.lit(None).cast("long")
+    # all symbols stand before the rank after the last one
     for s, n in names.items():
         occ = F.when(F.col("sym") == s, F.col(n)).otherwise(occ)
         most = F.when(F.col("sym") == s, F.lit(totals[s])).otherwise(most)
-    # the rank after the last one has no block if the table ends with a full one
-    return held.withColumn("occ", F.coalesce(occ + inside, most)).drop("block", "symbols", *names.values())
+    found = held.withColumn("occ", occ + inside).drop("block", "symbols", *names.values())
+    return found.unionByName(asked.filter(f"rk >= {total}").withColumn("occ", most))
 
 
 def search(table: DataFrame, patterns: DataFrame, totals: dict[str, int], step: int = STEP) -> DataFrame:
@@ -183,14 +237,15 @@ def search(table: DataFrame, patterns: DataFrame, totals: dict[str, int], step:
     size = lambda c: F.expr("case " + " ".join(f"when {c} = '{s}' then {totals[s]}L" for s in SYMBOLS) + " end")
     sound = patterns.select("pattern").distinct().filter(F.col("pattern").rlike(r"^[ACGT]+\$?$"))
     rows = written(sound.withColumn("sym", F.right("pattern", F.lit(1))).withColumn("lo", base("sym")).withColumn("hi", base("sym") + size("sym")).filter("lo < hi").select("pattern", "lo", "hi"))
-    longest = rows.agg(F.max(F.length("pattern"))).first()[0] or 0
+    longest, held = rows.agg(F.max(F.length("pattern")), F.count(F.lit(1))).first()
+    few = held <= FEW
 
     def both(rows: DataFrame, sym) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("rk")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("rk")))).alias("x")
-        found = _ranks(rows.select("pattern", "lo", "hi", sym.alias("sym"), ends).select("pattern", "lo", "hi", "sym", "x.end", "x.rk"), table, totals, step)
+        found = _ranks(rows.select("pattern", "lo", "hi", sym.alias("sym"), ends).select("pattern", "lo", "hi", "sym", "x.end", "x.rk"), table, totals, step, few)
         return found.groupBy("pattern", "lo", "hi", "sym").agg(F.max(F.when(F.col("end") == 0, F.col("occ"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("occ"))).alias("b"))
 
-    for k in range(1, longest):
+    for k in range(1, longest or 0):
         going = rows.filter(F.length("pattern") > k)
         ready = rows.filter(F.length("pattern") <= k)
         moved = both(going, F.expr(f"substring(pattern, length(pattern) - {k}, 1)")).select("pattern", (base("sym") + F.col("a")).alias("lo"), (base("sym") + F.col("b")).alias("hi")).filter("lo < hi")
@@ -236,3 +291,23 @@ def rank_before(transform: DataFrame, table: DataFrame, positions: DataFrame, st
     inside = rows.withColumn("block", F.expr(f"rk div {step}")).withColumns({f"in_{i}": F.coalesce(F.sum((F.col("sym") == s).cast("int")).over(before), F.lit(0)) for i, s in enumerate(SYMBOLS)})
     names = ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")
     return inside.filter("held = 0").join(table, "block").select("rk", *[(F.col(n) + F.col(f"in_{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def ranks_of(table: DataFrame, sums: DataFrame, symbol: str, step: int = STEP) -> DataFrame:
+    """rk, occ_end, occ_a, occ_c, occ_g, occ_t: the symbols before each rank that holds ``symbol``, from blocks (block, symbols) and their checkpoints."""
+
+    def each(batches):
+        for b in batches:
+            data, starts, sizes = seeds.ragged(b.column("symbols"))
+            at = np.flatnonzero(data == ord(symbol))
+            row = np.searchsorted(starts, at, "right") - 1
+            block = b.column("block").to_numpy(zero_copy_only=False)[row]
+            out = {"block": pa.array(block), "rk": pa.array(block * step + at - starts[row])}
+            for i, s in enumerate(SYMBOLS):
+                before = np.concatenate([[0], np.cumsum(data == ord(s))])
+                out[f"in_{i}"] = pa.array((before[at] - before[starts[row]]).astype(np.int32))
+            yield pa.RecordBatch.from_pydict(out)
+
+    places = table.select("block", "symbols").mapInArrow(each, "block long, rk long, " + ", ".join(f"in_{i} int" for i in range(len(SYMBOLS))))
+    names = ("occ_end", "occ_a", "occ_c", "occ_g", "occ_t")
+    return places.join(sums, "block").select("rk", *[(F.col(n) + F.col(f"in_{i}")).alias(n) for i, n in enumerate(names)])
