@@ -152,16 +152,90 @@ def c_array(reads: DataFrame) -> DataFrame:
     return totals.select("sym", (F.sum("cnt").over(Window.orderBy("sym")) - F.col("cnt")).alias("start_rk"))
 
 
+#: Longest word whose counts a task holds as an array of 4 ** k numbers.
+WORD = 12
+
+
+def _codes(data: np.ndarray, k: int) -> np.ndarray:
+    """The word of ``k`` bases from each place on as a number; those that cross a read's end mean nothing."""
+    out = np.zeros(max(0, len(data) - k + 1), np.int32)
+    for i in range(k if len(out) else 0):
+        out = out << 2 | data[i : i + len(out)]
+    return out
+
+
+def _spelled(codes: np.ndarray, k: int) -> pa.Array:
+    letters = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> (2 * np.arange(k)[::-1])) & 3]
+    return seeds.column(letters.ravel(), np.full(len(codes), k), pa.string())
+
+
+def _word_counts(reads: DataFrame, sizes: tuple[int, ...], by_symbol: bool = False) -> DataFrame:
+    """k, kmer, sym, cnt, edge: places of each word of each of ``sizes`` (up to ``WORD``), those that end a read, and the symbol before (by_symbol; else null).
+
+    One scan; a task counts in arrays and sends a row for each word that it has met. Reads with other letters are counted word by word.
+    """
+    kinds = 5 if by_symbol else 1
+
+    def each(batches):
+        held = {k: np.zeros((2, 4**k * kinds), np.int64) for k in sizes}
+        odd: dict = {}
+        for b in seeds.slices(batches, "seq"):
+            data, starts, n = seeds.ragged(b.column("seq"))
+            code = seeds._CODE[data]
+            known = np.ones(len(n), bool)
+            if (code > 3).any():
+                bad = np.unique(np.searchsorted(starts, np.flatnonzero(code > 3), "right") - 1)
+                known[bad] = False
+                for x in b.column("seq").take(pa.array(bad)).to_pylist():
+                    for k in sizes:
+                        for p in range(len(x) - k + 1):
+                            at = odd.setdefault((k, x[p : p + k], (x[p - 1] if p else END) if by_symbol else None), [0, 0])
+                            at[0] += 1
+                            at[1] += p + k == len(x)
+            before = np.concatenate([[0], code[:-1] + 1]) if len(code) else code
+            for k in sizes:
+                own = known & (n >= k)
+                if not own.any():
+                    continue
+                words = _codes(code, k)
+                at, last = seeds.places(starts[own], n[own] - k + 1)[1], starts[own] + n[own] - k
+                first = starts[own]
+                for i, where in enumerate((at, last)):
+                    found = words[where].astype(np.int64)
+                    if by_symbol:
+                        sym = before.copy()
+                        sym[first] = 0
+                        found = found * kinds + sym[where]
+                    held[k][i] += np.bincount(found, minlength=held[k].shape[1])
+        names = ["k", "kmer", "sym", "cnt", "edge"]
+        for k, counts in held.items():
+            at = np.flatnonzero(counts[0])
+            sym = pa.array([SYMBOLS[i] for i in at % kinds] if by_symbol else [None] * len(at), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), _spelled(at // kinds, k), sym, pa.array(counts[0][at]), pa.array(counts[1][at])], names)
+        if odd:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(*key, *v) for key, v in odd.items()]), (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names)
+
+    rows = reads.filter("seq is not null").select("seq").mapInArrow(each, "k int, kmer string, sym string, cnt long, edge long")
+    return rows.groupBy("k", "kmer", "sym").agg(F.sum("cnt").alias("cnt"), F.sum("edge").alias("edge"))
+
+
 def kmers(reads: DataFrame, k: int) -> DataFrame:
     """kmer, cnt, edge: places of each word of k bases, and those that end a read."""
+    if k <= WORD:
+        return _word_counts(reads, (k,)).select("kmer", "cnt", "edge")
     places = reads.filter(F.length("seq") >= k).select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("p"))
     return places.select(F.expr(f"substring(seq, p, {k})").alias("kmer"), (F.col("p") == F.length("seq") - k + 1).cast("int").alias("e")).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"), F.sum("e").alias("edge"))
 
 
 def onward(reads: DataFrame, k: int) -> DataFrame:
     """kmer, cnt, edge, onward, holds: whether a word's places are those that go on by one base and those that end a read."""
-    longer = kmers(reads, k + 1).groupBy(F.expr(f"left(kmer, {k})").alias("kmer")).agg(F.sum("cnt").alias("onward"))
-    each = kmers(reads, k).join(longer, "kmer", "left").withColumn("onward", F.coalesce("onward", F.lit(0).cast("long")))
+    if k < WORD:
+        both = written(_word_counts(reads, (k, k + 1)))
+        short, long = (both.filter(F.col("k") == n).select("kmer", "cnt", "edge") for n in (k, k + 1))
+    else:
+        short, long = kmers(reads, k), kmers(reads, k + 1)
+    longer = long.groupBy(F.expr(f"left(kmer, {k})").alias("kmer")).agg(F.sum("cnt").alias("onward"))
+    each = short.join(longer, "kmer", "left").withColumn("onward", F.coalesce("onward", F.lit(0).cast("long")))
     return each.withColumn("holds", F.expr("cnt = edge + onward"))
 
 
@@ -192,6 +266,8 @@ def intervals(reads: DataFrame, k: int) -> DataFrame:
 
 def interval_symbols(reads: DataFrame, k: int) -> DataFrame:
     """pattern, sym, n, n_edge: symbols before the places of each word of k bases, and how many of these places end a read."""
+    if k <= WORD - 2:  # five numbers a word
+        return _word_counts(reads, (k,), by_symbol=True).select(F.col("kmer").alias("pattern"), "sym", F.col("cnt").alias("n"), F.col("edge").alias("n_edge"))
     counts = heads(reads, k).filter(~F.contains("pattern", F.lit(END))).groupBy("pattern", "sym")
     return counts.agg(F.count(F.lit(1)).alias("n"), F.sum("edge").alias("n_edge"))
 

@@ -59,3 +59,22 @@ def test_order_of_tied_words():
     want = np.lexsort((last, *words[::-1]))
     for x in (*words, last):
         assert (x[got] == x[want]).all()
+
+
+def test_words_are_counted_before_they_are_sent(spark):
+    """A task sends a row for each word; before, each place of a read was a row."""
+    rng = random.Random(9)
+    reads = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["ACGNACGTACG", "", "ACG", "NNNN"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(reads)], "read_id long, seq string")
+    want: dict = {}
+    for x in reads:
+        for p in range(len(x) - 2):
+            for key in (x[p : p + 3], (x[p : p + 3], x[p - 1] if p else "$")):
+                n = want.setdefault(key, [0, 0])
+                n[0] += 1
+                n[1] += p + 3 == len(x)
+    assert {r.kmer: [r.cnt, r.edge] for r in index.kmers(rows, 3).collect()} == {k: v for k, v in want.items() if isinstance(k, str)}
+    assert {(r.pattern, r.sym): [r.n, r.n_edge] for r in index.interval_symbols(rows, 3).collect()} == {k: v for k, v in want.items() if not isinstance(k, str)}
+    assert index.onward(rows, 3).filter("not holds").count() == 0
+    for query in (index.kmers(rows, 3), index.interval_symbols(rows, 3)):
+        assert "Generate" not in query._jdf.queryExecution().optimizedPlan().toString()
