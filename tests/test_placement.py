@@ -71,3 +71,22 @@ def test_competition(spark):
     got = M.compete(spark.createDataFrame(rows, "query long, read_id long, class string, len int"))
     assert sorted(map(tuple, got.collect())) == [(1, 10, "exact", 5), (1, 12, "unmatched", 0), (2, 11, "inexact", 41), (2, 12, "unmatched", 0), (3, 11, "inexact", 41)]
     assert M.compete(got.limit(0)).count() == 0
+
+
+def test_reads_are_sifted_by_the_seeds_of_few_queries(spark, monkeypatch):
+    """Reads without a seed of a query are not shuffled, as all were before; the same placements come out when seeds are too many to send."""
+    import random
+
+    from strandline.operators import matching
+
+    rng = random.Random(6)
+    q = "".join(rng.choice("ACGT") for _ in range(300))
+    cut = [q[i : i + 60] for i in range(0, 200, 9)] + ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(50)]
+    queries = spark.createDataFrame([(1, q), (2, q[100:130])], "query long, q string")
+    reads = spark.createDataFrame([(i, x[:30] + ("A" if i % 2 else x[30]) + x[31:]) for i, x in enumerate(cut)], "read_id long, seq string")
+    rows = lambda f: sorted(map(str, f(queries, reads).collect()))
+    queries_ = (matching.within, lambda a, b: matching.within_rate(a, b, 16), matching.classified)
+    few = [rows(f) for f in queries_]
+    assert "LeftSemi" in matching.within(queries, reads)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(matching, "FEW", 0)
+    assert few == [rows(f) for f in queries_] and all(few)
